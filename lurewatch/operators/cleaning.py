@@ -45,10 +45,11 @@ def to_canonical(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def clean(df: DataFrame) -> DataFrame:
     """Keep 0/1 labels, collapse white space in the combined text, drop empty texts."""
     return (
-        df.filter(F.col("label").isin(0, 1))
+        # Blank texts are told apart before collapsing: a filter on the result would be pushed
+        # below the projection and run the replacement twice.
+        df.filter(F.col("label").isin(0, 1) & ~is_blank(as_text(F.col("text_combined"))))
         .withColumn("label", F.col("label").cast("int"))
         .withColumn("text_combined", collapse_spaces(as_text(F.col("text_combined"))))
-        .filter(F.col("text_combined") != "")
     )
 
 

@@ -75,7 +75,7 @@ def normalise_lines(expr: str) -> str:
 
 
 EMAILS = EMAILS_SQL.format(documents="documents", labels="labels").strip()
-BASE = f"""WITH emails AS ({EMAILS}),
+BASE = f"""WITH RECURSIVE emails AS ({EMAILS}),
 mail AS (SELECT *, concat('FROM: ', from_address, ' SUBJECT: ', subject, ' BODY: ', body) AS tc FROM emails),
 m AS (SELECT *, regexp_replace(tc, '[{LETTERS}]', '_', 'g') AS tcm,
   regexp_replace(body, '[{LETTERS}]', '_', 'g') AS bm,
@@ -285,10 +285,6 @@ ORACLE["load_all"] = over_emails(f"{_LAYOUT_ROWS} SELECT DISTINCT md5(t) AS text
 # --- features -------------------------------------------------------------------------------
 
 
-def entropy_of(expr: str) -> str:
-    return f"round(CASE WHEN {expr} = '' THEN 0 ELSE list_entropy(string_split({expr}, '')) END, 4)"
-
-
 def entropy_log(expr: str) -> str:
     counts = f"map_values(list_histogram(string_split({expr}, '')))"
     n = f"length({expr})"
@@ -405,13 +401,84 @@ ORACLE["brand_edit_distance"] = (
     + " FROM lab WHERE domain <> ''"
 )
 
+# Similarity ratio of two strings: the longest common block (earliest in the first string, then in
+# the second), then the same left and right of it; twice the matched length over both lengths.
+_BLOCK = """list_filter(flatten(list_transform(range(length(a), 0, -1), lambda k:
+   list_transform(range(1, length(a) - k + 2), lambda i:
+    {'k': k, 'i': i, 'j': instr(b, substring(a, i, k))}))), lambda x: x.j > 0)[1]"""
+
+
+def brand_ctes(domains: str) -> str:
+    """From ``domains`` (one column, distinct) to ``best``: the brand metrics of each."""
+    brands = ", ".join(f"('{b}', '{b.split('.')[0]}', {i})" for i, b in enumerate(K.KNOWN_BRAND_DOMAINS))
+    return f""",
+bl(brand, blabel, ord) AS (VALUES {brands}),
+dn AS (SELECT domain, split_part(split_part(regexp_replace(lower(domain),
+  '^(?:https?://)?(?:www\\.)?', ''), '/', 1), ':', 1) AS norm FROM {domains}),
+dl AS (SELECT *, CASE WHEN contains(norm, '.') THEN
+  list_extract(list_filter(string_split(norm, '.'), lambda p: p <> ''), -2) ELSE norm END AS label FROM dn),
+cand AS (SELECT dl.*, bl.*, levenshtein(label, blabel) AS dist FROM dl CROSS JOIN bl WHERE norm <> ''),
+todo AS (SELECT norm AS a, brand AS b FROM cand UNION SELECT label, blabel FROM cand),
+piece AS (SELECT a AS a0, b AS b0, a, b, CAST(0 AS BIGINT) AS k FROM todo
+ UNION ALL
+ SELECT a0, b0, CASE side WHEN 0 THEN substring(a, 1, blk.i - 1) ELSE substring(a, blk.i + blk.k) END,
+  CASE side WHEN 0 THEN substring(b, 1, blk.j - 1) ELSE substring(b, blk.j + blk.k) END,
+  CASE side WHEN 0 THEN blk.k ELSE 0 END
+ FROM (SELECT a0, b0, a, b, {_BLOCK} AS blk, unnest([0, 1]) AS side FROM piece
+   WHERE a <> '' AND b <> '') WHERE blk IS NOT NULL),
+ratio AS (SELECT a0, b0, 2.0 * sum(k) / (length(a0) + length(b0)) AS r FROM piece GROUP BY a0, b0),
+sims AS (SELECT c.*, CAST(greatest(f.r, g.r) AS DOUBLE) AS sim FROM cand c
+  JOIN ratio f ON f.a0 = c.norm AND f.b0 = c.brand JOIN ratio g ON g.a0 = c.label AND g.b0 = c.blabel),
+top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY domain ORDER BY sim DESC, dist, ord) = 1),
+best AS (SELECT dn.domain, coalesce(brand, '') AS best_brand, coalesce(sim, 0.0) AS similarity,
+  CAST(coalesce(dist, 999) AS INTEGER) AS edit_distance,
+  {flag(f'dn.norm IN {in_list(K.KNOWN_BRAND_DOMAINS)}')} AS exact_match,
+  {flag("contains(dn.norm, 'xn--')")} AS punycode,
+  {flag("regexp_matches(dn.norm, '[^\\x00-\\x7f]')")} AS non_ascii
+  FROM dn LEFT JOIN top ON top.domain = dn.domain),
+bm2 AS (SELECT *, {flag('exact_match = 0 AND similarity >= 0.8 AND edit_distance <= 2')} AS typosquat FROM best)"""
+
+
+ORACLE["brand_match_domains"] = (
+    f"{_DOMAINS}{brand_ctes('n')} SELECT n.domain, emails, best_brand, round(similarity, 6) AS similarity, "
+    "edit_distance, exact_match, punycode, non_ascii, typosquat FROM n JOIN bm2 ON n.domain = bm2.domain"
+)
+_HAS_URL_VALUE = _FEATURE_SQL["has_url"]
+_LOOKALIKE = {
+    "sender_brand_similarity": "round(sm.similarity, 6)",
+    "sender_brand_edit_distance": "sm.edit_distance",
+    "sender_domain_punycode": "sm.punycode",
+    "sender_domain_non_ascii": "sm.non_ascii",
+    "sender_typosquat_flag": "sm.typosquat",
+    "url_brand_similarity": "round(um.similarity, 6)",
+    "url_brand_edit_distance": "um.edit_distance",
+    "url_domain_punycode": "um.punycode",
+    "url_domain_non_ascii": "um.non_ascii",
+    "url_typosquat_flag": flag(f"{_HAS_URL_VALUE} = 1 AND um.typosquat = 1"),
+}
+_WITH_BRANDS = (
+    f"{FEATURES}, dd AS (SELECT sdomain AS domain FROM b UNION SELECT url_domain FROM b){brand_ctes('dd')}"
+)
+_BRAND_JOIN = "FROM b JOIN bm2 sm ON sm.domain = b.sdomain JOIN bm2 um ON um.domain = b.url_domain"
+ORACLE["lookalike_features"] = (
+    f"{_WITH_BRANDS} SELECT email_id, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in _LOOKALIKE.items())
+    + f" {_BRAND_JOIN}"
+)
+ORACLE["features_full"] = (
+    f"{_WITH_BRANDS} SELECT email_id, "
+    + ",\n ".join(
+        f"CAST({(_FEATURE_SQL | _LOOKALIKE)[name]} AS DOUBLE) AS {name}" for name in features.FEATURE_COLUMNS
+    )
+    + f" {_BRAND_JOIN}"
+)
+
 # --- messages and markup --------------------------------------------------------------------
 
 _SKIPPED = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("head", "style", "script"))
 _PAGE_TEXT = rf"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|{_SKIPPED}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
     _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{entity}', '{char}')"
-_PAGE_TEXT = rf"{_PAGE_TEXT}"
 ORACLE["html_text"] = f"SELECT page_id, {normalise_lines(_PAGE_TEXT)} AS text FROM pages"
 
 _TRACKING = "(?i)/(?:" + "|".join(w.replace(".", r"\.") for w in K.TRACKING_PATH_WORDS) + ")"
@@ -446,8 +513,10 @@ _PADDED = r"replace(text, chr(10), ' ' || chr(10) || ' ' || chr(9) || chr(10) ||
 ORACLE["body_lines"] = f"SELECT conv_id, turn, {normalise_lines(_PADDED)} AS body FROM conversations"
 
 _PLAIN_BODY = normalise_lines("body")
-# The frame's text pieces: the paragraph and the link text, one blank between pieces.
-_HTML_BODY = f"{normalise_lines(chr(39) + chr(39) + ' || regexp_replace(body, ' + chr(39) + '[.]{999}' + chr(39) + ', ' + chr(39) + chr(39) + ')' + ' || ' + chr(39) + ' x' + chr(39))} || chr(10) || chr(10) || 'https://www.example.com/a'"
+# The page holds two pieces of text, the paragraph and the link, one blank between them.
+_HTML_BODY = (
+    normalise_lines("concat(body, ' x')") + " || chr(10) || chr(10) || 'https://www.example.com/a'"
+)
 _PARSED = (
     BASE
     + f""",
@@ -464,6 +533,16 @@ ORACLE["parse_messages"] = f"""{_PARSED} SELECT file, CASE WHEN from_address = '
  coalesce(attachment_ext, '') AS extensions, filenames, dkim_pass, dkim_domain, md5(body) AS body_md5,
  CAST(length(body) AS INTEGER) AS body_chars, '' AS error FROM p"""
 
+_SENDER = "CASE WHEN from_address = '' THEN 'Sender <>' ELSE from_address END"
+ORACLE["corpus_results"] = (
+    f"""{_PARSED},
+pa AS (SELECT * REPLACE ({_SENDER} AS from_address) FROM p),
+pt AS (SELECT *, concat('FROM: ', from_address, ' SUBJECT: ', subject, ' BODY: ', body) AS tc FROM pa),
+pm AS (SELECT *, regexp_replace(tc, '[{LETTERS}]', '_', 'g') AS tcm, NULL AS label,
+  regexp_extract_all(tc, '{URL}') AS urls, {after_at('from_address')} AS sender FROM pt)"""
+    + verdict_ctes("pm")
+)
+
 # --- models ---------------------------------------------------------------------------------
 
 ORACLE["tfidf_terms"] = over_emails(
@@ -531,6 +610,7 @@ def _results(errors: bool, file: str, isolation: str = "0.0000") -> str:
 
 
 _FILE_RESULTS = f"{VERDICTS}, res AS ({_results(True, "email_id || '.eml'")})"
+ORACLE["corpus_results"] += f" {_results(False, 'file')}"
 ORACLE["results_report"] = f"{_FILE_RESULTS} SELECT * FROM res"
 ORACLE["review_report"] = f"""{VERDICTS} SELECT email_id || '.eml' AS file, from_address, subject,
  CASE WHEN length({strip('body')}) > 500 THEN substring({strip('body')}, 1, 500) || '…' ELSE {strip('body')} END AS body_preview,

@@ -654,7 +654,7 @@ def results_report(spark, sf):
 
 @query
 def review_report(spark, sf):
-    sound = _files(spark, sf).filter(F.col("error").isNull())
+    sound = stage(_files(spark, sf), "verdicts").filter(F.col("error").isNull())
     return reports.review_report(sound, truth="benign")
 
 

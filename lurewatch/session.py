@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,15 @@ def local_session(app: str = "lurewatch", cores: str | int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none (tests on one machine) a temporary folder stands in.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="lurewatch-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    return configured.rstrip("/") if configured else _stand_in()
+
+
+@lru_cache(maxsize=1)
+def _stand_in() -> str:
+    return tempfile.mkdtemp(prefix="lurewatch-")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

@@ -7,6 +7,7 @@ options are read by one scan, whatever their number.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -25,6 +26,9 @@ from lurewatch.operators.cleaning import (
 )
 
 
+HEADER_THREADS = 16  # header lines read at the same time
+
+
 @dataclass(frozen=True)
 class CsvConfig:
     """One file.  ``layout`` is a key of :data:`LAYOUTS`, or None to go by the header."""
@@ -157,8 +161,9 @@ def load_csv(
     can be split with ``multi_line=False``.
     """
     groups: dict[tuple, list[tuple[int, CsvConfig]]] = {}
-    for ordinal, config in enumerate(configs):
-        header = tuple(read_header(spark, config.path))
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        headers = list(pool.map(lambda c: tuple(read_header(spark, c.path)), configs))
+    for ordinal, (config, header) in enumerate(zip(configs, headers)):
         layout = config.layout or choose_layout(header)
         key = (header, layout, tuple(sorted(config.options.items())))
         groups.setdefault(key, []).append((ordinal, config))
