@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.functions.text import strip
+from lurewatch.functions.text import is_one_of, strip
 
 
 def _binary(c: Column, positive: list[str], negative: list[str]) -> Column:
     # Booleans and 0/1 numbers print as members of the same vocabularies.
     text = F.lower(strip(c.cast("string")))
-    return F.when(text.isin(positive), F.lit(1)).when(text.isin(negative), F.lit(0)).cast("int")
+    return F.when(is_one_of(text, positive), F.lit(1)).when(is_one_of(text, negative), F.lit(0)).cast("int")
 
 
 def normalize_label(c: Column) -> Column:
@@ -27,4 +27,4 @@ def normalize_has_url(c: Column) -> Column:
 
 def pandas_missing(c: Column) -> Column:
     """Null for the spellings CSV readers commonly take as missing (``NA``, ``null``, ...)."""
-    return F.when(~c.isin(K.CSV_NA_VALUES), c)
+    return F.when(~is_one_of(c, K.CSV_NA_VALUES), c)

@@ -40,6 +40,20 @@ def normalise_lines(c: Column) -> Column:
     return strip(one_break)
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def is_one_of(c: Column, values: list[str]) -> Column:
+    """Membership in a list of constants.
+
+    The list is one literal array, so building the expression takes two calls into the JVM
+    however long it is.
+    """
+    return F.array_contains(F.expr(f"array({', '.join(map(sql_text, values))})"), c)
+
+
 def count_matches(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -49,6 +63,14 @@ def count_char(c: Column, char: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
 
 
+def count_chars(c: Column, chars: str) -> Column:
+    """Occurrences of any of a few characters."""
+    rest = c
+    for char in chars:
+        rest = F.replace(rest, F.lit(char), F.lit(""))
+    return F.length(c) - F.length(rest)
+
+
 def count_tags(c: Column) -> Column:
     """Markup tags.  Text after the last ``>`` cannot hold one and is cut off first, so a long
     run of ``<`` without a closing bracket costs linear time."""
@@ -122,6 +144,6 @@ def char_entropy(c: Column) -> Column:
         last = _n_log_n(acc["size"] - F.octet_length(acc["t"]))
         return acc["h"] + last + F.when(acc["t"] == "", F.lit(0.0)).otherwise(others)
 
-    weighted = F.aggregate(F.array(*[F.lit(ch) for ch in _ASCII]), start, remove, finish)
+    weighted = F.aggregate(F.split(F.lit(_ASCII), ""), start, remove, finish)
     n = F.length(c).cast("double")
     return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(F.log2(n) - weighted / n)

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.functions.text import strip
+from lurewatch.functions.text import is_one_of, strip
 
 
 def extract_urls(c: Column) -> Column:
@@ -55,7 +55,7 @@ def root_domain(domain: Column) -> Column:
     last_two = F.substring_index(labels, ".", -2)
     return (
         F.when(~labels.contains("."), d)
-        .when(last_two.isin(K.TWO_LEVEL_SUFFIXES), F.substring_index(labels, ".", -3))
+        .when(is_one_of(last_two, K.TWO_LEVEL_SUFFIXES), F.substring_index(labels, ".", -3))
         .otherwise(last_two)
     )
 

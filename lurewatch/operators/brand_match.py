@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.functions.text import strip
+from lurewatch.functions.text import is_one_of, sql_text, strip
 
 MATCH_SCHEMA = "best_brand string, similarity double, edit_distance int"
 NO_DISTANCE = 999  # fixed value: distance reported when there is nothing to compare
@@ -103,16 +103,13 @@ def with_brand_match(
         out = out.withColumn(f"{p}label", domain_label(norm)).withColumn(
             f"{p}sims", _brand_similarities(tuple(brands))(norm)
         )
-        candidates = [
-            F.struct(
-                F.get(F.col(f"{p}sims"), i).alias("similarity"),
-                (-F.levenshtein(F.col(f"{p}label"), F.lit(_label(b)))).alias("closeness"),
-                F.lit(-i).alias("earlier"),
-                F.lit(b).alias("brand"),
-            )
+        candidates = ", ".join(
+            f"named_struct('similarity', {p}sims[{i}], "
+            f"'closeness', -levenshtein({p}label, {sql_text(_label(b))}), "
+            f"'earlier', {-i}, 'brand', {sql_text(b)})"
             for i, b in enumerate(brands)
-        ]
-        best = F.greatest(*candidates) if len(candidates) > 1 else candidates[0]
+        )
+        best = F.expr(f"greatest({candidates})" if len(brands) > 1 else candidates)
         out = out.withColumn(f"{p}best", F.when(norm != "", best))
         found = F.col(f"{p}best")
         # With no similarity anywhere the nearest brand by distance still counts.
@@ -124,7 +121,7 @@ def with_brand_match(
                 f"{p}best_brand": F.when(is_match, found["brand"]).otherwise(F.lit("")),
                 f"{p}similarity": F.when(is_match, found["similarity"]).otherwise(F.lit(0.0)),
                 f"{p}edit_distance": F.when(is_match, -found["closeness"]).otherwise(NO_DISTANCE),
-                f"{p}exact_match": norm.isin(brands).cast("int"),
+                f"{p}exact_match": is_one_of(norm, brands).cast("int"),
             }
         ).drop(f"{p}label", f"{p}sims", f"{p}best")
     else:

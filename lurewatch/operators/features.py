@@ -66,9 +66,7 @@ def text_features(df: DataFrame, text_col: str, body_col: str, subject_col: str)
                 "subject_missing": _flag(is_blank(s)),
                 "num_words_text": text.count_words(t),
                 "num_digits_text": text.count_matches(t, r"\p{Nd}"),
-                "num_currency_symbols_text": sum(
-                    (text.count_char(t, symbol) for symbol in K.CURRENCY_SYMBOLS), F.lit(0)
-                ),
+                "num_currency_symbols_text": text.count_chars(t, K.CURRENCY_SYMBOLS),
                 "char_entropy_text": text.char_entropy(t),
                 "num_exclamations_body": text.count_char(b, "!"),
                 "num_question_marks_body": text.count_char(b, "?"),
@@ -164,7 +162,7 @@ def sender_features(df: DataFrame, from_col: str) -> DataFrame:
                 "sender_domain_len": F.length("_sender_domain"),
                 "sender_local_len": F.length(mail.sender_local(F.col("_from"))),
                 "sender_has_digits": _flag(F.col("_from").rlike(r"\p{Nd}")),
-                "sender_is_free_email": _flag(F.col("_sender_domain").isin(K.FREE_EMAIL_DOMAINS)),
+                "sender_is_free_email": _flag(text.is_one_of(F.col("_sender_domain"), K.FREE_EMAIL_DOMAINS)),
                 "sender_url_domain_mismatch": _flag(
                     (F.col("has_url") == 1)
                     & (F.col("_sender_root") != "")

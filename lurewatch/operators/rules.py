@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from lurewatch import constants as K
 from lurewatch.functions import mail, urls
-from lurewatch.functions.text import as_text, has_lexicon, is_blank, lexicon_hits
+from lurewatch.functions.text import (
+    as_text,
+    has_lexicon,
+    is_blank,
+    is_one_of,
+    lexicon_hits,
+    sql_text,
+)
 
 HARD_RULES = ("ip_url", "punycode_domain", "malicious_attachment_ext")
 
@@ -33,11 +40,8 @@ def _has_url() -> Column:
 
 def _free_sender_brand_text() -> Column:
     terms = [d.split(".")[0] for d in K.KNOWN_BRAND_DOMAINS]
-    text = F.lower(F.col("text_combined"))
-    mentions = text.contains(terms[0])
-    for term in terms[1:]:
-        mentions = mentions | text.contains(term)
-    return F.col("sig_sender_domain").isin(K.FREE_EMAIL_DOMAINS) & mentions
+    mentions = F.lower(F.col("text_combined")).rlike("|".join(terms))
+    return is_one_of(F.col("sig_sender_domain"), K.FREE_EMAIL_DOMAINS) & mentions
 
 
 def _sender_url_mismatch() -> Column:
@@ -46,8 +50,8 @@ def _sender_url_mismatch() -> Column:
 
 
 def _extension_in(extensions: list[str]) -> Column:
-    wanted = F.array(*[F.lit(e) for e in extensions])
-    return F.arrays_overlap(F.col("sig_extensions"), wanted)
+    wanted = f"array({', '.join(map(sql_text, extensions))})"
+    return F.expr(f"arrays_overlap(sig_extensions, {wanted})")
 
 
 def _mentions(lexicon: str) -> Column:
@@ -211,38 +215,28 @@ def score_rules(
 ) -> DataFrame:
     """Add ``rule_score``, ``rule_matches`` (in rule order) and ``hard_block``."""
     flagged = rule_flags(df, rules)
-    score = F.lit(0)
-    matches = []
+    # SQL text instead of column calls: one call into the JVM for all rules.  Concatenating
+    # zero- or one-element arrays stays inside generated code, which filtering one array with a
+    # lambda would not.
+    score, matches = ["0"], []
     for r in rules:
-        flag = F.col(f"rule_{r.rule_id}")
-        score = score + F.when(flag, r.weight).otherwise(0)
-        match = F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.description).alias("description"),
-            F.lit(r.weight).alias("weight"),
+        match = (
+            f"array(named_struct('rule_id', {sql_text(r.rule_id)}, "
+            f"'description', {sql_text(r.description)}, 'weight', {int(r.weight)}))"
         )
-        # Concatenating zero- or one-element arrays stays inside generated code, which
-        # filtering one array with a lambda would not.
-        matches.append(F.when(flag, F.array(match)).otherwise(F.slice(F.array(match), 1, 0)))
-    hard = [F.col(f"rule_{r.rule_id}") for r in rules if r.rule_id in HARD_RULES]
-    hard_block = F.lit(False)
-    for flag in hard:
-        hard_block = hard_block | flag
+        score.append(f"IF(`rule_{r.rule_id}`, {int(r.weight)}, 0)")
+        matches.append(f"IF(`rule_{r.rule_id}`, {match}, slice({match}, 1, 0))")
+    hard = [f"`rule_{r.rule_id}`" for r in rules if r.rule_id in HARD_RULES]
     scored = flagged.withColumns(
         {
-            "rule_score": score.cast("int"),
-            "rule_matches": F.concat(*matches) if matches else F.array(),
-            "hard_block": hard_block,
+            "rule_score": F.expr(f"CAST({' + '.join(score)} AS INT)"),
+            "rule_matches": F.expr(f"concat({', '.join(matches)})" if matches else "array()"),
+            "hard_block": F.expr(" OR ".join(hard) if hard else "false"),
         }
     )
     return scored if keep_flags else scored.drop(*[f"rule_{r.rule_id}" for r in rules])
 
 
-def rule_ids(matches: Column) -> Column:
-    """The ids out of ``rule_matches``."""
-    return matches["rule_id"]
-
-
 def rule_profile(
     scored: DataFrame, label_col: str = "label", rules: Sequence[Rule] = DEFAULT_RULES
 ) -> DataFrame:
@@ -252,26 +246,17 @@ def rule_profile(
     of partial sums per task, and are unpivoted afterwards, so no row is multiplied by the number
     of rules it matched.
     """
-    label = F.col(label_col)
-    counts = []
+    counts, rows = [], []
     for r in rules:
-        flag = F.col(f"rule_{r.rule_id}")
+        flag, name = f"`rule_{r.rule_id}`", r.rule_id
         counts += [
-            F.count_if(flag).alias(f"{r.rule_id}__all"),
-            F.count_if(flag & (label == 1)).alias(f"{r.rule_id}__pos"),
-            F.count_if(flag & (label == 0)).alias(f"{r.rule_id}__neg"),
+            F.expr(f"count_if({flag})").alias(f"{name}__all"),
+            F.expr(f"count_if({flag} AND `{label_col}` = 1)").alias(f"{name}__pos"),
+            F.expr(f"count_if({flag} AND `{label_col}` = 0)").alias(f"{name}__neg"),
         ]
+        rows.append(
+            f"named_struct('rule_id', {sql_text(name)}, 'weight', {int(r.weight)}, "
+            f"'emails', `{name}__all`, 'phish_emails', `{name}__pos`, 'benign_emails', `{name}__neg`)"
+        )
     totals = scored.agg(*counts)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.weight).alias("weight"),
-                F.col(f"{r.rule_id}__all").alias("emails"),
-                F.col(f"{r.rule_id}__pos").alias("phish_emails"),
-                F.col(f"{r.rule_id}__neg").alias("benign_emails"),
-            )
-            for r in rules
-        ]
-    )
-    return totals.select(F.inline(rows)).filter(F.col("emails") > 0)
+    return totals.selectExpr(f"inline(array({', '.join(rows)}))").filter(F.col("emails") > 0)
