@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.functions.scores import sigmoid
-from lurewatch.operators.metrics import binary_metrics, roc_auc
 from lurewatch.operators.profiling import class_weights
 from lurewatch.operators.term_weights import fit_tfidf
 
@@ -134,21 +133,3 @@ def train_classifier(
     else:
         estimator = LinearSVC(**common)
     return TextClassifier(vectors, estimator.fit(data), model, text_col)
-
-
-def classifier_metrics(
-    classifier: TextClassifier, df: DataFrame, target_col: str = "label"
-) -> DataFrame:
-    """Metrics of one split; ROC-AUC only where the model gives probabilities."""
-    scored = classifier.score(df, "score").select(
-        F.col(target_col).cast("int").alias("label"), "prediction", "score"
-    )
-    metrics = binary_metrics(scored)
-    if classifier.name == "logreg":
-        auc = roc_auc(scored)
-        return (
-            metrics.withColumn("_one", F.lit(1))
-            .join(auc.withColumn("_one", F.lit(1)), "_one")
-            .drop("_one")
-        )
-    return metrics.withColumn("roc_auc", F.lit(None).cast("double"))

@@ -12,20 +12,31 @@ from lurewatch.operators.isolation import IsolationForest, outlier_flag, train_i
 from lurewatch.operators.metrics import binary_metrics, roc_auc
 from lurewatch.operators.text_classifier import (
     TextClassifier,
-    classifier_metrics,
     train_classifier,
     validate_training,
 )
+from lurewatch.session import stage
 
 SPLITS = ("train", "val", "test")
 
 
-def _by_split(data: DataFrame, measure) -> DataFrame:
-    parts = [
-        measure(data.filter(F.col("split") == name)).select(F.lit(name).alias("split"), "*")
-        for name in SPLITS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def split_metrics(scored: DataFrame, with_auc: bool = True) -> DataFrame:
+    """Metrics per split from (split, label, prediction, score).
+
+    Scoring is the costly part, so the four narrow columns are stored once for all metrics.
+    """
+    stored = stage(scored.select("split", "label", "prediction", "score"), "scored")
+    table = binary_metrics(stored, by=["split"])
+    if not with_auc:
+        return table.withColumn("roc_auc", F.lit(None).cast("double"))
+    areas = reduce(
+        DataFrame.unionByName,
+        [
+            roc_auc(stored.filter(F.col("split") == name)).withColumn("split", F.lit(name))
+            for name in SPLITS
+        ],
+    )
+    return table.join(areas, "split", "left")
 
 
 def run_training(
@@ -39,8 +50,8 @@ def run_training(
     if missing:
         raise FileNotFoundError(f"Missing split: {', '.join(missing)}")
     classifier = train_classifier(rows.filter(F.col("split") == "train"), model, **options)
-    metrics = _by_split(rows, lambda part: classifier_metrics(classifier, part, target))
-    metrics = metrics.withColumn("num_features", F.lit(int(classifier.model.numFeatures)))
+    scored = classifier.score(rows, "score").withColumn("label", F.col(target))
+    metrics = split_metrics(scored, with_auc=model == "logreg").withColumn("num_features", F.lit(int(classifier.model.numFeatures)))
     if path:
         classifier.save(f"{path}/{model}")
         metrics.write.mode("overwrite").json(f"{path}/{model}_metrics")
@@ -51,17 +62,13 @@ def train_outlier_model(
     data: DataFrame, benign: DataFrame, id_col: str, **options
 ) -> tuple[IsolationForest, DataFrame]:
     """Forest on benign rows; metrics per split of ``data``."""
+    features = stage(
+        build_features(data).select("split", "label", *FEATURE_COLUMNS), "features"
+    )
     forest = train_isolation_forest(
         build_features(benign), FEATURE_COLUMNS, id_col, **options
     )
-    scored = forest.raw_score(build_features(data)).withColumn(
-        "prediction", outlier_flag(F.col("isolation_raw"), forest.threshold)
+    scored = forest.raw_score(features, "score").withColumn(
+        "prediction", outlier_flag(F.col("score"), forest.threshold)
     )
-
-    def measure(part: DataFrame) -> DataFrame:
-        auc = roc_auc(part, score_col="isolation_raw").withColumn("_one", F.lit(1))
-        return (
-            binary_metrics(part).withColumn("_one", F.lit(1)).join(auc, "_one").drop("_one")
-        )
-
-    return forest, _by_split(scored, measure)
+    return forest, split_metrics(scored)

@@ -6,12 +6,12 @@ options are read by one scan, whatever their number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from lurewatch.operators.cleaning import (
 )
 
 
+LOCAL_SCHEME = "^file:/+"
 HEADER_THREADS = 16  # header lines read at the same time
 
 
@@ -113,9 +114,7 @@ def choose_layout(header: Sequence[str]) -> str:
 
 def source_name(path: Column, root: str) -> Column:
     """Folders below the root and the file stem, joined by underscores."""
-    # Listed paths are URIs; only a percent sign marks an escape there.
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    relative = F.substring_index(plain, root.rstrip("/") + "/", -1)
+    relative = F.substring_index(path, root.rstrip("/") + "/", -1)
     return F.regexp_replace(F.regexp_replace(relative, r"\.[^./]*$", ""), "/", "_")
 
 
@@ -173,18 +172,19 @@ def load_csv(
         schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in header)
         raw = _reader(spark, multi_line).schema(schema).csv([c.path for _, c in members])
         columns = LAYOUTS[layout](raw, **dict(options))
-        file_path = F.col("_metadata.file_path")
+        # Unlike listed paths this one is percent-encoded.
+        file_path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
         rows = raw.select(
             *[
                 (pandas_missing(c) if na_values else c).alias(name)
                 for name, c in columns.items()
             ],
-            F.regexp_replace(file_path, "^file:/+", "/").alias("_file"),
+            F.regexp_replace(file_path, LOCAL_SCHEME, "/").alias("_file"),
             F.col("_metadata.file_block_start").alias("block_ord"),
             F.monotonically_increasing_id().alias("row_ord"),
         )
         listing = spark.createDataFrame(
-            [(_plain_path(c.path), c.source, n) for n, c in members],
+            [(re.sub(LOCAL_SCHEME, "/", c.path), c.source, n) for n, c in members],
             "_file string, source string, source_ord int",
         )
         parts.append(to_canonical(rows.join(listing, "_file"), keep=ORDER_COLUMNS))
@@ -195,15 +195,6 @@ def load_csv(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _plain_path(path: str) -> str:
-    """The form ``_metadata.file_path`` has after its scheme is cut off for local files."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return path
-    return quote(path, safe="/:+@!$&'()*,;=~-._")
-
-
 def load_all(
     spark: SparkSession, configs: Sequence[CsvConfig], dedupe: bool = True, **options
 ) -> DataFrame:
