@@ -82,68 +82,64 @@ def normalized_brands(brands: Sequence[str]) -> list[str]:
 
 def with_brand_match(
     df: DataFrame,
-    domain_col: str,
-    prefix: str,
+    domains: dict[str, str],
     brand_domains: Sequence[str] | None = None,
     similarity_threshold: float = 0.8,
     max_edit_distance: int = 2,
 ) -> DataFrame:
-    """Add ``<prefix>best_brand``, ``similarity``, ``edit_distance``, ``exact_match``,
-    ``punycode``, ``non_ascii`` and ``typosquat`` for one domain column.
+    """Brand metrics of one or more domain columns; ``domains`` maps column prefix to column.
 
-    Only the similarities come from Python.  Distances are the built-in ``levenshtein``, and the
-    choice of the best brand (higher similarity, then smaller distance, then earlier brand) is
-    the greatest of one struct per brand.
+    Adds ``<prefix>best_brand``, ``similarity``, ``edit_distance``, ``exact_match``,
+    ``punycode``, ``non_ascii`` and ``typosquat``.  Only the similarities come from Python, for
+    all columns in one pass.  Distances are the built-in ``levenshtein``, and the choice of the
+    best brand (higher similarity, then smaller distance, then earlier brand) is the greatest of
+    one struct per brand.
     """
     brands = normalized_brands(K.KNOWN_BRAND_DOMAINS if brand_domains is None else brand_domains)
-    p = prefix
-    out = df.withColumn(f"{p}norm", normalize_domain(F.coalesce(F.col(domain_col), F.lit(""))))
-    norm = F.col(f"{p}norm")
+    out = df.withColumns(
+        {
+            f"{p}norm": normalize_domain(F.coalesce(F.col(c), F.lit("")))
+            for p, c in domains.items()
+        }
+    )
     if brands:
-        out = out.withColumn(f"{p}label", domain_label(norm)).withColumn(
-            f"{p}sims", _brand_similarities(tuple(brands))(norm)
-        )
-        candidates = ", ".join(
-            f"named_struct('similarity', {p}sims[{i}], "
-            f"'closeness', -levenshtein({p}label, {sql_text(_label(b))}), "
-            f"'earlier', {-i}, 'brand', {sql_text(b)})"
-            for i, b in enumerate(brands)
-        )
-        best = F.expr(f"greatest({candidates})" if len(brands) > 1 else candidates)
-        out = out.withColumn(f"{p}best", F.when(norm != "", best))
-        found = F.col(f"{p}best")
-        # With no similarity anywhere the nearest brand by distance still counts.
-        is_match = found["similarity"].isNotNull() & (
-            (found["similarity"] > 0) | (found["closeness"] > -NO_DISTANCE)
-        )
-        out = out.withColumns(
-            {
-                f"{p}best_brand": F.when(is_match, found["brand"]).otherwise(F.lit("")),
-                f"{p}similarity": F.when(is_match, found["similarity"]).otherwise(F.lit(0.0)),
-                f"{p}edit_distance": F.when(is_match, -found["closeness"]).otherwise(NO_DISTANCE),
-                f"{p}exact_match": is_one_of(norm, brands).cast("int"),
-            }
-        ).drop(f"{p}label", f"{p}sims", f"{p}best")
-    else:
+        similarities = _brand_similarities(tuple(brands))
         out = out.withColumns(
-            {
-                f"{p}best_brand": F.lit(""),
-                f"{p}similarity": F.lit(0.0),
-                f"{p}edit_distance": F.lit(NO_DISTANCE),
-                f"{p}exact_match": F.lit(0),
-            }
-        )
-    return out.withColumns(
-        {
-            f"{p}punycode": norm.contains("xn--").cast("int"),
-            f"{p}non_ascii": norm.rlike(r"[^\x00-\x7f]").cast("int"),
-            f"{p}typosquat": (
-                (F.col(f"{p}exact_match") == 0)
-                & (F.col(f"{p}similarity") >= similarity_threshold)
-                & (F.col(f"{p}edit_distance") <= max_edit_distance)
-            ).cast("int"),
+            {f"{p}label": domain_label(F.col(f"{p}norm")) for p in domains}
+            | {f"{p}sims": similarities(F.col(f"{p}norm")) for p in domains}
+        ).withColumns({f"{p}best": F.expr(_best_brand(p, brands)) for p in domains})
+    chosen, flags = {}, {}
+    for p in domains:
+        exact = is_one_of(F.col(f"{p}norm"), brands) if brands else F.lit(False)
+        # With no similarity anywhere the nearest brand by distance still counts.
+        chosen |= {
+            f"{p}best_brand": F.expr(f"coalesce({p}best.brand, '')" if brands else "''"),
+            f"{p}similarity": F.expr(f"coalesce({p}best.similarity, 0.0D)" if brands else "0.0D"),
+            f"{p}edit_distance": F.expr(
+                f"coalesce(-{p}best.closeness, {NO_DISTANCE})" if brands else f"{NO_DISTANCE}"
+            ),
+            f"{p}exact_match": exact.cast("int"),
+            f"{p}punycode": F.expr(f"CAST(contains({p}norm, 'xn--') AS INT)"),
+            f"{p}non_ascii": F.expr(f"CAST({p}norm RLIKE '[^\\\\x00-\\\\x7f]' AS INT)"),
         }
-    ).drop(f"{p}norm")
+        flags[f"{p}typosquat"] = F.expr(
+            f"CAST({p}exact_match = 0 AND {p}similarity >= {float(similarity_threshold)}D "
+            f"AND {p}edit_distance <= {int(max_edit_distance)} AS INT)"
+        )
+    helpers = [f"{p}{c}" for p in domains for c in ("norm", "label", "sims", "best")]
+    return out.withColumns(chosen).withColumns(flags).drop(*helpers)
+
+
+def _best_brand(p: str, brands: Sequence[str]) -> str:
+    """SQL for the winning struct; null for an empty domain or distances past the limit."""
+    candidates = ", ".join(
+        f"named_struct('similarity', {p}sims[{i}], "
+        f"'closeness', -levenshtein({p}label, {sql_text(_label(b))}), "
+        f"'earlier', {-i}, 'brand', {sql_text(b)})"
+        for i, b in enumerate(brands)
+    )
+    best = f"greatest({candidates})" if len(brands) > 1 else candidates
+    return f"IF({p}norm = '', NULL, {best})"
 
 
 def domain_metrics(
@@ -151,4 +147,4 @@ def domain_metrics(
 ) -> DataFrame:
     """Brand metrics once per distinct domain, with the number of rows that carry it."""
     counted = domains.groupBy(F.col(domain_col).alias("domain")).agg(F.count("*").alias("emails"))
-    return with_brand_match(counted, "domain", "", brand_domains, **kw)
+    return with_brand_match(counted, {"": "domain"}, brand_domains, **kw)

@@ -181,9 +181,10 @@ def lookalike_features(
     similarity_threshold: float,
     max_edit_distance: int,
 ) -> DataFrame:
-    options = (brand_domains, similarity_threshold, max_edit_distance)
-    matched = with_brand_match(df, "_sender_domain", "_s_", *options)
-    matched = with_brand_match(matched, "first_url_domain", "_u_", *options)
+    columns = {"_s_": "_sender_domain", "_u_": "first_url_domain"}
+    matched = with_brand_match(
+        df, columns, brand_domains, similarity_threshold, max_edit_distance
+    )
     return matched.withColumns(
         {
             "sender_brand_similarity": F.col("_s_similarity"),

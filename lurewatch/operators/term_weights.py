@@ -46,7 +46,7 @@ def term_stats(df: DataFrame, text_col: str = "text_combined", min_df: int = 3)
     sees one row per text and term and the exchange one row per task and term.
     """
     listed = df.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).select(
-        F.array_sort(terms_of(F.col("words"))).alias("terms")
+        F.sort_array(terms_of(F.col("words"))).alias("terms")
     )
     # In the sorted list the first occurrence of a term differs from its predecessor.
     exploded = listed.select(

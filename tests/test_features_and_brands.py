@@ -129,7 +129,7 @@ def test_best_brand_matches_brute_force(spark):
         domains.append("".join(d))
     domains = [d for d in domains if not d.startswith("www.www.")]
     df = spark.createDataFrame([(d,) for d in domains], "d string")
-    for r in with_brand_match(df, "d", "").collect():
+    for r in with_brand_match(df, {"": "d"}).collect():
         brand, similarity, distance = brute_force(r.d.removeprefix("www."), K.KNOWN_BRAND_DOMAINS)
         assert (r.best_brand, r.similarity, r.edit_distance) == (brand, similarity, distance), r.d
         assert r.non_ascii == int(any(ord(c) > 127 for c in r.d))
