@@ -477,8 +477,9 @@ ORACLE["features_full"] = (
 
 _SKIPPED = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("head", "style", "script"))
 _PAGE_TEXT = rf"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|{_SKIPPED}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
-    _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{entity}', '{char}')"
+# References from the early days of HTML count without their semicolon as well.
+for entity, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
+    _PAGE_TEXT = f"regexp_replace({_PAGE_TEXT}, '&{entity};?', '{char}', 'g')"
 ORACLE["html_text"] = f"SELECT page_id, {normalise_lines(_PAGE_TEXT)} AS text FROM pages"
 
 _TRACKING = "(?i)/(?:" + "|".join(w.replace(".", r"\.") for w in K.TRACKING_PATH_WORDS) + ")"

@@ -458,7 +458,9 @@ def body_lines(spark, sf):
 def _raw_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Raw message bytes built from the email table: plain, HTML and multipart."""
     nl = F.lit("\n")
-    subject = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode("subject", "utf-8")), F.lit("?="))
+    # base64() breaks lines every 76 characters, which would end the header.
+    encoded = F.translate(F.base64(F.encode("subject", "utf-8")), "\r\n", "")
+    subject = F.concat(F.lit("=?utf-8?B?"), encoded, F.lit("?="))
     head = F.concat(
         F.lit("From: Sender <"), F.col("from_address"), F.lit(">\nSubject: "), subject, nl,
         F.lit("Authentication-Results: "), F.get(_auth_headers(), 1), nl, F.lit("MIME-Version: 1.0\n"),
