@@ -8,9 +8,13 @@ from lurewatch.plans.scoring import score_emails
 RECORD = "from_address string, subject string, body string, attachment_extensions array<string>"
 
 
-def scored(spark, body="", sender="a@example.com", subject="hi", exts=None):
-    row = score_rules(spark.createDataFrame([(sender, subject, body, exts)], RECORD)).first()
-    return row.rule_score, [m.rule_id for m in row.rule_matches], row.hard_block
+def record(body="", sender="a@example.com", subject="hi", exts=None):
+    return sender, subject, body, exts
+
+
+def scored(spark, *records):
+    rows = score_rules(spark.createDataFrame(list(records), RECORD)).collect()
+    return [(r.rule_score, [m.rule_id for m in r.rule_matches], r.hard_block) for r in rows]
 
 
 CASES = [
@@ -30,10 +34,11 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("rule_id,hit,miss", CASES, ids=[c[0] for c in CASES])
-def test_each_rule(spark, rule_id, hit, miss):
-    assert rule_id in scored(spark, **hit)[1]
-    assert rule_id not in scored(spark, **miss)[1]
+def test_each_rule(spark):
+    hits = scored(spark, *[record(**hit) for _, hit, _ in CASES])
+    misses = scored(spark, *[record(**miss) for _, _, miss in CASES])
+    for (rule_id, _, _), hit, miss in zip(CASES, hits, misses):
+        assert rule_id in hit[1] and rule_id not in miss[1], rule_id
 
 
 def test_every_rule_is_covered_and_weighted():
@@ -43,10 +48,10 @@ def test_every_rule_is_covered_and_weighted():
 
 
 def test_score_is_the_sum_in_rule_order(spark):
-    score, ids, hard = scored(
-        spark, sender="user@gmail.com", subject="Urgent: verify your account",
+    [(score, ids, hard)] = scored(spark, record(
+        sender="user@gmail.com", subject="Urgent: verify your account",
         body="Please login and update your password at http://somesite.com/verify",
-    )
+    ))
     assert ids == ["sender_url_domain_mismatch", "urgent_or_action", "credentials_with_url"]
     assert score == 5 and not hard
 
@@ -78,9 +83,7 @@ def fused(spark, s, t, r=0, hard=False, dkim=None, sender="a@b.com", thresholds=
     return row.is_phish, row.triggered_by, row.confidence, row
 
 
-@pytest.mark.parametrize(
-    "s,t,r,path,confidence",
-    [
+PATHS = [
         (0.1, 0.995, 0, "transformer_certain", 0.995),
         (0.55, 0.99, 0, "transformer_corroborated", 0.77),
         (0.1, 0.95, 2, "transformer_rule_corroborated", 0.95),
@@ -96,12 +99,15 @@ def fused(spark, s, t, r=0, hard=False, dkim=None, sender="a@b.com", thresholds=
         (0.95, 0.1, 2, None, 0.05),
         (0.95, 0.75 - 1e-6, 0, None, 0.05),
         (0.3, 0.2, 26, None, 0.7),
-    ],
-)
-def test_paths(spark, s, t, r, path, confidence):
-    is_phish, by, got, _ = fused(spark, s, t, r)
-    assert (is_phish, by) == (int(path is not None), path)
-    assert got == pytest.approx(confidence, abs=1e-9)
+]
+
+
+def test_paths(spark):
+    rows = [(False, r, s, t, False, None, "a@b.com") for s, t, r, _, _ in PATHS]
+    for case, row in zip(PATHS, fuse(spark.createDataFrame(rows, FUSED)).collect()):
+        path, confidence = case[3:]
+        assert (row.is_phish, row.triggered_by) == (int(path is not None), path), case
+        assert row.confidence == pytest.approx(confidence, abs=1e-9), case
 
 
 def test_hard_block_wins_and_hides_scores(spark):
