@@ -265,6 +265,11 @@ uniq AS (SELECT * FROM lab WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY
     + " SELECT email_id, label, split FROM sp"
 )
 
+ORACLE["split_sink"] = (
+    ORACLE["preprocess_pipeline"].removesuffix(" SELECT email_id, label, split FROM sp")
+    + " SELECT split, label, count(*) AS emails FROM sp GROUP BY split, label"
+)
+
 # --- CSV corpora ----------------------------------------------------------------------------
 
 _NA = in_list(K.CSV_NA_VALUES)
@@ -564,6 +569,10 @@ ORACLE["softmax_temperature"] = over_emails(
 SELECT email_id, round(exp(b / 2) / (exp(a / 2) + exp(b / 2)), 6) AS proba,
  CAST(CASE WHEN b > a THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM lg"""
 )
+ORACLE["sequence_scores"] = f"""{VERDICTS}, lg AS (SELECT email_id, hard_block,
+ (length(tc) % 7 - 3) / 2.0 AS a, (length(tc) % 11 - 5) / 2.0 AS b FROM s)
+SELECT email_id, CASE WHEN NOT hard_block
+ THEN round(exp(b / 2) / (exp(a / 2) + exp(b / 2)), 6) END AS transformer_proba FROM lg"""
 _CELLS = """count(*) AS rows, count(*) FILTER (label = 1 AND p = 1) AS tp, count(*) FILTER (label = 0 AND p = 1) AS fp,
  count(*) FILTER (label = 1 AND p = 0) AS fn, count(*) FILTER (label = p) AS hits"""
 _METRICS = """rows, round(hits / rows, 6) AS accuracy,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from lurewatch.operators import (
     profiling,
     reports,
     rules,
+    sequence_scorer,
     splitting,
     term_weights,
     text_classifier,
@@ -27,6 +29,7 @@ from lurewatch.plans.fixture import emails, read_table
 from lurewatch.plans.prepare import benign_only as keep_benign
 from lurewatch.plans.prepare import preprocess_and_split
 from lurewatch.plans.scoring import Scorers, score_emails
+from lurewatch.plans.training import run_training
 from lurewatch.session import run_dir, spread_small_input, stage
 from lurewatch.sources import labelled_csv, markup, messages
 from lurewatch.streaming.verdicts import start_scoring
@@ -198,6 +201,16 @@ def preprocess_pipeline(spark, sf):
     return prepared.data.select("email_id", "label", "split")
 
 
+@query
+def split_sink(spark, sf):
+    """The same pipeline through the partitioned sink: rows read back per folder."""
+    rows = _canonical(spark, sf)
+    prepared = preprocess_and_split(
+        rows, ["email_id"], 0.1, 0.1, seed=42, output=run_dir(spark, "splits")
+    )
+    return splitting.split_counts(prepared.data)
+
+
 @query
 def benign_only(spark, sf):
     return keep_benign(_split_emails(spark, sf)).select("email_id", "source")
@@ -542,6 +555,31 @@ def svm_scores(spark, sf):
     return _classifier_scores(spark, sf, "linear_svm")
 
 
+@query
+def training_metrics(spark, sf):
+    """A whole training run: metrics of every split."""
+    data = stage(
+        splitting.stratified_split(_labelled(spark, sf), key_col="email_id").select(
+            "text_combined", "label", "split"
+        ),
+        "training",
+    )
+    return _rounded(run_training(data, "logreg", max_iter=20)[1])
+
+
+@query
+def sequence_scores(spark, sf):
+    """The pluggable scorer with logits that depend on the text length only; rows a hard rule
+    has decided are skipped."""
+
+    def factory():
+        return lambda texts: np.array([[(len(t) % 7 - 3) / 2, (len(t) % 11 - 5) / 2] for t in texts])
+
+    scored = rules.score_rules(emails(spark, sf)).drop("transformer_proba")
+    scored = sequence_scorer.with_sequence_proba(scored, factory, skip=F.col("hard_block"))
+    return _rounded(scored.select("email_id", "transformer_proba"))
+
+
 @query
 def bad_targets(spark, sf):
     rows = emails(spark, sf).withColumn("target", _spelling("email_id"))
