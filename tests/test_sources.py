@@ -148,7 +148,7 @@ def test_message_variants(spark):
         fail=b"Authentication-Results: mx; dkim=fail header.i=@x.com\n\nb",
     )
     assert rows["plain"].body == "line one\n line two"
-    assert rows["nohead"].body == "just text without headers" or rows["nohead"].body == ""
+    assert rows["nohead"].body == "just text without headers"
     assert rows["empty"].body == "" and rows["empty"].from_address == ""
     assert rows["qp"].body == "café =" and rows["b64"].body == "hello" and rows["charset"].body == "café"
     assert rows["broken"].error is None
@@ -175,7 +175,7 @@ def test_link_table(spark):
 
 
 def test_broken_markup_keeps_what_was_read():
-    assert markup.read_page("<p>one<script>x</script></p>two <b") == ("one two ", []) or True
+    assert markup.read_page("<p>one<script>x</script></p>two <b") == ("one two ", [])
     text, links = markup.read_page("<a href='u'>t</a><a href>n</a><head>h</head></head>z")
     assert links == ["u"] and "h" not in text.split() and text.endswith("z")
     assert markup.read_page(None) == ("", [])
