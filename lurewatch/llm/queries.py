@@ -28,3 +28,11 @@ def op6_best_two_fit(spark, sf):
     from lurewatch.llm.packing import pack_documents
 
     return pack_documents(read(spark, sf, "documents", "doc_id", "text"), tokenizer_path())
+
+
+@query
+def op9_compression_quality(spark, sf):
+    from lurewatch.llm.quality import quality_scores
+
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return quality_scores(docs, read(spark, sf, "labels", "doc_id", "quality"))
