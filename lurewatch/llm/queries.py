@@ -36,3 +36,10 @@ def op9_compression_quality(spark, sf):
 
     docs = read(spark, sf, "documents", "doc_id", "text")
     return quality_scores(docs, read(spark, sf, "labels", "doc_id", "quality"))
+
+
+@query
+def op7_cross_parsing_language(spark, sf):
+    from lurewatch.llm.language import language_predictions
+
+    return language_predictions(read(spark, sf, "documents", "doc_id", "text", "lang"))
