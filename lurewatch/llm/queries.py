@@ -43,3 +43,10 @@ def op7_cross_parsing_language(spark, sf):
     from lurewatch.llm.language import language_predictions
 
     return language_predictions(read(spark, sf, "documents", "doc_id", "text", "lang"))
+
+
+@query
+def op3_wu_manber_decontamination(spark, sf):
+    from lurewatch.llm.decontamination import contamination
+
+    return contamination(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "benchmark", "item_id", "text"))
