@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from lurewatch.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-# Words kept with their ids by a worker, and the longest that is kept; a full store is emptied.
-STORE_WORDS, STORE_CHARS = 400_000, 64
+# Encoded words and joined words kept by a worker, and the longest; a full store is emptied.
+ENCODED_WORDS, JOINED_WORDS, STORE_CHARS = 500_000, 250_000, 64
+# Bytes of text whose words are looked up together.
+TOGETHER_BYTES = 12 << 20
 # Pieces of one length that are numbered together, on average at most.
 RANKED_TOGETHER = 100_000
 
@@ -39,29 +42,100 @@ RANKED_TOGETHER = 100_000
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that never joins what white space parts.
 
-    Words are encoded once and their ids kept as bytes, so that a text is a join of byte strings.
+    The distinct words of a slice are looked up in a store of ids; the ids of the texts are then
+    gathered from those of their words.  Letters are lower-cased by the tokenizer, so plain
+    letters may be lower-cased before the look-up, unless a text could name a special token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        pa.set_cpu_count(1)
         self.tokenizer = Tokenizer.from_file(path)
-        self.store: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        rows = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.store) > STORE_WORDS:
-            self.store = {"": b""}
-        store, extra = self.store, {}
-        unknown = list({word for words in rows for word in words if word not in store})
-        for start in range(0, len(unknown), 4096):
-            part = unknown[start : start + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (store if len(word) <= STORE_CHARS else extra)[word] = np.array(found.ids, "<u4").tobytes()
-        if extra:
-            store = store | extra
-        return [b"".join(map(store.__getitem__, words)) for words in rows]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.encoded: dict[str, bytes] = {}
+        self.joined: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row and where each text begins and ends."""
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        known = np.frombuffer(b"".join(ids), "<u4")
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        n = sizes[index]
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total, dtype=np.int32) if total < 1 << 31 else np.arange(total)
+        place += np.repeat((begins[index] - (ends - n)).astype(place.dtype), n)
+        words = np.concatenate([[0], ends])
+        return known[place], words[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if len(self.encoded) > ENCODED_WORDS:
+            self.encoded = {}
+        if len(self.joined) > JOINED_WORDS:
+            self.joined = {}
+        encoded, joined = self.encoded, self.joined
+        # A run of letters with marks behind it is encoded as its two parts.
+        letters, whole, parted = set(), set(), []
+        for word in words:
+            if word in joined or word in encoded:
+                continue
+            core = word.rstrip(TAIL_MARKS)
+            if not _plain(core):
+                whole.add(word)
+                continue
+            if core not in encoded:
+                letters.add(core)
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in encoded:
+                    whole.add(tail)
+                parted.append((word, core, tail))
+        self._letters(list(letters))
+        self._whole(list(whole))
+        for word, core, tail in parted:
+            joined[word] = encoded[core] + encoded[tail]
+        found = [joined[w] if w in joined else encoded[w] for w in words]
+        for word in letters | whole:
+            if len(word) > STORE_CHARS:
+                del encoded[word]
+        return found
+
+    def _letters(self, words: list[str]) -> None:
+        """Encodes runs of letters many at a time: each ends with the one token that ends a word."""
+        for start in range(0, len(words), 512):
+            part = words[start : start + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.encoded[word] = data[begin:end]
+                begin = end
+
+    def _whole(self, words: list[str]) -> None:
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            for word, encoded in zip(part, found, strict=True):
+                self.encoded[word] = np.array(encoded.ids, "<u4").tobytes()
+
+
+# Marks that the tokenizer parts from letters before them; no apostrophe, which starts endings.
+TAIL_MARKS = ".,;:!?#$%&*"
+
+
+def _plain(word: str) -> bool:
+    """Letters of the Latin blocks, of which no two make up one and each has one lower case."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
 
 
 def token_pieces(
@@ -77,25 +151,27 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", TOGETHER_BYTES):
             words = words or WordTokenizer(tokenizer)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows, columns = [], ([], [], [], [])
-            ids = []
-            for row, tokens in enumerate(words.encode(texts)):
-                tokens += end
-                for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
-                    part = tokens[start : start + 4 * capacity]
+            ids, bounds = words.encode(batch.column("text"))
+            data, rows, columns, kept = ids.tobytes(), [], ([], [], [], []), []
+            for row, (begin, stop) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                size = stop - begin + 1  # the end token included
+                for piece, start in enumerate(range(0, size, capacity)):
+                    length = min(capacity, size - start)
+                    part = data[4 * (begin + start) : 4 * min(begin + start + length, stop)]
+                    if start + length == size:
+                        part += end
                     rows.append(row)
-                    for column, value in zip(columns, (piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for column, value in zip(columns, (piece, start, length, zlib.crc32(part)), strict=True):
                         column.append(value)
                     if keep_ids:
-                        ids.append(part)
+                        kept.append(part)
             arrays = [batch.column("doc_id").take(pa.array(rows, pa.int64()))]
             arrays += [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
-                arrays, names = [*arrays, pa.array(ids, pa.binary())], [*names, "ids"]
+                arrays, names = [*arrays, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
