@@ -50,3 +50,10 @@ def op3_wu_manber_decontamination(spark, sf):
     from lurewatch.llm.decontamination import contamination
 
     return contamination(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "benchmark", "item_id", "text"))
+
+
+@query
+def op2_randomness_secrets(spark, sf):
+    from lurewatch.llm.secrets import secret_spans
+
+    return secret_spans(read(spark, sf, "documents", "doc_id", "text"))
