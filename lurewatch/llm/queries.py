@@ -57,3 +57,10 @@ def op2_randomness_secrets(spark, sf):
     from lurewatch.llm.secrets import secret_spans
 
     return secret_spans(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query
+def op10_grouped_prefix_join(spark, sf):
+    from lurewatch.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
