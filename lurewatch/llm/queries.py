@@ -64,3 +64,10 @@ def op10_grouped_prefix_join(spark, sf):
     from lurewatch.llm.near_duplicates import near_duplicates
 
     return near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query
+def op4_line_hashing(spark, sf):
+    from lurewatch.llm.line_dedup import repeated_units
+
+    return repeated_units(read(spark, sf, "documents", "doc_id", "text"))
