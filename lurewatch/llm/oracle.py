@@ -1,3 +1,17 @@
-"""SQL counterparts of the queries that SQL can express."""
+"""SQL counterparts of the queries that SQL can express, in DuckDB's dialect."""
 
 ORACLE: dict[str, str] = {}
+
+# A SHA-1 has 160 bits: eight groups of five hexadecimal digits, each four base-32 digits.
+ORACLE["op5_seekable_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS k, sha1(coalesce(html, '')) AS s FROM pages
+), f AS (SELECT k, min(page_id) AS first_id FROM p GROUP BY k)
+SELECT p.page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(s, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (k)
+"""

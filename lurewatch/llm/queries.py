@@ -71,3 +71,10 @@ def op4_line_hashing(spark, sf):
     from lurewatch.llm.line_dedup import repeated_units
 
     return repeated_units(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query
+def op5_seekable_warc(spark, sf):
+    from lurewatch.llm.warc import archived_pages
+
+    return archived_pages(read(spark, sf, "pages", "page_id", "url", "html"))
