@@ -94,7 +94,9 @@ def sample_labelled(
     # Ranked before repeats are dropped, so that the limit bounds every task.
     chosen = chosen.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= 2 * examples)
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    found = chosen.select("doc_id", "label", "draw").distinct().join(texts, "doc_id")
+    # At most 2 * examples ids of either class: small enough to send to the texts at any size.
+    ids = chosen.select("doc_id", "label", "draw").distinct()
+    found = texts.join(F.broadcast(ids), "doc_id")
     # A long text gives the part at a place that its hash picks.
     places = F.greatest(F.lit(1), F.ceil(F.length("text") / EXAMPLE_BYTES))
     part = F.pmod(F.col("draw"), places) * EXAMPLE_BYTES + 1
