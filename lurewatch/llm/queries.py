@@ -78,3 +78,10 @@ def op5_seekable_warc(spark, sf):
     from lurewatch.llm.warc import archived_pages
 
     return archived_pages(read(spark, sf, "pages", "page_id", "url", "html"))
+
+
+@query
+def op8_black_box_chat(spark, sf):
+    from lurewatch.llm.chat import formatted_conversations, with_hostile_conversation
+
+    return formatted_conversations(with_hostile_conversation(read(spark, sf, "conversations")))
