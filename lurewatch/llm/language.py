@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lurewatch.llm.common import fold, text_slices
 
@@ -35,6 +36,7 @@ SNIPPET_CHARS = 400
 MAX_TRAINING_CHARS = 160_000
 MAX_SYMBOLS = 120
 STRETCH = 2048
+LEAST_PHRASE = 1.5
 # Symbols of all stretches that are parsed side by side.
 SIDE_BY_SIDE = 4 << 20
 
@@ -124,8 +126,9 @@ class LanguageModel:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names)
 
         names = ["doc_id", "lang_pred", "score", "n_symbols", "n_phrases"]
-        schema = f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, n_symbols long, n_phrases long"
-        return rows.mapInArrow(run, schema)
+        added = StructType.fromDDL("lang_pred string, score double, n_symbols long, n_phrases long")
+        # The id may be of any type, whole rows included.
+        return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *added.fields]))
 
 
 class CrossParser:
@@ -233,6 +236,24 @@ def train(docs: DataFrame, usable, snippets: int = SNIPPETS) -> LanguageModel:
     return LanguageModel(languages, alphabet, [symbols[c] for c in coded])
 
 
+def in_known_language(docs: DataFrame, least_phrase: float = LEAST_PHRASE) -> DataFrame:
+    """The rows whose text is in one of the languages of the table itself; all columns.
+
+    Rejected are texts without a letter and texts of which even the best language only explains
+    phrases of fewer than ``least_phrase`` symbols on average, as in a script that none has.  A
+    missing ``lang`` is filled in.
+    """
+    model = train(docs, F.lit(True))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = model.predict(rows, id_col="row").withColumnRenamed("doc_id", "row")
+    kept = found.filter(
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("n_symbols") >= least_phrase * F.col("n_phrases"))
+    )
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["lang"] = F.coalesce("row.lang", "lang_pred")
+    return kept.select(*[column.alias(name) for name, column in columns.items()])
+
+
 def language_predictions(docs: DataFrame) -> DataFrame:
     """Predictions for all documents, learned outside the fold crc32(id) % 4 = 2."""
     held_out = fold("doc_id", 4, 2)

@@ -147,7 +147,6 @@ def token_pieces(
     Only longer documents are cut, and only their last piece may be shorter.
     """
     end = np.array([end_id], "<u4").tobytes()
-    id_type = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
@@ -174,8 +173,8 @@ def token_pieces(
                 arrays, names = [*arrays, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
     return rows.mapInArrow(cut, schema + (", ids binary" if keep_ids else ""))
 
 

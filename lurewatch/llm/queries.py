@@ -85,3 +85,10 @@ def op8_black_box_chat(spark, sf):
     from lurewatch.llm.chat import formatted_conversations, with_hostile_conversation
 
     return formatted_conversations(with_hostile_conversation(read(spark, sf, "conversations")))
+
+
+@query
+def op1_cross_polytope_search(spark, sf):
+    from lurewatch.llm.neighbours import search
+
+    return search(read(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
