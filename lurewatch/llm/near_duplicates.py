@@ -2,19 +2,22 @@
 
 A link needs 100 * |x & y| >= 80 * |x | y|.  The work is done in two parts.
 
-*Which documents can have a partner at all?*  Every set is put in one global order (by hash).
-If x and y link, the first ``n - ceil(0.8 n) + l`` shingles of either share at least l (the
-l-prefix lemma, with l a tenth of the smaller set).  A document of whose prefix fewer shingles
-occur in any other prefix is out.  Equal sets meet as one node, and a slice of documents settles
-the shingles that are common within it, so no shingle brings more than one row a slice to the
-exchange, however many documents have it.
+*Which documents can have a partner at all?*  The shingles of a set are sorted by hash, and
+neighbours in that order make pairs.  A shingle that only x has breaks two pairs of x, one that
+only y has breaks one; so with 80 percent at most D = 0.4 n of the n - 1 pairs of x are missing
+in y.  By the prefix lemma the first D + l pairs of either (in the order of their hashes) share
+at least l.  A document of whose prefix fewer pairs occur in any other prefix is out.  Unrelated
+documents have many shingles in common but hardly any pairs, at any size of the corpus.  Equal
+sets meet as one node, and a slice of documents settles the pairs that are common within it, so
+none brings more than one row a slice to the exchange, however many documents have it.
 
 *Grouped prefix join of the rest.*  Their shingles are put in the order of rising frequency, and
 shingles that only one document has are taken out; they can be in no intersection, so a document
 with too few others is out, and the size of a partner is bounded from both sides.  Nodes with
 identical prefixes and size are one group.  Groups that meet in the list of a prefix shingle are
 candidates if their sizes fit.  Pairs are expanded and verified in two steps so that a list of
-thousands of near copies costs no square: first every member against the most central member of
+thousands of near copies costs no square (where in its list a node stands bounds the size of its
+partners there, since all that two sets share stands behind the first shingle they share): first every member against the most central member of
 the list; the links found give components, and then only members of different components of a
 list are compared, those outside its main component against all others.  Links within a
 component would not change the result.
@@ -44,8 +47,8 @@ from lurewatch.session import stage
 SHINGLE_WORDS = 5
 # A link needs PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 80
-# Part of the set by which the prefixes of the first part are longer than a plain prefix.
-EXTRA = 0.1
+# Pairs that prefixes must share, as a part of the set.
+SHARED_PART = 0.05
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -93,86 +96,97 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _extra(n: int) -> int:
-    return max(1, int(EXTRA * n))
+def _broken(n: int) -> int:
+    """The most pairs of a set of ``n`` that a linked set can lack.
 
+    With i common shingles these are 2 (n - i) + (m - i) for a partner of size m; a link needs
+    i >= c (n + m) and m >= n * PERCENT / 100.
+    """
+    c = PERCENT / (100 + PERCENT)
+    return int(n * ((2 - 3 * c) + (1 - 3 * c) * PERCENT / 100) + 1e-9)
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: node, set size, and what its prefix shares within its slice of documents.
 
-    ``settled`` counts the prefix shingles that other nodes of the slice have too; ``lone`` are
-    the others.  ``common`` names each settled shingle once a slice.
-    """
+def _wanted(n: int) -> int:
+    return max(1, int(SHARED_PART * n))
+
+
+def neighbour_pairs(shingles: np.ndarray) -> np.ndarray:
+    """The prefix of the pairs of a sorted set, in the order of their hashes."""
+    if len(shingles) < 4:  # a smaller set links with equal sets only
+        return shingles[:0]
+    left = shingles[:-1].view(np.uint64) * _ODD
+    left += shingles[1:].view(np.uint64)
+    left ^= left >> np.uint64(31)
+    left *= _MIX
+    pairs = np.sort(left.view(np.int64))
+    return pairs[: _broken(len(shingles)) + _wanted(len(shingles))]
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, n`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             sets = shingle_sets(batch.column("text"))
             known = batch.column("doc_id").is_valid().to_pylist()
             nodes = [_node(s) if len(s) and k else None for s, k in zip(sets, known, strict=True)]
-            first: dict[int, int] = {}
-            for row, node in enumerate(nodes):
-                if node is not None:
-                    first.setdefault(node, row)
-            rows = list(first.values())
-            prefixes = []
-            for row in rows:
-                n = len(sets[row])
-                prefixes.append(sets[row][: n - -(-PERCENT * n // 100) + _extra(n)])
-            settled, lone, common = [0] * len(sets), [[]] * len(sets), [[]] * len(sets)
-            if rows:
-                joined = np.concatenate(prefixes)
-                values, at, inverse, counts = np.unique(joined, return_index=True, return_inverse=True, return_counts=True)
-                shared = counts[inverse] > 1
-                opens = np.zeros(len(joined), bool)
-                opens[at[counts > 1]] = True
-                begin = 0
-                for row, prefix in zip(rows, prefixes, strict=True):
-                    part = slice(begin, begin + len(prefix))
-                    settled[row] = int(shared[part].sum())
-                    lone[row], common[row] = prefix[~shared[part]], prefix[opens[part]]
-                    begin += len(prefix)
-            longs = pa.list_(pa.int64())
-            arrays = [
-                batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(settled, pa.int64()), pa.array(lone, longs), pa.array(common, longs),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n", "settled", "lone", "common"])
+            arrays = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = dict(docs.dtypes)[id_col]
-    return rows.mapInArrow(
-        run, f"doc_id {id_type}, node long, n long, settled long, lone array<long>, common array<long>"
-    )
 
+def _entries(docs: DataFrame) -> DataFrame:
+    """``pair, node, weight``: what a slice of documents cannot settle by itself.
 
-def _partnered(sets: DataFrame) -> DataFrame:
+    A pair that one node of the slice has is a row of weight 1.  A pair that several have is one
+    row without a node; that these nodes share it is settled, and how many pairs of a node are
+    settled is a row of that negative weight, under the node's own hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            sets = {_node(s): s for s in shingle_sets(batch.column("text")) if len(s)}
+            prefixes = {node: neighbour_pairs(s) for node, s in sets.items()}
+            nodes = np.repeat(np.array(list(prefixes), np.int64), [len(p) for p in prefixes.values()])
+            if not len(nodes):
+                continue
+            pairs = np.concatenate(list(prefixes.values()))
+            values, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+            settled = counts[inverse] > 1
+            some, how_many = np.unique(nodes[settled], return_counts=True)
+            common = values[counts > 1]
+            pair = np.concatenate([pairs[~settled], common, some])
+            node = np.concatenate([nodes[~settled], np.zeros(len(common), np.int64), some])
+            weight = np.concatenate([np.ones(int((~settled).sum()), np.int64), np.zeros(len(common), np.int64), -how_many])
+            arrays = [pa.array(pair), pa.array(node, mask=weight == 0), pa.array(weight.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["pair", "node", "weight"])
+
+    return docs.filter("doc_id is not null").mapInArrow(run, "pair long, node long, weight int")
+
+
+def _partnered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, n, first_doc`` of the nodes whose prefix shares enough with other prefixes."""
-    lone = sets.select(F.explode("lone").alias("shingle"), "node")
-    common = sets.select(F.explode("common").alias("shingle"), F.lit(None).cast("long").alias("node"))
-    # A shingle has one row for each slice at most.
-    of_shingle = Window.partitionBy("shingle")
-    low, high = F.min("node").over(of_shingle), F.max("node").over(of_shingle)
-    marks = F.count(F.when(F.col("node").isNull(), 1)).over(of_shingle)
+    # A pair has one row for each slice at most.
+    of_pair = Window.partitionBy("pair")
+    low, high = F.min("node").over(of_pair), F.max("node").over(of_pair)
+    common = F.min("weight").over(of_pair) == 0
     seen = (
-        lone.unionByName(common).withColumn("shared", (low != high) | (marks > 0))
-        .filter(F.col("shared") & F.col("node").isNotNull())
-        .groupBy("node").agg(F.count("*").alias("met"))
+        _entries(docs).withColumn("shared", (low != high) | common)
+        .filter("weight < 0 or (weight = 1 and shared)")
+        .groupBy("node").agg(F.sum(F.abs("weight")).alias("met"))
     )
-    nodes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.max("settled").alias("settled"), F.min("n").alias("n"), F.min("doc_id").alias("first_doc")
+    sets = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("n").alias("n"), F.min("doc_id").alias("first_doc")
     )
     smallest = F.ceil(F.col("n") * PERCENT / 100)
-    wanted = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
-    return nodes.join(seen, "node", "left").filter(F.col("settled") + F.coalesce("met", F.lit(0)) >= wanted).select(
-        "node", "n", "first_doc"
-    )
+    wanted = F.greatest(F.lit(1), F.floor(smallest * SHARED_PART))
+    return sets.join(seen, "node").filter(F.col("met") >= wanted).select("node", "n", "first_doc")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, n, shingles`` of the wanted nodes, from the text of their first document."""
-    rows = docs.select(F.col(id_col).alias("first_doc"), F.col(text_col).alias("text")).join(
-        wanted.select("first_doc", "node"), "first_doc"
-    )
+    rows = docs.withColumnRenamed("doc_id", "first_doc").join(wanted.select("first_doc", "node"), "first_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -190,22 +204,26 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
 
 def _by_frequency(sets: DataFrame) -> DataFrame:
-    """``node, n, m, most, shared``: the shared shingles of a node, rarest first, if they can be
-    enough; ``most`` bounds the size of a partner (with |x & y| <= m)."""
+    """``node, n, m, shared``: the m shared shingles of a node, rarest first, if they can be
+    enough for a link."""
     rows = sets.select(F.explode("shingles").alias("shingle"), "node", "n")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     shared = rows.join(often, "shingle").groupBy("node", "n").agg(
         F.array_sort(F.collect_set(F.struct("often", "shingle"))).alias("s")
     )
     m = F.size("s").cast("long")
-    most = F.floor((100 + PERCENT) * m / PERCENT - F.col("n"))
-    return shared.select("node", "n", m.alias("m"), most.alias("most"), F.col("s.shingle").alias("shared")).filter(
+    return shared.select("node", "n", m.alias("m"), F.col("s.shingle").alias("shared")).filter(
         100 * F.col("m") >= PERCENT * F.col("n")
     )
 
 
+def _most(common):
+    """The largest partner with which ``common`` shared shingles can make a link."""
+    return F.floor((100 + PERCENT) * common / PERCENT - F.col("n"))
+
+
 def _fits(a: str, b: str):
-    """Whether the sizes of two sets allow a link."""
+    """Whether the sizes of two sets allow a link, given what they can share at most."""
     return F.expr(
         f"{PERCENT} * greatest({a}.n, {b}.n) <= 100 * least({a}.n, {b}.n) and {a}.n <= {b}.most and {b}.n <= {a}.most"
     )
@@ -224,38 +242,37 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links between nodes that connect all that link, and the components they give."""
     needed = F.ceil(F.col("n") * PERCENT / 100)
     prefix = F.slice("shared", F.lit(1), (F.col("m") - needed + 1).cast("int"))
-    # Identical prefix and size: one group.
+    # Identical prefix and size (which give m as well): one group.
     members = stage(
-        sets.select("node", "n", "m", "most", prefix.alias("prefix"), F.xxhash64(prefix, "n").alias("gid")), "members"
+        sets.select("node", "n", "m", prefix.alias("prefix"), F.xxhash64(prefix, "n").alias("gid")), "members"
     )
-    central = F.min(F.struct((F.col("n") - F.col("m")).alias("dead"), F.col("node")))
-    groups = members.groupBy("gid", "prefix", "n").agg(F.max("most").alias("most"), central.alias("central"))
-    lists = stage(groups.select(F.explode("prefix").alias("shingle"), "gid", "n", "most", "central"), "lists")
+    central = F.min("node")
+    groups = members.groupBy("gid", "prefix", "n", "m").agg(central.alias("central"))
+    # All that a node shares with one that it first meets in this list stands from here on.
+    entries = groups.select(F.posexplode("prefix").alias("at", "shingle"), "gid", "n", "m", "central")
+    lists = stage(entries.withColumn("most", _most(F.col("m") - F.col("at"))).drop("at"), "lists")
 
     # Every group of a list against the list's most central group.
-    hub = F.min(F.struct("central", "gid", "n", "most"))
+    hub = F.min(F.struct((F.col("n") - F.col("m")).alias("dead"), "central", "gid", "n", "most"))
     hubs = lists.groupBy("shingle").agg(hub.alias("h"), F.count("*").alias("groups")).filter("groups > 1")
     hubs = hubs.select("shingle", "h.*")
     stars = (
         lists.alias("g").join(hubs.alias("h"), "shingle")
         .filter((F.col("g.gid") != F.col("h.gid")) & _fits("g", "h"))
-        .select(F.col("g.gid").alias("gid"), F.col("h.central.node").alias("b")).distinct()
+        .select(F.col("g.gid").alias("gid"), F.col("h.central").alias("b")).distinct()
     )
-    own = groups.select("gid", F.col("central.node").alias("b"))
+    own = groups.select("gid", F.col("central").alias("b"))
     nodes = members.select("gid", F.col("node").alias("a"))
     pairs = nodes.join(stars.unionByName(own), "gid").filter("a <> b").select("a", "b").distinct()
     found = stage(_verified(pairs, sets), "star-links")
     roots = components(found)
 
     # What is left: members of one list in different components.
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(
-        "node", "n", "most", "gid", "root"
-    )
-    labelled = stage(labelled, "labelled")
-    parts = labelled.groupBy("gid", "n", "root").agg(F.max("most").alias("most"))
-    spread = stage(
-        lists.select("shingle", "gid").join(parts, "gid").select("shingle", "gid", "root", "n", "most"), "spread"
+    labelled = stage(
+        members.join(roots, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("root")), "labelled"
     )
+    parts = labelled.select("gid", "root").distinct()
+    spread = stage(lists.select("shingle", "gid", "n", "most").join(parts, "gid"), "spread")
     sizes = spread.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     mains = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
     mains = mains.filter("roots > 1").select("shingle", "main")
@@ -267,11 +284,10 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("gid", "root")]).distinct()
     )
     ends = {
-        s: labelled.select(F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("most").alias(f"{s}_most"), F.col("gid").alias(f"{s}_gid"), F.col("root").alias(f"{s}_root"))
+        s: labelled.select(F.col("node").alias(f"{s}_node"), F.col("gid").alias(f"{s}_gid"), F.col("root").alias(f"{s}_root"))
         for s in "lr"
     }
     rest = across.join(ends["l"], ["l_gid", "l_root"]).join(ends["r"], ["r_gid", "r_root"])
-    rest = rest.filter("l_n <= r_most and r_n <= l_most")
     rest = rest.select(F.greatest("l_node", "r_node").alias("a"), F.least("l_node", "r_node").alias("b")).distinct()
     more = stage(_verified(rest, sets), "cross-links")
     if more.isEmpty():
@@ -282,9 +298,10 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every row."""
-    sets = stage(_sets(docs, id_col, text_col), "shingles")
-    wanted = stage(_partnered(sets), "partnered")
-    whole = stage(_whole_sets(docs, wanted, id_col, text_col), "whole-sets")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sets = stage(_nodes(docs), "nodes")
+    wanted = stage(_partnered(docs, sets), "partnered")
+    whole = stage(_whole_sets(docs, wanted), "whole-sets")
     rare_first = stage(_by_frequency(whole), "rare-first")
     _, roots = links(rare_first)
 
