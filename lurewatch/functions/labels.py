@@ -25,6 +25,16 @@ def normalize_has_url(c: Column) -> Column:
     return _binary(c, K.FLAG_POSITIVE, K.FLAG_NEGATIVE)
 
 
+# Decimal numbers; letters that a cast would accept behind one (1d, 0f) are not part of it.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number_of(c: Column) -> Column:
+    """The number a column holds or spells out, null for anything else."""
+    spelled = F.when(c.cast("string").rlike(NUMBER), c.try_cast("double"))
+    return F.when(F.typeof(c) == "string", spelled).otherwise(c.try_cast("double"))
+
+
 def pandas_missing(c: Column) -> Column:
     """Null for the spellings CSV readers commonly take as missing (``NA``, ``null``, ...)."""
     return F.when(~is_one_of(c, K.CSV_NA_VALUES), c)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.functions import mail, text, urls
+from lurewatch.functions import labels, mail, text, urls
 from lurewatch.functions.text import as_text, is_blank, strip
 from lurewatch.operators.brand_match import with_brand_match
 
@@ -111,7 +111,7 @@ def url_features(df: DataFrame, text_col: str, has_url_col: str = "has_url") ->
     domain = F.col("first_url_domain")
     inferred = _flag(F.col("num_urls_in_text") > 0)
     if has_url_col in df.columns:
-        number = F.col(has_url_col).try_cast("double")
+        number = labels.number_of(F.col(has_url_col))
         provided = F.when(number.isin(0.0, 1.0), number.cast("int"))
     else:
         provided = F.lit(None).cast("int")

@@ -7,6 +7,7 @@ twice the sample size); scoring applies it to Arrow batches.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -14,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.functions.scores import sigmoid
+from lurewatch.session import stage
 
 SAMPLE_ROWS = 256  # fixed value
 _OVERSAMPLE = 4
@@ -36,34 +38,34 @@ def average_path(n: int | np.ndarray) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def _bound(share: float) -> int:
+    """The value below which that share of the positive 63-bit hashes lies."""
+    return min(2**63 - 1, int(share * 2**63))
+
+
 def tree_samples(
     features: DataFrame, id_col: str, n_rows: int, trees: int, sample_rows: int, seed: int
 ) -> DataFrame:
     """(tree, draw, values): for every tree the candidates of its sample.
 
-    A row is a candidate of a tree when a hash of seed, tree and row id falls below a bound set
-    so that about four times the sample size qualify; the tree then keeps the smallest hashes,
-    which is a uniform sample without replacement.  The number of candidates does not grow with
-    the table.  On a table much larger than all samples together, one hash per row picks the
-    candidates of all trees and a second one the tree, so rows are not multiplied by trees.
+    One hash per row thins the table to a pool of about ``trees * sample_rows`` rows.  A row of
+    the pool is a candidate of every tree for which a second hash falls below a bound set so that
+    about four times the sample size qualify; the tree keeps the smallest hashes, a uniform
+    sample without replacement.  The same two steps hold at every size; a table smaller than the
+    pool is its own pool.
     """
-    wanted = _OVERSAMPLE * sample_rows
     positive = F.lit(2**63 - 1)
-    if n_rows > 20 * trees * wanted:
-        pick = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(positive)
-        bound = int(trees * wanted / n_rows * 2**63)
-        candidates = features.filter(pick <= F.lit(bound)).withColumn(
-            "tree", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.lit(trees)).cast("int")
-        )
-    else:
-        candidates = features.withColumn(
-            "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        )
-    draw = F.xxhash64(F.lit(seed), F.col("tree"), F.col(id_col)).bitwiseAND(positive)
-    drawn = candidates.withColumn("draw", draw)
-    if wanted < n_rows <= 20 * trees * wanted:
-        drawn = drawn.filter(F.col("draw") <= F.lit(int(wanted / n_rows * 2**63)))
-    return drawn.select("tree", "draw", "values")
+    pool = min(1.0, trees * sample_rows / n_rows)
+    share = min(1.0, _OVERSAMPLE * sample_rows / (pool * n_rows))
+    row = F.xxhash64(F.lit(seed + 1), F.col(id_col)).bitwiseAND(positive)
+    pooled = features.filter(row <= F.lit(_bound(pool)))
+
+    def draw(tree: Column) -> Column:
+        return F.xxhash64(F.lit(seed), tree, F.col(id_col)).bitwiseAND(positive)
+
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    own = F.filter(numbers, lambda t: draw(t) <= F.lit(_bound(share)))
+    return pooled.withColumn("tree", F.explode(own)).select("tree", draw(F.col("tree")).alias("draw"), "values")
 
 
 def _grow(values: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
@@ -98,22 +100,48 @@ class IsolationForest:
     sample_rows: int
     threshold: float = 0.5
 
-    def raw_score(self, df: DataFrame, output_col: str = "isolation_raw") -> DataFrame:
+    def raw_score(
+        self, df: DataFrame, output_col: str = "isolation_raw", skip: Column | None = None
+    ) -> DataFrame:
         """Add ``2 ** (-mean path / expected path)``, in (0, 1], higher for outliers.
 
-        A null feature counts as 0.  Rows whose ``_skip`` column is true are left null.
+        A null feature counts as 0.  Rows for which ``skip`` holds get null; neither their
+        features nor the trees are evaluated for them.
         """
         scorer = _scorer(self)
         vector = F.array(
             *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.feature_cols]
         )
+        if skip is not None:
+            vector = F.when(~F.coalesce(skip, F.lit(False)), vector)
         return df.withColumn(output_col, scorer(vector))
 
-    def score(self, df: DataFrame, output_col: str = "isolation_score") -> DataFrame:
+    def score(
+        self, df: DataFrame, output_col: str = "isolation_score", skip: Column | None = None
+    ) -> DataFrame:
         """Raw score squashed by a sigmoid, hence between 0.5 and 0.731."""
-        raw = self.raw_score(df, "_isolation_raw")
+        raw = self.raw_score(df, "_isolation_raw", skip)
         return raw.withColumn(output_col, sigmoid(F.col("_isolation_raw"))).drop("_isolation_raw")
 
+    def save(self, path: str, metrics: DataFrame | None = None) -> None:
+        """Trees, feature list and threshold, and the metrics of the run if given."""
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(self.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        settings = json.dumps(
+            {"feature_cols": self.feature_cols, "sample_rows": self.sample_rows, "threshold": self.threshold}
+        )
+        table = spark.createDataFrame([(settings,)], "value string")
+        table.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+        if metrics is not None:
+            metrics.write.mode("overwrite").json(f"{path}/metrics")
+
+
+def load_forest(spark: SparkSession, path: str) -> IsolationForest:
+    settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
+    # At most trees * 2 * sample_rows rows.
+    nodes = spark.read.parquet(f"{path}/trees").toPandas()
+    return IsolationForest(nodes, **settings)
+
 
 def _scorer(forest: IsolationForest):
     trees = [
@@ -131,7 +159,8 @@ def _scorer(forest: IsolationForest):
 
     @F.arrow_udf("double")
     def raw_scores(vectors: pa.Array) -> pa.Array:
-        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        known = vectors.is_valid()
+        x = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for feature, threshold, left, right, path in trees:
@@ -145,8 +174,10 @@ def _scorer(forest: IsolationForest):
                 at = np.where(inner, np.where(go_left, left[at], right[at]), at)
             total += path[at]
         mean = total / len(trees)
-        raw = np.power(2.0, -mean / expected) if expected > 0 else np.ones(len(x))
-        return pa.array(raw)
+        raw = np.full(len(vectors), np.nan)
+        valid = known.to_numpy(zero_copy_only=False)
+        raw[valid] = np.power(2.0, -mean / expected) if expected > 0 else 1.0
+        return pa.array(raw, mask=~valid)
 
     return raw_scores
 
@@ -198,7 +229,8 @@ def train_isolation_forest(
     )
     forest = IsolationForest(nodes, feature_cols, size)
     if contamination != "auto":
-        scored = forest.raw_score(df.select(*feature_cols))
+        # Scored once; the quantile makes several passes over the one column.
+        scored = stage(forest.raw_score(df.select(*feature_cols)).select("isolation_raw"), "raw-scores")
         forest.threshold = exact_quantile(scored, "isolation_raw", 1.0 - float(contamination))
     return forest
 

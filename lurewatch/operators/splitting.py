@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PREFIX_STEP = 3  # hex digits added per level: at most 4096 prefixes below each open cut
-_FETCH_LIMIT = 10_000
 
 
 @dataclass
@@ -61,36 +60,18 @@ def _locate(df: DataFrame, label_col: str, cuts: list[_Cut]) -> None:
             counts.setdefault((row["label"], row["prefix"][:depth]), []).append(
                 (row["prefix"], row["n"])
             )
-        small: list[_Cut] = []
         still_open: list[_Cut] = []
         for cut in open_cuts:
             for prefix, n in sorted(counts[(cut.label, cut.prefix)]):
                 if cut.rank <= n:
                     cut.prefix = prefix
-                    if len(prefix) >= 32:
-                        cut.value = prefix
-                    elif n <= _FETCH_LIMIT:
-                        small.append(cut)
+                    if cut.rank == n or len(prefix) >= 32:
+                        # The cut ends with the last hash of the prefix.
+                        cut.value = prefix.ljust(32, "f")
                     else:
                         still_open.append(cut)
                     break
                 cut.rank -= n
-        if small:
-            inside = F.lit(False)
-            for cut in small:
-                inside = inside | (
-                    (F.col(label_col) == cut.label) & F.col("_hash").startswith(cut.prefix)
-                )
-            rows = (  # at most _FETCH_LIMIT hashes per cut
-                df.filter(inside).select(F.col(label_col).alias("label"), "_hash").collect()
-            )
-            for cut in small:
-                hashes = sorted(
-                    r["_hash"]
-                    for r in rows
-                    if r["label"] == cut.label and r["_hash"].startswith(cut.prefix)
-                )
-                cut.value = hashes[cut.rank - 1]
         open_cuts = still_open
 
 
@@ -101,11 +82,13 @@ def stratified_split(
     seed: int = 42,
     key_col: str = "text_combined",
     label_col: str = "label",
+    hash_col: str | None = None,
 ) -> DataFrame:
     """Add a ``split`` column (train/val/test) that keeps label proportions.
 
     ``key_col`` should identify a row; after de-duplication the combined text does.  Counting
-    needs two or three passes over key and label, so hand in a stored table.
+    needs a few passes over label and hash; a table that has the hash already, in ``hash_col``,
+    is not hashed again.
     """
     if val_size <= 0:
         raise ValueError("val_size must be > 0")
@@ -114,7 +97,7 @@ def stratified_split(
     if val_size + test_size >= 1.0:
         raise ValueError("val_size + test_size must be less than 1.0")
 
-    hashed = df.withColumn("_hash", split_hash(F.col(key_col), seed))
+    hashed = df.withColumn("_hash", F.col(hash_col) if hash_col else split_hash(F.col(key_col), seed))
     totals = {
         r["label"]: r["n"]
         for r in hashed.filter(F.col(label_col).isNotNull())
@@ -127,8 +110,7 @@ def stratified_split(
         val_n, test_n = split_sizes(n, val_size, test_size)
         if min(val_n, test_n, n - val_n - test_n) < 1:
             raise ValueError(
-                "Stratified split failed: each class needs enough members to be present in each "
-                f"split, but label {label} has {n} rows."
+                f"Stratified split failed: {n} rows of label {label} cannot fill all three splits."
             )
         cuts[label] = (_Cut(label, test_n), _Cut(label, test_n + val_n))
     _locate(

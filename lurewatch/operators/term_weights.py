@@ -42,27 +42,26 @@ def terms_of(words: Column) -> Column:
 def term_stats(df: DataFrame, text_col: str = "text_combined", min_df: int = 3) -> DataFrame:
     """term, tf (occurrences), df (texts that hold it) for terms in at least ``min_df`` texts.
 
-    Every text adds each of its distinct terms once, with its count, so the partial aggregation
-    sees one row per text and term and the exchange one row per task and term.
+    The sorted terms of a text are cut into runs of equal ones, and a text adds each of its
+    distinct terms once, with the length of its run; the exchange sees a row per task and term.
     """
     listed = df.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).select(
         F.sort_array(terms_of(F.col("words"))).alias("terms")
     )
-    # In the sorted list the first occurrence of a term differs from its predecessor.
-    exploded = listed.select(
-        F.explode(
-            F.zip_with(
-                "terms",
-                F.concat(F.array(F.lit("")), F.col("terms")),
-                lambda term, before: F.struct(
-                    term.alias("term"), F.when(term == before, 0).otherwise(1).alias("first")
-                ),
-            )
-        ).alias("t")
-    ).filter(F.col("t.term").isNotNull())
+    # A run starts where a term differs from its predecessor, and ends where the next one starts.
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("terms") - 1),
+        lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)),
+    )
+    runs = listed.filter(F.size("terms") > 0).withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("terms")))
+    counted = F.zip_with(
+        "starts", ends, lambda start, end: F.struct(F.get("terms", start).alias("term"), (end - start).alias("n"))
+    )
     return (
-        exploded.groupBy(F.col("t.term").alias("term"))
-        .agg(F.count("*").alias("tf"), F.sum("t.first").alias("df"))
+        runs.select(F.explode(counted).alias("t"))
+        .groupBy(F.col("t.term").alias("term"))
+        .agg(F.sum("t.n").alias("tf"), F.count("*").alias("df"))
         .filter(F.col("df") >= min_df)
     )
 

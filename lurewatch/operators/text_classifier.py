@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurewatch.functions.labels import number_of
 from lurewatch.functions.scores import sigmoid
 from lurewatch.operators.profiling import class_weights
 from lurewatch.operators.term_weights import fit_tfidf
@@ -27,10 +28,10 @@ def validate_training(df: DataFrame, target_col: str = "label", text_col: str =
     """Raise when a column is missing or the target is not numeric; return integer targets."""
     for kind, name in (("Target", target_col), ("Text", text_col)):
         if name not in df.columns:
-            raise KeyError(f"{kind} column '{name}' not found in dataframe columns")
+            raise KeyError(f"{kind} column '{name}' not found: the table has no such column")
     bad = count_bad_targets(df, target_col).first()["bad"]
     if bad:
-        raise ValueError(f"Target column '{target_col}' contains {bad} non-numeric values")
+        raise ValueError(f"{bad} non-numeric values in target column '{target_col}'")
     return df.withColumns(
         {
             target_col: F.col(target_col).cast("double").cast("int"),
@@ -40,7 +41,7 @@ def validate_training(df: DataFrame, target_col: str = "label", text_col: str =
 
 
 def count_bad_targets(df: DataFrame, target_col: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(target_col).try_cast("double").isNull()).alias("bad"))
+    return df.agg(F.count_if(number_of(F.col(target_col)).isNull()).alias("bad"))
 
 
 def balanced_weight(df: DataFrame, label_col: str) -> Column:
@@ -60,17 +61,29 @@ class TextClassifier:
     name: str
     text_col: str
 
-    def score(self, df: DataFrame, output_col: str = "supervised_proba") -> DataFrame:
-        """Probability of the positive class; margins of the SVM go through a sigmoid."""
+    def score(
+        self, df: DataFrame, output_col: str = "supervised_proba", skip: Column | None = None
+    ) -> DataFrame:
+        """Probability of the positive class; margins of the SVM go through a sigmoid.
+
+        The text is that of the column the model was trained on, the combined text where that is
+        empty.  Rows for which ``skip`` holds are given no text to the model and get null.
+        """
         text = F.col(self.text_col) if self.text_col in df.columns else F.lit(None)
         if self.text_col != "text_combined" and "text_combined" in df.columns:
             text = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.col("text_combined"))
-        prepared = df.withColumn("_score_text", text.cast("string"))
+        text = text.cast("string")
+        if skip is not None:
+            skip = F.coalesce(skip, F.lit(False))
+            text = F.when(~skip, text)
+        prepared = df.withColumn("_score_text", text)
         out = self.model.transform(self.vectors.transform(prepared))
         if self.name == "logreg":
             proba = vector_to_array("_probability")[1]
         else:
             proba = sigmoid(vector_to_array("_raw")[1])
+        if skip is not None:
+            proba = F.when(~skip, proba)
         return out.withColumn(output_col, proba).drop(
             "_score_text", "_tfidf", "_raw", "_probability"
         )

@@ -74,7 +74,9 @@ def normalise_lines(expr: str) -> str:
     return strip(rf"array_to_string({kept}, chr(10))")
 
 
-EMAILS = EMAILS_SQL.format(documents="documents", labels="labels").strip()
+EMAILS = EMAILS_SQL.format(
+    label="l.toxic", tables="documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+).strip()
 BASE = f"""WITH RECURSIVE emails AS ({EMAILS}),
 mail AS (SELECT *, concat('FROM: ', from_address, ' SUBJECT: ', subject, ' BODY: ', body) AS tc FROM emails),
 m AS (SELECT *, regexp_replace(tc, '[{LETTERS}]', '_', 'g') AS tcm,
@@ -496,8 +498,10 @@ _LINKS = rf"""WITH raw AS (
 kept AS (SELECT page_id, url, min(position) AS position, bool_or(wrapped) AS was_safelink
  FROM raw WHERE NOT regexp_matches(url, '{_TRACKING}') GROUP BY page_id, url)"""
 ORACLE["href_links"] = (
-    f"{_LINKS} SELECT page_id, url, {netloc('url')} AS netloc, {root(netloc('url'))} AS root_domain, "
-    "was_safelink FROM kept"
+    # The added anchors stand behind those that a page has itself.
+    f"{_LINKS} SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) + position - 1 AS INTEGER) AS position, "
+    f"k.url, {netloc('k.url')} AS netloc, {root(netloc('k.url'))} AS root_domain, "
+    "was_safelink FROM kept k JOIN pages p USING (page_id)"
 )
 ORACLE["clean_links"] = (
     f"{_LINKS} SELECT p.page_id, coalesce(string_agg(k.url, ' ' ORDER BY k.position), '') AS links "

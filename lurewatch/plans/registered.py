@@ -25,12 +25,12 @@ from lurewatch.operators import (
     text_classifier,
     verdict,
 )
-from lurewatch.plans.fixture import emails, read_table
+from lurewatch.plans.fixture import emails, emails_from, read_table, table_stream
 from lurewatch.plans.prepare import benign_only as keep_benign
 from lurewatch.plans.prepare import preprocess_and_split
 from lurewatch.plans.scoring import Scorers, score_emails
 from lurewatch.plans.training import run_training
-from lurewatch.session import run_dir, spread_small_input, stage
+from lurewatch.session import run_dir, stage
 from lurewatch.sources import labelled_csv, markup, messages
 from lurewatch.streaming.verdicts import start_scoring
 
@@ -53,9 +53,9 @@ def _rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     )
 
 
-def _flagged_emails(spark: SparkSession, sf: str) -> DataFrame:
+def _flagged_emails(spark: SparkSession, sf: str, labelled: bool = False) -> DataFrame:
     """Emails with the combined text and a 0/1/null URL flag."""
-    return rules.with_defaults(emails(spark, sf)).withColumn(
+    return rules.with_defaults(emails(spark, sf, labelled)).withColumn(
         "has_url", labels.normalize_has_url(F.col("has_url_raw"))
     )
 
@@ -69,18 +69,18 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_score(spark, sf):
-    return rules.score_rules(emails(spark, sf)).select("email_id", "rule_score", "hard_block")
+    return rules.score_rules(emails(spark, sf, labelled=False)).select("email_id", "rule_score", "hard_block")
 
 
 @query
 def rule_matches(spark, sf):
-    scored = rules.score_rules(emails(spark, sf))
+    scored = rules.score_rules(emails(spark, sf, labelled=False))
     return scored.select("email_id", F.array_join("rule_matches.rule_id", "|").alias("matches"))
 
 
 @query
 def rule_profile(spark, sf):
-    return rules.rule_profile(rules.score_rules(emails(spark, sf), keep_flags=True))
+    return rules.rule_profile(rules.score_rules(emails(spark, sf, labelled=False), keep_flags=True))
 
 
 @query
@@ -140,9 +140,7 @@ def canonical_emails(spark, sf):
 
 def _clean_unique(spark: SparkSession, sf: str) -> DataFrame:
     # The sender is left out of the text so that copies of a document meet again.
-    docs_path = f"{sf}/documents.parquet"
-    docs = spread_small_input(spark.read.parquet(docs_path), docs_path, "doc_id")
-    rows = docs.select(
+    rows = read_table(spark, sf, "documents").select(
         F.col("doc_id").alias("email_id"), "source", F.col("text").alias("text_combined"),
         (F.col("doc_id") % 3 % 2).alias("label"),
     )
@@ -300,14 +298,13 @@ def sender_features(spark, sf):
 
 @query
 def entropy(spark, sf):
-    path = f"{sf}/conversations.parquet"
-    turns = spread_small_input(spark.read.parquet(path), path, "conv_id")
+    turns = read_table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", F.round(text.char_entropy(F.col("text")), 4).alias("entropy"))
 
 
 @query
 def bare_domains(spark, sf):
-    rows = emails(spark, sf)
+    rows = emails(spark, sf, labelled=False)
     return rows.select("email_id", urls.count_bare_domains(F.col("body")).alias("bare_domains"))
 
 
@@ -320,7 +317,7 @@ def page_locations(spark, sf):
 
 def _sender_domains(spark: SparkSession, sf: str) -> DataFrame:
     sender = mail.sender_domain(F.lower(text.strip(F.col("from_address"))))
-    return emails(spark, sf).select(sender.alias("domain"))
+    return emails(spark, sf, labelled=False).select(sender.alias("domain"))
 
 
 @query
@@ -361,8 +358,7 @@ def features_full(spark, sf):
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/pages.parquet"
-    return spread_small_input(spark.read.parquet(path), path, "page_id")
+    return read_table(spark, sf, "pages")
 
 
 @query
@@ -394,7 +390,7 @@ def _linked_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def href_links(spark, sf):
-    return messages.link_table(_linked_pages(spark, sf), "page_id", "hrefs").drop("position")
+    return messages.link_table(_linked_pages(spark, sf), "page_id", "hrefs")
 
 
 @query
@@ -435,7 +431,7 @@ def _auth_headers() -> Column:
 @query
 def auth_results(spark, sf):
     header = mail.dkim_header(_auth_headers())
-    return emails(spark, sf).select(
+    return emails(spark, sf, labelled=False).select(
         "email_id", header.isNotNull().alias("passed"), mail.dkim_domain(header).alias("domain")
     )
 
@@ -447,7 +443,7 @@ def attachments(spark, sf):
         F.lit("README"),
     )
     exts = mail.attachment_extensions(names)
-    return emails(spark, sf).select(
+    return emails(spark, sf, labelled=False).select(
         "email_id", F.array_join(exts, "|").alias("extensions"), F.size(names).alias("attachment_count")
     )
 
@@ -457,13 +453,12 @@ def bare_addresses(spark, sf):
     header = F.when(
         F.col("email_id") % 2 == 0, F.concat(F.lit("Some One < "), F.col("from_address"), F.lit(" >"))
     ).otherwise(F.col("from_address"))
-    return emails(spark, sf).select("email_id", mail.bare_address(header).alias("address"))
+    return emails(spark, sf, labelled=False).select("email_id", mail.bare_address(header).alias("address"))
 
 
 @query
 def body_lines(spark, sf):
-    path = f"{sf}/conversations.parquet"
-    turns = spread_small_input(spark.read.parquet(path), path, "conv_id")
+    turns = read_table(spark, sf, "conversations")
     padded = F.replace(F.col("text"), F.lit("\n"), F.lit(" \n \t\n  "))
     return turns.select("conv_id", "turn", text.normalise_lines(padded).alias("body"))
 
@@ -536,12 +531,12 @@ def tfidf_terms(spark, sf):
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return _flagged_emails(spark, sf).filter(F.col("label").isNotNull())
+    return _flagged_emails(spark, sf, labelled=True).filter(F.col("label").isNotNull())
 
 
 def _classifier_scores(spark, sf, model: str) -> DataFrame:
     rows = _labelled(spark, sf)
-    fitted = text_classifier.train_classifier(rows, model, max_iter=20)
+    fitted = text_classifier.train_classifier(rows, model)
     return _rounded(fitted.score(rows).select("email_id", "supervised_proba", "prediction"))
 
 
@@ -564,7 +559,7 @@ def training_metrics(spark, sf):
         ),
         "training",
     )
-    return _rounded(run_training(data, "logreg", max_iter=20)[1])
+    return _rounded(run_training(data, "logreg")[1])
 
 
 @query
@@ -575,7 +570,7 @@ def sequence_scores(spark, sf):
     def factory():
         return lambda texts: np.array([[(len(t) % 7 - 3) / 2, (len(t) % 11 - 5) / 2] for t in texts])
 
-    scored = rules.score_rules(emails(spark, sf)).drop("transformer_proba")
+    scored = rules.score_rules(emails(spark, sf, labelled=False)).drop("transformer_proba")
     scored = sequence_scorer.with_sequence_proba(scored, factory, skip=F.col("hard_block"))
     return _rounded(scored.select("email_id", "transformer_proba"))
 
@@ -589,14 +584,14 @@ def bad_targets(spark, sf):
 @query
 def margin_probability(spark, sf):
     margin = (F.col("email_id") % 17 - 8) / 4.0
-    return _rounded(emails(spark, sf).select("email_id", scores.sigmoid(margin).alias("proba")))
+    return _rounded(emails(spark, sf, labelled=False).select("email_id", scores.sigmoid(margin).alias("proba")))
 
 
 @query
 def softmax_temperature(spark, sf):
     logit0, logit1 = (F.col("email_id") % 7 - 3) / 2.0, (F.col("email_id") % 11 - 5) / 2.0
     return _rounded(
-        emails(spark, sf).select(
+        emails(spark, sf, labelled=False).select(
             "email_id",
             scores.softmax_positive(logit0, logit1).alias("proba"),
             scores.argmax_prediction(logit0, logit1).alias("prediction"),
@@ -632,7 +627,7 @@ def roc_auc(spark, sf):
 
 @query
 def isolation_scores(spark, sf):
-    featured = features.build_features(_flagged_emails(spark, sf))
+    featured = features.build_features(_flagged_emails(spark, sf, labelled=True))
     table = stage(featured.select("email_id", "label", *features.FEATURE_COLUMNS), "features")
     benign = table.filter(F.col("label") == 0)
     forest = isolation.train_isolation_forest(benign, features.FEATURE_COLUMNS, "email_id")
@@ -646,12 +641,15 @@ def isolation_scores(spark, sf):
 def embedding_outliers(spark, sf):
     """The same forest on the vectors of the embedding table."""
     vectors = read_table(spark, sf, "embeddings")
-    width = vectors.select(F.size("embedding")).first()[0]
+    widths = vectors.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if widths.low != widths.high:
+        raise ValueError(f"vectors of {widths.low} to {widths.high} components")
+    width = widths.low
     names = [f"x{i}" for i in range(width)]
     table = vectors.select(
         "vec_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
-    forest = isolation.train_isolation_forest(table, names, "vec_id", trees=100, contamination=0.1)
+    forest = isolation.train_isolation_forest(table, names, "vec_id", contamination=0.1)
     raw = forest.raw_score(table)
     return _rounded(raw.select(
         "vec_id", "isolation_raw",
@@ -724,12 +722,7 @@ def score_bands(spark, sf):
 @query
 def stream_verdicts(spark, sf):
     """Verdicts of the document table read as a stream of files."""
-    from lurewatch.plans.fixture import emails_from
-
-    schema = read_table(spark, sf, "documents").schema
-    documents = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
-    )
+    documents = table_stream(spark, sf, "documents")
     table = emails_from(documents, read_table(spark, sf, "labels"))
     output = run_dir(spark, "stream-verdicts")
     running = start_scoring(

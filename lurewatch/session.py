@@ -24,6 +24,8 @@ def local_session(app: str = "lurewatch", cores: str | int = 8, **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
+    if "spark__checkpoint__dir" not in conf:
+        builder = builder.config("spark.checkpoint.dir", _stand_in())
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     session = builder.getOrCreate()
@@ -32,12 +34,18 @@ def local_session(app: str = "lurewatch", cores: str | int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder stands in.
+    Only a session on one machine may do without: a temporary folder stands in there.  Anywhere
+    else a folder that executors do not share would lose data, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else _stand_in()
+    if configured:
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _stand_in()
 
 
 @lru_cache(maxsize=1)
@@ -54,9 +62,11 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """Write ``df`` to the shared folder once and read it back.
 
     Cuts lineage in a way that survives the loss of executors, and unlike a checkpoint keeps
-    column pruning and filter push-down for the passes that follow.
+    column pruning and filter push-down for the passes that follow.  ``drop_staged`` removes what
+    was staged once the results are no longer needed.
     """
     path = run_dir(df.sparkSession, name)
+    _STAGED.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -64,16 +74,14 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Below this many input bytes one extra exchange costs less than leaving cores idle.
-SPREAD_LIMIT_BYTES = 1 << 30
+def drop_staged(spark: SparkSession) -> int:
+    """Removes the folders that this process has staged, and says how many there were."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
 
 
-def spread_small_input(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Spread a small table over all cores when its file has too few splits.
-
-    A single row group is read by a single task however many cores there are.  Large inputs
-    have many splits and are returned unchanged, so no exchange is added at scale.
-    """
-    if not os.path.isfile(path) or os.path.getsize(path) >= SPREAD_LIMIT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(key))
+_STAGED: list[str] = []

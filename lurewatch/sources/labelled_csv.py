@@ -1,18 +1,20 @@
 """Labelled CSV corpora in several layouts -> one canonical email table.
 
-File discovery and header reading are driver-side metadata work.  Files with the same header and
-options are read by one scan, whatever their number.
+The listing is driver-side metadata.  The header lines of all files are read by one distributed
+job, and files with the same header and options by one scan, whatever their number.  Where the
+rows of a file come from is told by its own path, so rows meet no listing and are not moved.
 """
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,20 @@ from lurewatch.operators.cleaning import (
 
 
 LOCAL_SCHEME = "^file:/+"
-HEADER_THREADS = 16  # header lines read at the same time
 
 
 @dataclass(frozen=True)
 class CsvConfig:
-    """One file.  ``layout`` is a key of :data:`LAYOUTS`, or None to go by the header."""
+    """One file.  ``layout`` is a key of :data:`LAYOUTS`, or None to go by the header.
+
+    ``root`` is set by discovery: the source is then what :func:`source_name` makes of the path.
+    """
 
     path: str
     source: str
     layout: str | None = None
     options: dict[str, Any] = field(default_factory=dict)
+    root: str | None = None
 
 
 # --- layouts --------------------------------------------------------------------------------
@@ -129,7 +134,7 @@ def discover_csv(spark: SparkSession, raw_dir: str) -> list[CsvConfig]:
         .orderBy(F.split("path", "/"))
     )
     # One entry per file: metadata, like the listing the driver already holds.
-    return [CsvConfig(r["path"], r["source"]) for r in files.collect()]
+    return [CsvConfig(r["path"], r["source"], root=raw_dir) for r in files.collect()]
 
 
 # --- loading --------------------------------------------------------------------------------
@@ -144,8 +149,38 @@ def _reader(spark: SparkSession, multi_line: bool):
     )
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    return _reader(spark, False).csv(path).columns
+def _file_path() -> Column:
+    """The path of the file a row comes from, as listings write it; the metadata are encoded."""
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, LOCAL_SCHEME, "/")
+
+
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The column names of every file that has a header line, by path, in one job."""
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = []
+            for row, path in enumerate(batch.column("path").to_pylist()):
+                if path != last:
+                    rows.append(row)
+                    last = path
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    lines = spark.read.text(list(paths)).filter("_metadata.file_block_start = 0")
+    lines = lines.select(_file_path().alias("path"), "value").mapInArrow(first_lines, "path string, value string")
+    # One line per file.
+    return {r["path"]: _names(r["value"]) for r in lines.collect()}
+
+
+def _names(line: str) -> tuple[str, ...]:
+    """Column names of a header line; empty and repeated ones are told apart by their place."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    lowered = [n.lower() for n in names]
+    return tuple(
+        f"_c{i}" if not n else f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)
+    )
 
 
 def load_csv(
@@ -156,45 +191,54 @@ def load_csv(
 ) -> DataFrame:
     """Canonical rows of all files, with load-order columns.
 
-    Quoted line breaks need ``multi_line``, which reads a file in one task; files without them
-    can be split with ``multi_line=False``.
+    Quoted line breaks, which CSV allows anywhere, need ``multi_line``; a file is then read in
+    one task.  Files without them can be split with ``multi_line=False``.  Empty files have no
+    rows.
     """
-    groups: dict[tuple, list[tuple[int, CsvConfig]]] = {}
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        headers = list(pool.map(lambda c: tuple(read_header(spark, c.path)), configs))
-    for ordinal, (config, header) in enumerate(zip(configs, headers)):
-        layout = config.layout or choose_layout(header)
-        key = (header, layout, tuple(sorted(config.options.items())))
-        groups.setdefault(key, []).append((ordinal, config))
+    schema = CANONICAL_SCHEMA + ", source_ord array<string>, block_ord long, row_ord long"
+    if not configs:
+        return spark.createDataFrame([], schema)
+    headers = read_headers(spark, [c.path for c in configs])
+    # Configurations of the caller's own making are few; their names and order are written out.
+    given = [c for c in configs if c.root is None]
+    groups: dict[tuple, list[CsvConfig]] = {}
+    for config in configs:
+        header = headers.get(re.sub(LOCAL_SCHEME, "/", config.path))
+        if header is not None:
+            layout = config.layout or choose_layout(header)
+            key = (header, layout, tuple(sorted(config.options.items())), config.root)
+            groups.setdefault(key, []).append(config)
 
     parts = []
-    for (header, layout, options), members in groups.items():
-        schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in header)
-        raw = _reader(spark, multi_line).schema(schema).csv([c.path for _, c in members])
-        columns = LAYOUTS[layout](raw, **dict(options))
-        # Unlike listed paths this one is percent-encoded.
-        file_path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    for (header, layout, options, root), members in groups.items():
+        columns = ", ".join(f"`{h.replace('`', '``')}` string" for h in header)
+        raw = _reader(spark, multi_line).schema(columns).csv([c.path for c in members])
+        found = LAYOUTS[layout](raw, **dict(options))
+        path = _file_path()
+        if root is not None:
+            source = source_name(path, re.sub(LOCAL_SCHEME, "/", root))
+        else:
+            source = _lookup(path, {c.path: c.source for c in members})
+        order = F.split(path, "/")
+        if given:
+            order = F.array(_lookup(path, {c.path: f"{n:012d}" for n, c in enumerate(configs)}))
         rows = raw.select(
-            *[
-                (pandas_missing(c) if na_values else c).alias(name)
-                for name, c in columns.items()
-            ],
-            F.regexp_replace(file_path, LOCAL_SCHEME, "/").alias("_file"),
+            *[(pandas_missing(c) if na_values else c).alias(name) for name, c in found.items()],
+            source.alias("source"), order.alias("source_ord"),
             F.col("_metadata.file_block_start").alias("block_ord"),
             F.monotonically_increasing_id().alias("row_ord"),
         )
-        listing = spark.createDataFrame(
-            [(re.sub(LOCAL_SCHEME, "/", c.path), c.source, n) for n, c in members],
-            "_file string, source string, source_ord int",
-        )
-        parts.append(to_canonical(rows.join(listing, "_file"), keep=ORDER_COLUMNS))
+        parts.append(to_canonical(rows, keep=ORDER_COLUMNS))
     if not parts:
-        return spark.createDataFrame(
-            [], CANONICAL_SCHEMA + ", source_ord int, block_ord long, row_ord long"
-        )
+        return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _lookup(path: Column, values: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for p, v in values.items() for x in (re.sub(LOCAL_SCHEME, "/", p), v)]
+    return F.element_at(F.create_map(*pairs), path)
+
+
 def load_all(
     spark: SparkSession, configs: Sequence[CsvConfig], dedupe: bool = True, **options
 ) -> DataFrame:
