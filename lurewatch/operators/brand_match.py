@@ -8,9 +8,8 @@ so a domain that fills a third of the table is no hot spot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,7 @@ from lurewatch import constants as K
 from lurewatch.functions.text import is_one_of, sql_text, strip
 
 MATCH_SCHEMA = "best_brand string, similarity double, edit_distance int"
+REMEMBERED = 1 << 16  # domains that a worker keeps; a full store is emptied
 NO_DISTANCE = 999  # fixed value: distance reported when there is nothing to compare
 
 
@@ -56,11 +56,17 @@ def best_similarity(domain: str, brands: Sequence[str]) -> list[float]:
 
 
 def _brand_similarities(brands: tuple[str, ...]):
-    @F.pandas_udf("array<double>")
-    def similarities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        remember = lru_cache(maxsize=1 << 16)(lambda d: best_similarity(d, brands))
-        for domains in batches:
-            yield domains.map(lambda d: remember(d) if d else None)
+    """Similarities of several domains of a row at once: an array per domain, null for an empty
+    one.  The distinct domains of a batch are matched once, and remembered by the worker."""
+    remembered: dict[str, list[float]] = {}
+
+    @F.pandas_udf("array<array<double>>")
+    def similarities(domains: pd.Series) -> pd.Series:
+        if len(remembered) > REMEMBERED:
+            remembered.clear()
+        for domain in {d for row in domains for d in row if d and d not in remembered}:
+            remembered[domain] = best_similarity(domain, brands)
+        return pd.Series([[remembered.get(d) for d in row] for row in domains])
 
     return similarities
 
@@ -104,10 +110,15 @@ def with_brand_match(
     )
     if brands:
         similarities = _brand_similarities(tuple(brands))
-        out = out.withColumns(
-            {f"{p}label": domain_label(F.col(f"{p}norm")) for p in domains}
-            | {f"{p}sims": similarities(F.col(f"{p}norm")) for p in domains}
-        ).withColumns({f"{p}best": F.expr(_best_brand(p, brands)) for p in domains})
+        out = (
+            out.withColumn("_sims", similarities(F.array(*[F.col(f"{p}norm") for p in domains])))
+            .withColumns(
+                {f"{p}label": domain_label(F.col(f"{p}norm")) for p in domains}
+                | {f"{p}sims": F.get("_sims", F.lit(i)) for i, p in enumerate(domains)}
+            )
+            .withColumns({f"{p}best": F.expr(_best_brand(p, brands)) for p in domains})
+            .drop("_sims")
+        )
     chosen, flags = {}, {}
     for p in domains:
         exact = is_one_of(F.col(f"{p}norm"), brands) if brands else F.lit(False)
@@ -131,7 +142,7 @@ def with_brand_match(
 
 
 def _best_brand(p: str, brands: Sequence[str]) -> str:
-    """SQL for the winning struct; null for an empty domain or distances past the limit."""
+    """SQL for the winning struct; null for an empty domain."""
     candidates = ", ".join(
         f"named_struct('similarity', {p}sims[{i}], "
         f"'closeness', -levenshtein({p}label, {sql_text(_label(b))}), "
