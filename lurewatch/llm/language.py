@@ -36,6 +36,7 @@ SNIPPET_CHARS = 400
 MAX_TRAINING_CHARS = 160_000
 MAX_SYMBOLS = 120
 STRETCH = 2048
+RANKED_PARTS = 64
 LEAST_PHRASE = 1.5
 # Symbols of all stretches that are parsed side by side.
 SIDE_BY_SIDE = 4 << 20
@@ -216,8 +217,11 @@ def train(docs: DataFrame, usable, snippets: int = SNIPPETS) -> LanguageModel:
         F.substr("text", part.cast("int"), F.lit(SNIPPET_CHARS)).alias("text"),
     )
     # The rank is cut in every task before the exchange: a bounded number of rows moves.
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    picked = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= snippets).collect()
+    # The parts keep what meets in one task from growing with the table.
+    for keys in (["lang", F.pmod("draw", F.lit(RANKED_PARTS))], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("draw", "text")
+        rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= snippets)
+    picked = rows.collect()
     by_language: dict[str, list[str]] = {}
     for row in sorted(picked, key=lambda r: (r.lang, r.n)):
         by_language.setdefault(row.lang, []).append(row.text)

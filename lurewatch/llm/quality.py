@@ -28,6 +28,7 @@ EXAMPLES = 1500
 EXAMPLE_BYTES = 4096
 BLOCK_BYTES = 4096
 LEVEL = 3
+RANKED_PARTS = 64
 
 
 @dataclass
@@ -90,9 +91,10 @@ def sample_labelled(
         .select("doc_id", F.col(label_col).cast("int").alias("label"))
         .withColumn("draw", F.xxhash64(F.col("doc_id").cast("string")))
     )
-    order = Window.partitionBy("label").orderBy("draw", "doc_id")
-    # Ranked before repeats are dropped, so that the limit bounds every task.
-    chosen = chosen.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= 2 * examples)
+    # Ranked in parts first, so that what meets in one task does not grow with the table.
+    for keys in (["label", F.pmod("draw", F.lit(RANKED_PARTS))], ["label"]):
+        order = Window.partitionBy(*keys).orderBy("draw", "doc_id")
+        chosen = chosen.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= 2 * examples)
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     # At most 2 * examples ids of either class: small enough to send to the texts at any size.
     ids = chosen.select("doc_id", "label", "draw").distinct()
