@@ -62,10 +62,10 @@ def normalise(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.nda
     opens = np.cumsum([0] + [len(t) + 1 for t in texts])
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    keep[opens] = True  # every text has its opening boundary
     after = opens + 1
     after = after[after < len(codes)]
     keep[after] &= codes[after] != 0  # one boundary is enough
+    keep[opens] = True  # every text has its opening boundary
     kept_before = np.concatenate([[0], np.cumsum(keep)])
     bounds = kept_before[opens]
     return codes[keep][: bounds[-1]], np.diff(bounds)
@@ -149,9 +149,8 @@ class CrossParser:
         self.width = width
         self.steps = np.concatenate(tables).astype(np.int32).ravel()
         self.starts = np.array(starts, np.int32)
-        # From the start of each language; a symbol unknown there leads back to the start.
-        first = self.steps.reshape(-1, width)[self.starts]
-        self.first = np.where(first > 0, first, self.starts[:, None])
+        # The first step of a phrase in each language, 0 for a symbol that its text lacks.
+        self.first = self.steps.reshape(-1, width)[self.starts]
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each text; texts stand in a row in ``codes``."""
@@ -160,16 +159,19 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
         counts = np.zeros((len(self.starts), len(owner)), np.int32)
-        state = np.repeat(self.starts[:, None], len(owner), 1)
+        state = np.zeros((len(self.starts), len(owner)), np.int32)  # 0: no phrase is open
         # How many stretches still have a symbol at each step.
         alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
         for step, n in enumerate(alive.tolist()):
             symbol = symbols[begin[:n] + step]
-            to = self.steps.take(state[:, :n] * self.width + symbol)
+            at = state[:, :n]
+            to = self.steps.take(at * self.width + symbol)
             ends = to == 0
-            counts[:, :n] += ends
-            state[:, :n] = np.where(ends, self.first.take(symbol, axis=1), to)
-        counts += (length > 0)[None, :]  # the phrase that is open at the end
+            counts[:, :n] += ends & (at != 0)
+            to = np.where(ends, self.first.take(symbol, axis=1), to)
+            counts[:, :n] += to == 0  # a symbol that occurs nowhere is a phrase
+            state[:, :n] = to
+        counts += state != 0  # the phrase that is open at the end
         out = np.zeros((len(self.starts), len(sizes)), np.int64)
         for language, row in enumerate(counts):
             out[language] = np.bincount(owner, row, len(sizes))
@@ -253,9 +255,10 @@ def in_known_language(docs: DataFrame, least_phrase: float = LEAST_PHRASE) -> Da
     kept = found.filter(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("n_symbols") >= least_phrase * F.col("n_phrases"))
     )
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    columns["lang"] = F.coalesce("row.lang", "lang_pred")
-    return kept.select(*[column.alias(name) for name, column in columns.items()])
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    columns["lang"] = F.coalesce(columns["lang"], "lang_pred")
+    # The names of the input come last, so that none of them is taken for a helper's.
+    return kept.select(F.struct(*[c.alias(name) for name, c in columns.items()]).alias("_done")).select("_done.*")
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:

@@ -279,4 +279,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> D
         return F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int"), F.length(text)))
 
     masked = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", start, step, finish))
-    return found.select("row.*", masked.alias("_masked")).withColumn(text_col, F.col("_masked")).select(*docs.columns)
+    # The names of the input come last, so that none of them is taken for a helper's.
+    done = found.select(F.col("row").alias("_row"), masked.alias("_masked"))
+    columns = [F.col("_masked") if c == text_col else F.col("_row").getField(c) for c in docs.columns]
+    return done.select(F.struct(*[c.alias(n) for c, n in zip(columns, docs.columns, strict=True)]).alias("_done")).select("_done.*")
