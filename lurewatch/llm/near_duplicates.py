@@ -47,6 +47,8 @@ from lurewatch.session import stage
 SHINGLE_WORDS = 5
 # A link needs PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 80
+# Size of the bitmap of documents that may have a partner.
+MARKS = 1 << 24
 # Pairs that prefixes must share, as a part of the set.
 SHARED_PART = 0.05
 
@@ -186,7 +188,16 @@ def _partnered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, n, shingles`` of the wanted nodes, from the text of their first document."""
-    rows = docs.withColumnRenamed("doc_id", "first_doc").join(wanted.select("first_doc", "node"), "first_doc")
+    # Most texts are told to be none of them before any text moves, by a bitmap of id hashes: at
+    # most MARKS / 64 rows however many nodes there are, so it can be sent to every task.
+    mark = F.pmod(F.xxhash64("first_doc"), F.lit(MARKS))
+    word, bit = F.shiftright(mark, 6), (mark % 64).cast("int")
+    words = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
+    )
+    rows = docs.select(F.col("doc_id").alias("first_doc"), "text").withColumns({"word": word, "bit": bit})
+    rows = rows.join(F.broadcast(words), "word").filter("shiftright(bits, bit) & 1 = 1").select("first_doc", "text")
+    rows = rows.join(wanted.select("first_doc", "node"), "first_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
