@@ -653,3 +653,27 @@ ORACLE["score_bands"] = f"""{VERDICTS} SELECT CASE WHEN is_phish = 1 THEN 'phish
  coalesce(triggered_by, 'none (benign)') AS layer, {_band(_S, 0.55)} AS supervised_proba_band,
  {_band(_T, 0.75)} AS transformer_proba_band, 'none' AS isolation_score_band, count(*) AS emails
  FROM w GROUP BY ALL"""
+
+# --- models and jobs, by what SQL can state of them ------------------------------------------
+
+_HARD = f"""{VERDICTS} SELECT count(*) AS emails, count(*) FILTER (hard_block) AS blocked,
+ CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS scored_blocks FROM s"""
+ORACLE["scorer_text_column"] = _HARD
+ORACLE["classifier_quality"] = over_emails(
+    """SELECT model, count(*) AS emails, true AS from_0, true AS to_1, true AS fits
+ FROM m, (SELECT unnest(['logreg', 'linear_svm']) AS model) WHERE label IS NOT NULL GROUP BY model"""
+)
+# Mean path of two trees over the expected path among 256 rows.
+ORACLE["fixed_forest_scores"] = """WITH p AS (SELECT vec_id,
+ (CASE WHEN embedding[1] <= 0 THEN 2.5 WHEN embedding[2] <= 0.05 THEN 3.0 ELSE 1.5 END
+  + CASE WHEN embedding[2] <= 0 THEN 2.0 ELSE 4.0 END) / 2 AS path FROM embeddings),
+r AS (SELECT vec_id, power(2, -path / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)) AS raw FROM p)
+SELECT vec_id, round(raw, 6) AS isolation_raw, round(1 / (1 + exp(-raw)), 6) AS isolation_score FROM r"""
+ORACLE["outlier_share"] = """SELECT count(*) AS vectors,
+ CAST(count(*) - 1 - floor(0.9 * (count(*) - 1)) AS BIGINT) AS outliers FROM embeddings"""
+ORACLE["forest_roundtrip"] = "SELECT count(*) AS vectors, CAST(0 AS BIGINT) AS mismatches FROM embeddings"
+ORACLE["benign_job"] = over_emails(f"{_LAYOUT_ROWS} SELECT label, md5(t) AS text_md5 FROM texts WHERE label = 0")
+ORACLE["report_files"] = f"""WITH res AS ({ORACLE["corpus_results"]})
+SELECT 'results' AS report, count(*) AS written FROM res UNION ALL
+SELECT 'review', count(*) FILTER (verdict = 'phish') FROM res UNION ALL
+SELECT 'errors', count(*) FILTER (verdict = 'error') FROM res"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from lurewatch.operators import (
 )
 from lurewatch.plans.fixture import emails, emails_from, read_table, table_stream
 from lurewatch.plans.prepare import benign_only as keep_benign
-from lurewatch.plans.prepare import preprocess_and_split
-from lurewatch.plans.scoring import Scorers, score_emails
+from lurewatch.plans.prepare import build_benign, preprocess_and_split
+from lurewatch.plans.scoring import Scorers, evaluate_corpus, score_emails, write_evaluation
 from lurewatch.plans.training import run_training
 from lurewatch.session import run_dir, stage
 from lurewatch.sources import labelled_csv, markup, messages
@@ -80,7 +81,7 @@ def rule_matches(spark, sf):
 
 @query
 def rule_profile(spark, sf):
-    return rules.rule_profile(rules.score_rules(emails(spark, sf, labelled=False), keep_flags=True))
+    return rules.rule_profile(rules.score_rules(emails(spark, sf), keep_flags=True))
 
 
 @query
@@ -657,6 +658,101 @@ def embedding_outliers(spark, sf):
     ))
 
 
+@query
+def scorer_text_column(spark, sf):
+    """A classifier on the subject through the scoring plan: its scores are those it gives by
+    itself, and rows that a hard rule decides have none."""
+    fitted = text_classifier.train_classifier(_labelled(spark, sf), "logreg", text_col="subject")
+    rows = fitted.score(rules.with_defaults(emails(spark, sf, labelled=False)), "direct").drop("prediction")
+    scored = score_emails(rows, Scorers(supervised=fitted))
+    differs = F.abs(F.col("direct") - F.col("supervised_proba")) > 1e-9
+    return scored.agg(
+        F.count("*").alias("emails"), F.count_if("hard_block").alias("blocked"),
+        F.count_if(~F.col("hard_block") & F.coalesce(differs, F.lit(True))).alias("mismatches"),
+        F.count_if(F.col("hard_block") & F.col("supervised_proba").isNotNull()).alias("scored_blocks"),
+    )
+
+
+@query
+def classifier_quality(spark, sf):
+    """Both linear models on their training rows: probabilities in range, better than chance."""
+    rows = _labelled(spark, sf)
+    parts = []
+    for model in text_classifier.MODELS:
+        fitted = text_classifier.train_classifier(rows, model)
+        scored = fitted.score(rows).select("label", "prediction", F.col("supervised_proba").alias("score"))
+        right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+        parts.append(scored.agg(
+            F.lit(model).alias("model"), F.count("*").alias("emails"),
+            (F.min("score") >= 0).alias("from_0"), (F.max("score") <= 1).alias("to_1"), (right > 0.9).alias("fits"),
+        ))
+    return parts[0].unionByName(parts[1])
+
+
+def _vectors(spark: SparkSession, sf: str, width: int = 2) -> DataFrame:
+    parts = [F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)]
+    return read_table(spark, sf, "embeddings").select("vec_id", *parts)
+
+
+@query
+def fixed_forest_scores(spark, sf):
+    """A forest given as rows, walked by every vector."""
+    columns = ["tree", "node", "feature", "threshold", "left_child", "right_child", "path"]
+    nodes = pd.DataFrame(
+        [
+            (0, 0, 0, 0.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.5), (0, 2, 1, 0.05, 3, 4, 0.0),
+            (0, 3, -1, 0.0, -1, -1, 3.0), (0, 4, -1, 0.0, -1, -1, 1.5),
+            (1, 0, 1, 0.0, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 2.0), (1, 2, -1, 0.0, -1, -1, 4.0),
+        ],
+        columns=columns,
+    )
+    forest = isolation.IsolationForest(nodes, ["x0", "x1"], 256)
+    scored = forest.score(forest.raw_score(_vectors(spark, sf)))
+    return _rounded(scored.select("vec_id", "isolation_raw", "isolation_score"))
+
+
+@query
+def outlier_share(spark, sf):
+    """How many vectors a forest with a contamination of 10 % calls outliers."""
+    table = _vectors(spark, sf, 8)
+    forest = isolation.train_isolation_forest(table, [f"x{i}" for i in range(8)], "vec_id", contamination=0.1)
+    flag = isolation.outlier_flag(F.col("isolation_raw"), forest.threshold)
+    return forest.raw_score(table).agg(F.count("*").alias("vectors"), F.sum(flag).alias("outliers"))
+
+
+@query
+def forest_roundtrip(spark, sf):
+    """A forest saved and loaded scores as before."""
+    table = _vectors(spark, sf, 8)
+    forest = isolation.train_isolation_forest(table, [f"x{i}" for i in range(8)], "vec_id")
+    path = run_dir(spark, "forest")
+    forest.save(path)
+    both = isolation.load_forest(spark, path).raw_score(forest.raw_score(table, "before"), "after")
+    return both.agg(F.count("*").alias("vectors"), F.count_if(F.col("before") != F.col("after")).alias("mismatches"))
+
+
+@query
+def benign_job(spark, sf):
+    """CSV corpora to the written table of benign rows."""
+    root = _write_corpora(spark, sf)
+    benign = build_benign(spark, root, run_dir(spark, "benign"), dedupe=False)
+    return benign.select("label", F.md5("text_combined").alias("text_md5"))
+
+
+@query
+def report_files(spark, sf):
+    """The evaluation reports written as files and read back: rows of each."""
+    parsed = messages.parse_messages(_raw_messages(spark, sf))
+    paths = write_evaluation(evaluate_corpus(parsed, truth="benign"), run_dir(spark, "reports"))
+    parts = [
+        spark.read.option("header", True).option("sep", "\t" if name == "errors" else ",")
+        .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+        .agg(F.lit(name).alias("report"), F.count("*").alias("written"))
+        for name, path in sorted(paths.items()) if name in ("results", "review", "errors")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def isolation_binary(spark, sf):
     """Outlier flags of given raw scores at a contamination of 10 %."""

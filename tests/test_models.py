@@ -1,3 +1,4 @@
+import os
 import math
 import random
 
@@ -188,3 +189,56 @@ def test_sequence_scorer_skips_blocked_rows(spark):
     rows = with_sequence_proba(df, factory, skip=F.col("hard")).collect()
     assert rows[0].transformer_proba == pytest.approx(1 / (1 + math.exp(-1)))
     assert rows[1].transformer_proba is None and rows[2].transformer_proba == 0.5
+
+
+@pytest.mark.parametrize("n_rows,total", [(1_000, None), (1_024, None), (1_100, None), (20_000, 10_000_000)])
+def test_forest_samples_by_one_method(spark, n_rows, total):
+    """Around the old limits, and for a table that is a part of a larger one."""
+    from lurewatch.operators.isolation import tree_samples
+
+    rows = spark.range(n_rows).selectExpr("id", "array(double(id)) as values")
+    samples = tree_samples(rows, "id", total or n_rows, 8, 64, 42).groupBy("tree").count().collect()
+    counts = [r["count"] for r in samples]
+    if total is None:
+        assert len(counts) == 8 and min(counts) >= 64
+    else:  # about the share of the part
+        assert sum(counts) <= 8 * 4 * 64 * n_rows / total * 20
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    from lurewatch import session
+
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        pass
+
+    cluster = Session()
+    cluster.conf = Conf(**{"spark.master": "spark://host:7077"})
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
+    cluster.conf = Conf(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})
+    assert session.shared_dir(cluster) == "hdfs:///x"
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from lurewatch import session
+
+    path = session.stage(spark.range(3), "x").inputFiles()[0]
+    assert session.drop_staged(spark) >= 1
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_number_spellings(spark):
+    from lurewatch.functions.labels import number_of
+
+    rows = spark.createDataFrame([("1d",), ("0f",), (" 1.0 ",), (".5",), ("1e2",), ("x",), (None,)], "v string")
+    from pyspark.sql import functions as F
+
+    assert [r.n for r in rows.select(number_of(F.col("v")).alias("n")).collect()] == [None, None, 1.0, 0.5, 100.0, None, None]
+    assert spark.range(2).select(number_of(F.col("id")).alias("n")).collect()[1].n == 1.0

@@ -179,3 +179,26 @@ def test_broken_markup_keeps_what_was_read():
     text, links = markup.read_page("<a href='u'>t</a><a href>n</a><head>h</head></head>z")
     assert links == ["u"] and "h" not in text.split() and text.endswith("z")
     assert markup.read_page(None) == ("", [])
+
+
+def test_many_files_take_a_constant_number_of_jobs(spark, tmp_path):
+    def load(n):
+        for i in range(n):
+            write(tmp_path / str(n), f"f{i}.csv", f"text_combined,label\nbody {i},{i % 2}\n")
+        group = f"load-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        configs = csv.discover_csv(spark, str(tmp_path / str(n)))
+        rows = csv.load_csv(spark, configs, multi_line=False)
+        assert rows.count() == n
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    # Listing more than some files is a job of its own.
+    assert load(200) <= load(5) + 4
+
+
+def test_all_messages_are_listed(spark, tmp_path):
+    for i in range(1100):
+        (tmp_path / f"m{i}.eml").write_bytes(b"Subject: x\n\nbody")
+    assert list_messages(spark, str(tmp_path)).select("path").count() == 1100
