@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "lurewatch", cores: str | int = 8, **conf: str) -> SparkSession:
