@@ -30,6 +30,8 @@ from lurewatch.session import stage
 
 WINDOW = 10
 SHARD_WINDOWS = 200_000
+# Bytes of text that are searched together.
+SEARCHED_BYTES = 2 << 20
 # Last words of windows that one lane of the search walks over.
 LANE = 512
 # (position, pattern) pairs that are compared at once.
@@ -199,7 +201,7 @@ def find_passages(
 def _search_step(sent):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = None
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SEARCHED_BYTES):
             searcher = searcher or Searcher(sent.value)
             sizes, hits, items = searcher.hits(batch.column("text").to_pylist())
             before = zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)

@@ -38,6 +38,8 @@ MAX_SYMBOLS = 120
 STRETCH = 2048
 RANKED_PARTS = 64
 LEAST_PHRASE = 1.5
+# Bytes of text that are normalised together.
+PARSED_BYTES = 2 << 20
 # Symbols of all stretches that are parsed side by side.
 SIDE_BY_SIDE = 4 << 20
 
@@ -115,13 +117,22 @@ class LanguageModel:
     alphabet: np.ndarray  # code points; their index + 2 is the symbol, 1 is the boundary, 0 other
     training: list[np.ndarray]  # symbols per language
 
-    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``doc_id, lang_pred, score, n_symbols, n_phrases`` of every row."""
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
+        """``doc_id, lang_pred, score, n_symbols, n_phrases`` of every row.
+
+        With ``text_col=None`` the id is a whole row that holds ``text``, which then is sent once.
+        """
+        rows = docs.select(F.col(id_col).alias("doc_id"), *([F.col(text_col).alias("text")] if text_col else []))
+
+        def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row = batch.column("doc_id")
+                text = batch.column("text") if text_col else row.field("text")
+                yield pa.RecordBatch.from_arrays([row, text], ["doc_id", "text"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parser = None
-            for batch in text_slices(batches, "text"):
+            for batch in text_slices(with_text(batches), "text", PARSED_BYTES):
                 parser = parser or CrossParser(self)
                 found = parser.languages_of(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names)
@@ -250,8 +261,8 @@ def in_known_language(docs: DataFrame, least_phrase: float = LEAST_PHRASE) -> Da
     missing ``lang`` is filled in.
     """
     model = train(docs, F.lit(True))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = model.predict(rows, id_col="row").withColumnRenamed("doc_id", "row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = model.predict(rows, id_col="row", text_col=None).withColumnRenamed("doc_id", "row")
     kept = found.filter(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("n_symbols") >= least_phrase * F.col("n_phrases"))
     )
