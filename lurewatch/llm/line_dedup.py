@@ -11,8 +11,9 @@ Digests meet their earliest occurrence in a grouping that keeps one row per dige
 line that a third of the documents have is no hot spot there.  Only digests that occur more than
 once are joined back; a hot one among them is left to Spark's splitting of skewed joins.
 
-Units with fewer than ``LEAST_WORDS`` words are never removed.  Null texts and texts without such
-units lose nothing; rows with a null rank lose nothing and keep nothing from others.  Repeated
+Units with fewer than ``least_words`` words are never removed; with 1 only blank units are exempt,
+as in the registered query.  Sentences need ``SENTENCE_WORDS`` words in any case, since a short one
+inside a line says little.  Null texts and texts without such units lose nothing; rows with a null rank lose nothing and keep nothing from others.  Repeated
 rows of one id are one document: what stays in one of them stays in all.  Columns other than rank
 and text are not looked at.  An empty table gives an empty result.
 """
@@ -30,6 +31,7 @@ from lurewatch.llm.common import text_slices
 from lurewatch.session import stage
 
 LEAST_WORDS = 5
+SENTENCE_WORDS = 5
 LONG_WORDS = 50
 BREAKS = {"line": r"\n", "paragraph": r"\n[ \t]*\n\s*"}
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -57,7 +59,7 @@ def unit_table(
 
             def add(row, text, start, end, level):
                 words = text[start:end].lower().split()
-                if len(words) >= least_words:
+                if len(words) >= (SENTENCE_WORDS if level else max(least_words, 1)):
                     digest = xxhash.xxh3_128_intdigest(" ".join(words))
                     rows.append(row)
                     starts.append(start)
@@ -83,9 +85,11 @@ def unit_table(
     return rows.mapInArrow(run, f"rank {kind}, start long, end long, level long, d1 long, d2 long")
 
 
-def repeated_units(docs: DataFrame, rank_col: str = "doc_id", text_col: str = "text", unit: str = "line") -> DataFrame:
+def repeated_units(
+    docs: DataFrame, rank_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = LEAST_WORDS
+) -> DataFrame:
     """One row per unit to remove: its document and offsets, and where the kept one stands."""
-    table = stage(unit_table(docs, rank_col, text_col, unit), "units")
+    table = stage(unit_table(docs, rank_col, text_col, unit, least_words), "units")
     place = F.struct("rank", "start")
     firsts = table.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.filter("first <> last").select("d1", "d2", "first")
@@ -97,12 +101,14 @@ def repeated_units(docs: DataFrame, rank_col: str = "doc_id", text_col: str = "t
     )
 
 
-def without_repeats(docs: DataFrame, rank_col: str = "doc_id", text_col: str = "text", unit: str = "line") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, rank_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = LEAST_WORDS
+) -> DataFrame:
     """All rows and columns, with the repeated units cut out of the text.
 
     A removed unit leaves its line break, so the lines around it stay lines.
     """
-    gone = repeated_units(docs, rank_col, text_col, unit).groupBy(F.col(rank_col).alias("_rank")).agg(
+    gone = repeated_units(docs, rank_col, text_col, unit, least_words).groupBy(F.col(rank_col).alias("_rank")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone")
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))

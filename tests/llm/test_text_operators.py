@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from lurewatch.llm import decontamination, line_dedup, near_duplicates, secrets
+from lurewatch.llm.queries import QUERIES
 
 CLASH = "doc_id long, text string, node long, n long, row string, shingle string, spans string, w string, t string"
 
@@ -219,6 +220,15 @@ def test_repeated_paragraphs_and_clashing_columns(spark):
     assert line_dedup.without_repeats(docs).columns == docs.columns
 
 
+def test_short_lines_are_units_of_the_registered_query(spark, tmp_path):
+    docs = [(1, "Home\nAll rights reserved\n\n \nown text"), (2, "home\n\nother text\nall  rights RESERVED"), (3, "x. Home")]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_line_hashing"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(2, 0, 4, "line", 1, 0), (2, 17, 37, "line", 1, 5)]
+    clean = {r.doc_id: r.text for r in line_dedup.without_repeats(table(spark, docs), least_words=1).collect()}
+    assert clean == {1: docs[0][1], 2: "\n\nother text\n", 3: "x. Home"}
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 ASSIGN = re.compile(
