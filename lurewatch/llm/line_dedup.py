@@ -3,9 +3,9 @@
 A text is cut into units: lines, or paragraphs between blank lines.  Units are compared by the
 128-bit digest of their normalised form (lower case, runs of white space as one space, none at
 the ends).  Of equal units the earliest by (rank, place) stays; the others are removed.  Every
-unit keeps its offsets in the original text, in code points.  A unit of more than ``LONG_WORDS``
-words is also compared by its sentences, so that a passage is found where it was set into a
-longer line.
+unit keeps its offsets in the original text, in code points.  A unit of more than one sentence
+is also compared by its sentences, so that a passage is found where it was set into a longer line
+and a line with one word edited still loses its other sentences.
 
 Digests meet their earliest occurrence in a grouping that keeps one row per digest and task, so a
 line that a third of the documents have is no hot spot there.  Only digests that occur more than
@@ -32,7 +32,6 @@ from lurewatch.session import stage
 
 LEAST_WORDS = 5
 SENTENCE_WORDS = 5
-LONG_WORDS = 50
 BREAKS = {"line": r"\n", "paragraph": r"\n[ \t]*\n\s*"}
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
@@ -46,7 +45,7 @@ def _cuts(text: str, begin: int, end: int, breaks: re.Pattern) -> Iterator[tuple
 
 def unit_table(
     docs: DataFrame, rank_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-    least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """``rank, start, end, level, d1, d2``: places and digests of all units that may go."""
     breaks = re.compile(BREAKS[unit])
@@ -67,14 +66,13 @@ def unit_table(
                     levels.append(level)
                     high.append((digest >> 64) - (1 << 63))
                     low.append((digest & (1 << 64) - 1) - (1 << 63))
-                return len(words)
 
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for start, end in _cuts(text, 0, len(text), breaks):
-                    if add(row, text, start, end, 0) > long_words:
-                        inner = list(_cuts(text, start, end, SENTENCE_END))
-                        for begin, stop in inner if len(inner) > 1 else []:
-                            add(row, text, begin, stop, 1)
+                    add(row, text, start, end, 0)
+                    inner = list(_cuts(text, start, end, SENTENCE_END))
+                    for begin, stop in inner if len(inner) > 1 else []:
+                        add(row, text, begin, stop, 1)
             arrays = [batch.column("rank").take(pa.array(rows, pa.int64()))]
             arrays += [pa.array(c, pa.int64()) for c in (starts, ends, levels, high, low)]
             yield pa.RecordBatch.from_arrays(arrays, ["rank", "start", "end", "level", "d1", "d2"])

@@ -229,6 +229,13 @@ def test_short_lines_are_units_of_the_registered_query(spark, tmp_path):
     assert clean == {1: docs[0][1], 2: "\n\nother text\n", 3: "x. Home"}
 
 
+def test_sentences_of_short_lines_are_compared(spark):
+    kept = "One sentence that both lines have. "
+    docs = [(1, kept + "Then an end of its own."), (2, kept + "Then another end of its own.")]
+    got = line_dedup.repeated_units(table(spark, docs)).collect()
+    assert [tuple(r) for r in got] == [(2, 0, len(kept) - 1, "sentence", 1, 0)]
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 ASSIGN = re.compile(
