@@ -2,8 +2,9 @@
 
 Built from DataFrame functions only.  ``scan`` finds the base spans (kinds ``assign``, ``access``
 and ``hex``) and candidate tokens: runs of at least ``MIN_TOKEN`` characters of the usual
-encodings that no base span covers.  The encoding of a token (hex, base32, alphanumeric, base64)
-gives its alphabet.  Three tests ask whether its symbols look drawn at random: chi-squared
+encodings that no base span covers, '=' only as padding at their end.  The encoding of a token
+(hex, base32, alphanumeric, base64, or the kinds of characters it has) gives its alphabet; every
+token has one, so the tests decide on each.  Three tests ask whether its symbols look drawn at random: chi-squared
 uniformity over the alphabet, the number of runs above and below the middle, and the correlation
 of neighbours.  Fisher's rule makes one p-value of the three.
 
@@ -38,7 +39,8 @@ MIN_TOKEN = 20
 RATE = 0.05
 BINS_PER_E = 8
 MAX_BIN = 400
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+# '=' before a token is the end of a name; after it, padding unless more of the same follows.
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}(?:={{1,6}}(?![A-Za-z0-9+/_=-]))?"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 # name, pattern, alphabet; the first that fits is taken.
 ENCODINGS = [
@@ -48,6 +50,19 @@ ENCODINGS = [
     ("alnum", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+=*$", UPPER + LOWER + DIGITS),
     ("base64", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    ("digits", "^[0-9]+=*$", DIGITS),
+    ("lower", "^[a-z]+=*$", LOWER),
+    ("UPPER", "^[A-Z]+=*$", UPPER),
+    ("letters", "^[A-Za-z]+=*$", UPPER + LOWER),
+    ("lower36", "^[0-9a-z]+=*$", DIGITS + LOWER),
+    ("UPPER36", "^[0-9A-Z]+=*$", DIGITS + UPPER),
+    ("lower-url", "^[0-9a-z_-]+=*$", DIGITS + LOWER + "-_"),
+    ("UPPER-url", "^[0-9A-Z_-]+=*$", DIGITS + UPPER + "-_"),
+    ("lower/", "^[0-9a-z+/]+=*$", DIGITS + LOWER + "+/"),
+    ("UPPER/", "^[0-9A-Z+/]+=*$", DIGITS + UPPER + "+/"),
+    ("letters-url", "^[A-Za-z_-]+=*$", UPPER + LOWER + "-_"),
+    ("letters/", "^[A-Za-z+/]+=*$", UPPER + LOWER + "+/"),
+    ("mixed", "^[0-9A-Za-z+/_-]+=*$", UPPER + LOWER + DIGITS + "+/-_"),
 ]
 # Upper ends of the classes of length.
 LENGTHS = [24, 32, 48, 64, 128, 1024]

@@ -315,6 +315,27 @@ def test_random_tokens_are_found_and_ordinary_ones_cleared(spark):
     assert len(found & keys) >= 27 and not found - keys
 
 
+def test_tokens_of_every_alphabet_and_after_names_are_tested(spark):
+    rng = random.Random(10)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    key = lambda alphabet, n=44: "".join(rng.choice(alphabet) for _ in range(n))
+    alphabets = {
+        "DB_PASS=": lower + lower.upper() + digits, "?sig=": lower + lower.upper() + digits + "_-", "base36 ": lower + digits,
+        "letters ": lower + lower.upper(), "lower ": lower, "both ": lower + lower.upper() + digits + "+/-_",
+        "A_LONG_NAME_OF_A_SETTING_IN_CAPITALS=": lower + lower.upper() + digits,
+    }
+    rows = [(i, name + key(alphabet)) for i, (name, alphabet) in enumerate([*alphabets.items()] * 20)]
+    plain = ["a_name_of_snakes_and_more_snakes_and_snakes", "/usr/share/the-tests/of-all/the_tests/there", "aaaabbbbaaaabbbbaaaabbbbaaaabbbb", "abcabc123abcabc123abcabc123abcabc123"]
+    rows += [(1000 + i, p) for i, p in enumerate(plain * 10)]
+    found = {}
+    for row in secrets.secret_spans(table(spark, rows)).collect():
+        found[row.doc_id] = {tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("random")}
+    for number, name in enumerate(alphabets):
+        whole = [(len(name), len(name) + 44) in found[i] for i in range(number, 7 * 20, 7)]
+        assert sum(whole) >= 14, name
+    assert not any(found[i] for i in found if i >= 1000)
+
+
 def test_false_discovery_control(spark):
     cells = [(1, 48, 5), (1, 0, 95), (2, 0, 10)]
     frame = spark.createDataFrame(cells, "class int, bin int, n long")
