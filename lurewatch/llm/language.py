@@ -34,7 +34,8 @@ UNDETERMINED = "und"
 SNIPPETS = 60
 SNIPPET_CHARS = 400
 MAX_TRAINING_CHARS = 160_000
-MAX_SYMBOLS = 120
+# The most frequent letters have a column in the tables of transitions; those of others are sorted.
+DENSE_SYMBOLS = 120
 STRETCH = 2048
 RANKED_PARTS = 64
 LEAST_PHRASE = 1.5
@@ -73,10 +74,11 @@ def normalise(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes[keep][: bounds[-1]], np.diff(bounds)
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Transitions of the automaton of all parts of ``symbols``: 0 where there is none.
 
-    State 1 is the start; row s holds the next state for every symbol.
+    State 1 is the start; row s of the first table holds the next state for every symbol below
+    ``width``.  The second has rows of (state, symbol, next state) for the others.
     """
     link, size = [0, 0], [0, 0]
     steps: list[dict[int, int]] = [{}, {}]
@@ -104,17 +106,21 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    table = np.zeros((len(size), width), np.int32)
+    table, others = np.zeros((len(size), width), np.int32), []
     for state, row in enumerate(steps):
         for symbol, to in row.items():
-            table[state, symbol] = to
-    return table
+            if symbol < width:
+                table[state, symbol] = to
+            else:
+                others.append((state, symbol, to))
+    return table, np.array(others, np.int64).reshape(-1, 3)
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    alphabet: np.ndarray  # code points; their index + 2 is the symbol, 1 is the boundary, 0 other
+    # Code points, frequent ones first; their index + 2 is the symbol, 1 is the boundary, 0 other.
+    alphabet: np.ndarray
     training: list[np.ndarray]  # symbols per language
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
@@ -147,22 +153,35 @@ class CrossParser:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.letters = _letters()
-        width = len(model.alphabet) + 2
-        self.symbols = np.zeros(0x110000, np.uint8)
-        self.symbols[model.alphabet] = np.arange(2, width)
-        self.symbols[0] = 1
-        tables, starts, rows = [], [], 0
+        self.symbols = _symbols(model.alphabet)
+        width = min(len(model.alphabet), DENSE_SYMBOLS) + 2
+        tables, others, starts, rows = [], [], [], 0
         for training in model.training:
-            table = suffix_automaton(training.tolist(), width)
+            table, rare = suffix_automaton(training.tolist(), width)
+            table[:, 0] = 0  # an unknown symbol is never part of a longer phrase
             tables.append(np.where(table > 0, table + rows, 0))
+            others.append(rare + [rows, 0, rows])
             starts.append(rows + 1)
             rows += len(table)
         self.width = width
+        # Transitions by letters without a column: sorted keys of state and symbol.
+        self.letters_in_all = len(model.alphabet) + 2
+        rare = np.concatenate(others)
+        keys = rare[:, 0] * self.letters_in_all + rare[:, 1]
+        order = np.argsort(keys)
+        self.rare_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rare_steps = np.append(rare[order, 2], 0).astype(np.int32)
         self.steps = np.concatenate(tables).astype(np.int32).ravel()
         self.starts = np.array(starts, np.int32)
         # The first step of a phrase in each language, 0 for a symbol that its text lacks.
         self.first = self.steps.reshape(-1, width)[self.starts]
 
+    def _rare_step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The next states for letters without a column; ``symbols`` fits the last axis."""
+        keys = states.astype(np.int64) * self.letters_in_all + symbols
+        at = np.searchsorted(self.rare_keys, keys)
+        return np.where(self.rare_keys[at] == keys, self.rare_steps[at], 0)
+
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each text; texts stand in a row in ``codes``."""
         symbols = self.symbols[codes].astype(np.int32)
@@ -176,10 +195,16 @@ class CrossParser:
         for step, n in enumerate(alive.tolist()):
             symbol = symbols[begin[:n] + step]
             at = state[:, :n]
-            to = self.steps.take(at * self.width + symbol)
+            rare = np.flatnonzero(symbol >= self.width)
+            dense = symbol if not len(rare) else np.where(symbol < self.width, symbol, 0)
+            to = self.steps.take(at * self.width + dense)
+            first = self.first.take(dense, axis=1)
+            if len(rare):
+                to[:, rare] = self._rare_step(at[:, rare], symbol[rare])
+                first[:, rare] = self._rare_step(self.starts[:, None], symbol[rare])
             ends = to == 0
             counts[:, :n] += ends & (at != 0)
-            to = np.where(ends, self.first.take(symbol, axis=1), to)
+            to = np.where(ends, first, to)
             counts[:, :n] += to == 0  # a symbol that occurs nowhere is a phrase
             state[:, :n] = to
         counts += state != 0  # the phrase that is open at the end
@@ -219,8 +244,21 @@ def _stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, begin, np.minimum(STRETCH, sizes[owner] - number * STRETCH)
 
 
+def _symbols(alphabet: np.ndarray) -> np.ndarray:
+    """The symbol of every code point of normalised text."""
+    table = np.zeros(0x110000, np.int32)
+    table[alphabet] = np.arange(2, len(alphabet) + 2)
+    table[0] = 1
+    return table
+
+
 def train(docs: DataFrame, usable, snippets: int = SNIPPETS) -> LanguageModel:
     """Automata of labelled text; ``usable`` tells which rows may be learned from."""
+    return model_of(labelled_snippets(docs, usable, snippets))
+
+
+def labelled_snippets(docs: DataFrame, usable, snippets: int = SNIPPETS) -> dict[str, list[str]]:
+    """At most ``snippets`` parts of labelled texts for each language."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     draw = F.xxhash64(F.col("doc_id").cast("string"))
     places = F.greatest(F.lit(1), F.ceil(F.length("text") / SNIPPET_CHARS))
@@ -238,18 +276,22 @@ def train(docs: DataFrame, usable, snippets: int = SNIPPETS) -> LanguageModel:
     by_language: dict[str, list[str]] = {}
     for row in sorted(picked, key=lambda r: (r.lang, r.n)):
         by_language.setdefault(row.lang, []).append(row.text)
+    return {language: list(dict.fromkeys(texts)) for language, texts in by_language.items()}
+
+
+def model_of(by_language: dict[str, list[str]]) -> LanguageModel:
     if not by_language:
         raise ValueError("no labelled text to learn languages from")
     limit = max(200, MAX_TRAINING_CHARS // len(by_language))
     letters = _letters()
     languages, coded = sorted(by_language), []
     for language in languages:
-        coded.append(normalise(list(dict.fromkeys(by_language[language])), letters)[0][:limit])
+        coded.append(normalise(by_language[language], letters)[0][:limit])
     codes, counts = np.unique(np.concatenate(coded), return_counts=True)
     codes, counts = codes[codes > 0], counts[codes > 0]
-    alphabet = np.sort(codes[np.argsort(-counts, kind="stable")[:MAX_SYMBOLS]])
-    symbols = np.zeros(0x110000, np.uint8)
-    symbols[alphabet], symbols[0] = np.arange(2, len(alphabet) + 2), 1
+    # Every letter of the training text is told apart; it has MAX_TRAINING_CHARS of them at most.
+    alphabet = codes[np.argsort(-counts, kind="stable")]
+    symbols = _symbols(alphabet)
     return LanguageModel(languages, alphabet, [symbols[c] for c in coded])
 
 

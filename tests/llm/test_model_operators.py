@@ -70,6 +70,41 @@ def test_held_out_languages(spark):
     assert all(0 <= r.score <= 1 for r in got) and by_id[1001].score == 0 and len(got) == len(rows)
 
 
+def test_every_letter_is_a_symbol_of_its_own():
+    rng = random.Random(12)
+    # Two languages over the same 600 Han letters in another order, and a rare script.
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    words = {name: ["".join(rng.sample(letters, 3)) for _ in range(300)] for name in ("h1", "h2")}
+    words["rare"] = ["".join(chr(0x10D0 + rng.randrange(30)) for _ in range(4)) for _ in range(20)]
+    text = lambda name, n: " ".join(rng.choice(words[name]) for _ in range(n))
+    model = language.model_of({name: [text(name, 100) for _ in range(10 if name != "rare" else 1)] for name in words})
+    assert len(model.alphabet) > 400 and all((t > 0).all() for t in model.training)
+    parser = language.CrossParser(model)
+    texts = [text(name, 12) for name in words for _ in range(20)]
+    names = [name for name in words for _ in range(20)]
+    assert parser.languages_of(texts)[0].to_pylist() == names
+    # Letters that no training text has are phrases of their own.
+    unknown = "".join(chr(0xAC00 + rng.randrange(5000)) for _ in range(200))
+    _, _, n_symbols, n_phrases = (column.to_pylist()[0] for column in parser.languages_of([unknown]))
+    assert n_symbols - n_phrases <= 2
+    # The phrases are those of a plain search, whatever has a column.
+    whole = {name: t.tolist() for name, t in zip(model.languages, model.training, strict=True)}
+    codes, sizes = language.normalise(texts[:3] + texts[-3:], parser.letters)
+    counts, at = parser.phrases(codes, sizes), 0
+    for column, size in enumerate(sizes.tolist()):
+        symbols = parser.symbols[codes[at : at + size]].tolist()
+        at += size
+        for row, name in enumerate(model.languages):
+            text_of = "".join(map(chr, whole[name]))
+            i = phrases = 0
+            while i < size:
+                n = 1
+                while i + n < size and "".join(map(chr, symbols[i : i + n + 1])) in text_of:
+                    n += 1
+                i, phrases = i + n, phrases + 1
+            assert counts[row, column] == phrases
+
+
 def test_known_language_stage(spark):
     rng = random.Random(3)
     rows = [(i, sentence(rng, "aa"), "aa") for i in range(20)] + [(50, "привет мир как дела друзья", "aa"), (51, None, "aa"), (52, "42", None), (53, sentence(rng, "aa"), None)]
