@@ -363,3 +363,26 @@ def test_template_with_an_opening():
     renderer = chat.Renderer(lambda turns: "<s>" + "".join(f"[{r}]{t}" for r, t in turns))
     spans = [renderer.add(("user", f"t{i}")) for i in range(20)]
     assert spans[0] == "<s>[user]t0" and spans[1:] == [f"[user]t{i}" for i in range(1, 20)]
+
+
+def with_system(turns):
+    mark = "!" if turns and turns[0][0] == "system" else ""
+    return "".join(f"[{r}{mark}]{t}" for r, t in turns)
+
+
+@pytest.mark.parametrize("template", [with_system, lambda turns: "".join(t for _, t in turns[-10:])])
+@pytest.mark.parametrize("length", [11, 40])
+def test_templates_with_a_long_memory_are_found(template, length):
+    renderer = chat.Renderer(template)
+    with pytest.raises(chat.RewritesHistory):
+        for i in range(length):
+            renderer.add(("user" if i else "system", f"t{i}"))
+        renderer.finish()
+
+
+def test_long_memory_is_found_in_the_table(spark):
+    turns = [(c, i, "user" if i else "system", f"t{i}") for c in (1, 2) for i in range(11 if c == 1 else 3)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)
+    template = lambda turns: "".join(f"[{turns[0][0]} {r}]{t}" for r, t in turns)
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.render_turns(frame, template).collect()
