@@ -93,3 +93,10 @@ def op1_cross_polytope_search(spark, sf):
     from lurewatch.llm.neighbours import search
 
     return search(read(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
+
+
+@query
+def op11_two_tier_token_counts(spark, sf):
+    from lurewatch.llm.token_counts import token_counts
+
+    return token_counts(read(spark, sf, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
