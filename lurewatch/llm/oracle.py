@@ -81,3 +81,56 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_
 FROM d LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+_FIELDS = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in [*_FIELDS, text]]
+    return f"sha256({' || '.join(parts)})"
+
+
+# CRC-32 bit by bit, without a table: eight shifts for every character of the number.
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])),
+      lambda x, turn: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+ORACLE["op13_time_forward_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS doc, doc_id, source, {_leaf('text')} AS leaf, {_leaf('t')} AS found FROM (
+    SELECT *, CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents)
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n FROM d
+), up AS (
+  SELECT source, 0 AS level, idx, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT source, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 2) // 3)
+  FROM up WHERE n > 1 GROUP BY source, level, idx // 3
+), sub AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM up WHERE n = 1
+), above AS (
+  SELECT 0 AS level, idx, subroot AS digest, n FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 2) // 3)
+  FROM above WHERE n > 1 GROUP BY level, idx // 3
+), low AS (
+  SELECT doc, source, 0 AS level, idx, '' AS proof, found AS own, n FROM l
+  UNION ALL
+  SELECT w.doc, w.source, w.level + 1, w.idx // 3, any_value(w.proof) || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx <> w.idx), ''),
+    sha256(string_agg(CASE WHEN u.idx = w.idx THEN w.own ELSE u.digest END, '' ORDER BY u.idx)), any_value((w.n + 2) // 3)
+  FROM low w JOIN up u ON u.source IS NOT DISTINCT FROM w.source AND u.level = w.level AND u.idx // 3 = w.idx // 3
+  WHERE w.n > 1 GROUP BY w.doc, w.source, w.level, w.idx
+), high AS (
+  SELECT w.doc, 0 AS level, s.idx, w.proof, w.own, s.n FROM low w JOIN sub s ON s.source IS NOT DISTINCT FROM w.source WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc, w.level + 1, w.idx // 3, any_value(w.proof) || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx <> w.idx), ''),
+    sha256(string_agg(CASE WHEN u.idx = w.idx THEN w.own ELSE u.digest END, '' ORDER BY u.idx)), any_value((w.n + 2) // 3)
+  FROM high w JOIN above u ON u.level = w.level AND u.idx // 3 = w.idx // 3
+  WHERE w.n > 1 GROUP BY w.doc, w.level, w.idx
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(h.proof) AS proof_sha256, h.own AS folded_root, h.own = r.digest AS verified
+FROM l JOIN sub s ON s.source IS NOT DISTINCT FROM l.source JOIN high h ON h.doc = l.doc AND h.n = 1
+JOIN above r ON r.n = 1
+"""

@@ -100,3 +100,10 @@ def op11_two_tier_token_counts(spark, sf):
     from lurewatch.llm.token_counts import token_counts
 
     return token_counts(read(spark, sf, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op13_time_forward_manifest(spark, sf):
+    from lurewatch.llm.manifest import tampered_manifest
+
+    return tampered_manifest(read(spark, sf, "documents", "doc_id", "source", "lang", "n_chars", "text"))
