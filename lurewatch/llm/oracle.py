@@ -91,14 +91,16 @@ def _leaf(text: str) -> str:
 
 
 # CRC-32 bit by bit, without a table: eight shifts for every character of the number.
-_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])),
-      lambda x, turn: xor(x >> 1, (x & 1) * 3988292384)))"""
+      lambda x, turn: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
 
 ORACLE["op13_time_forward_manifest"] = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS doc, doc_id, source, {_leaf('text')} AS leaf, {_leaf('t')} AS found FROM (
-    SELECT *, CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents)
+    SELECT *, CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents)
 ), l AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS idx,
     count(*) OVER (PARTITION BY source) AS n FROM d
@@ -134,3 +136,56 @@ SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(h.proof) AS proof_s
 FROM l JOIN sub s ON s.source IS NOT DISTINCT FROM l.source JOIN high h ON h.doc = l.doc AND h.n = 1
 JOIN above r ON r.n = 1
 """
+
+# States: 0 nothing written, 1 after a system, 2 a user, 3 an assistant turn.  ``lead`` has what may
+# be inserted before a row and where that leads; the cheapest path to each state goes on.
+ORACLE["op12_deepening_repair"] = rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o
+), p AS (
+  SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair FROM d
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS (
+  SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM p
+), r AS (
+  SELECT *, CASE WHEN e = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM f
+), lead(g, ins, c, t, w) AS (VALUES
+  (0, '', 0, 0, ''), (1, '', 0, 1, ''), (2, '', 0, 2, ''), (3, '', 0, 3, ''),
+  (0, 'I', 2, 2, 'user:' || chr(10)), (1, 'I', 2, 2, 'user:' || chr(10)), (2, 'I', 2, 3, 'assistant:' || chr(10)), (3, 'I', 2, 2, 'user:' || chr(10)),
+  (0, 'II', 4, 3, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 'II', 4, 3, 'user:' || chr(10) || 'assistant:' || chr(10))
+), n AS (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id),
+s AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS g, {{'c': 0, 'a': '', 'o': ''}} AS b FROM n
+  UNION ALL
+  SELECT conv_id, i, g, min(b) FROM (
+    SELECT s.conv_id, r.i, x.g, {{'c': b.c + l.c + x.c, 'a': b.a || l.ins || x.e, 'o': b.o || l.w || x.w}} AS b
+    FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1 JOIN lead l ON l.g = s.g,
+    LATERAL (
+      SELECT 'D' AS e, 3 AS c, l.t AS g, '' AS w
+      UNION ALL SELECT 'K', CASE WHEN r.fault IS NULL THEN 0 ELSE 1 END, CASE r.role[1] WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 1 END, r.role || ':' || r.text || chr(10)
+        WHERE coalesce(r.fault, '') NOT IN ('blank', 'duplicate')
+          AND ((r.role[1] = 'u' AND l.t <> 2) OR (r.role[1] = 'a' AND l.t = 2) OR (r.role[1] = 's' AND l.t = 0))
+      UNION ALL SELECT 'R', CASE WHEN r.fault IS NULL THEN 2 ELSE 3 END, CASE l.t WHEN 2 THEN 3 ELSE 2 END,
+        CASE l.t WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text || chr(10) WHERE coalesce(r.fault, '') NOT IN ('blank', 'duplicate')
+    ) x
+  ) GROUP BY conv_id, i, g
+), best AS (
+  SELECT s.conv_id, min({{'c': b.c + l.c, 'a': b.a || l.ins, 'o': b.o || l.w}}) AS b
+  FROM s JOIN n ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.n = s.i JOIN lead l ON l.g = s.g WHERE l.t IN (0, 3) GROUP BY s.conv_id
+), stats AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.b.c, 0) AS BIGINT) AS cost,
+  coalesce(best.b.a, '') AS audit, sha256(coalesce(best.b.o[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

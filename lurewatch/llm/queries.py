@@ -107,3 +107,10 @@ def op13_time_forward_manifest(spark, sf):
     from lurewatch.llm.manifest import tampered_manifest
 
     return tampered_manifest(read(spark, sf, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+
+
+@query
+def op12_deepening_repair(spark, sf):
+    from lurewatch.llm.repair import repaired_after_damage
+
+    return repaired_after_damage(read(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
