@@ -5,15 +5,15 @@ it.  Successive prefixes of a conversation are rendered and consecutive outputs
 the longer one adds is the span of its last turn.  If it does not begin with the shorter one, the
 template rewrites history and ``RewritesHistory`` is raised.
 
-Prefixes are rendered whole up to ``WINDOW`` turns.  Beyond, only the last ``WINDOW`` turns are
-rendered, and every turn at the middle of a window with the shorter and with the longer past; a
-difference raises ``RewritesHistory`` as well.  Whenever the number of turns has doubled, and at
-the end of the conversation, the whole of it is rendered and must equal the joined spans, so a
-template that looks further back, at a leading system turn for instance, raises instead of being
-cut.  All of that costs n renderings of bounded length and whole ones of 3 n turns together.
+A whole prefix for every turn costs the square of a conversation.  The spans of a block of turns
+are therefore taken first from prefixes of which only the last ``WINDOW`` turns are rendered, and
+the whole conversation up to the end of the block is rendered once: if it is what was verified
+before with these spans behind it, they stand.  If not, every prefix of the block is rendered
+whole, and only what these prefixes show counts.  Blocks double, so the form of a turn may depend
+on any earlier one, and a template raises for rewriting history and for nothing else.
 
 Turns stream through a task in the order of (turn, role, text), one conversation after the other,
-and spans are written as they come.  The turns of the current conversation are held, since a
+and spans are written once their block stands.  The turns of the current conversation are held, since a
 template that nothing is known about takes them as one list.  A digest over all turns of a
 conversation is sequential by nature, so one conversation is one task's work.
 
@@ -26,13 +26,14 @@ no conversation.
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.llm.common import arrow_schema
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 WINDOW = 8
@@ -43,7 +44,7 @@ LEARNED_ROLE = "assistant"
 
 
 class RewritesHistory(ValueError):
-    """The template changes what it wrote for earlier turns, or looks further back than it may."""
+    """The template changes what it wrote for earlier turns."""
 
 
 def escape(text: str) -> str:
@@ -68,58 +69,44 @@ def parse_turn(span: str) -> tuple[str, int, int]:
     return unescape(span[len(START) : head]), head + 1, len(span) - len(END) - 1
 
 
-class Renderer:
-    """Spans of the turns of one conversation, turn by turn."""
-
-    def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, window
-        self.past: deque[Turn] = deque(maxlen=window)
-        self.turns: list[Turn] = []
-        self.joined, self.checked = hashlib.sha256(), 0
-        self.rendered = template([])
-
-    def add(self, turn: Turn) -> str:
-        """What the template adds for this turn; for the first one with anything it begins with."""
-        if len(self.past) == self.window:  # the oldest turn leaves the window
-            half = list(self.past)[self.window // 2 :]
-            self.past.popleft()
-            self.rendered = self.template(list(self.past))
-            if self._added(self.template(half), [*half, turn]) != self._added(self.rendered, [*self.past, turn]):
-                raise RewritesHistory("the form of a turn depends on turns further back than the window")
-        longer = self.template([*self.past, turn])
-        span = self._cut(self.rendered, longer)
-        if self.count == 0:
-            span = longer
-        self.past.append(turn)
-        self.rendered = longer
-        self.turns.append(turn)
-        self.joined.update(span.encode("utf-8", "surrogatepass"))
-        if self.count <= self.window:
-            self.checked = self.count  # the window was the whole conversation
-        elif self.count >= 2 * self.checked:
-            self.finish()
-        return span
-
-    @property
-    def count(self) -> int:
-        return len(self.turns)
-
-    def finish(self) -> None:
-        """Compares the whole conversation so far with the joined spans."""
-        if self.checked < self.count:
-            whole = hashlib.sha256(self.template(list(self.turns)).encode("utf-8", "surrogatepass"))
-            if whole.digest() != self.joined.digest():
-                raise RewritesHistory("the whole conversation is not rendered as its turns were")
-            self.checked = self.count
-
-    def _added(self, before: str, turns: list[Turn]) -> str:
-        return self._cut(before, self.template(turns))
-
-    @staticmethod
-    def _cut(before: str, after: str) -> str:
+def _added(before: str, after: str) -> str:
+    if not after.startswith(before):
+        raise RewritesHistory("rendering one turn more changed what was rendered before")
+    return after[len(before) :]
+
+
+def _window_spans(template: Template, turns: list[Turn], first: int, window: int) -> list[str] | None:
+    """Spans of the turns from ``first`` on as seen from the last turns before them, if they agree."""
+    spans = []
+    for i in range(first, len(turns)):
+        past = turns[max(0, i - window) : i]
+        before, after = template(past), template([*past, turns[i]])
         if not after.startswith(before):
-            raise RewritesHistory("rendering one turn more changed what was rendered before")
-        return after[len(before) :]
+            return None
+        spans.append(after[len(before) :])
+    return spans
+
+
+def spans_of(template: Template, turns: list[Turn], window: int = WINDOW) -> list[str]:
+    """What the template adds for each turn; for the first one with anything it begins with."""
+    spans: list[str] = []
+    rendered = template([])
+    while len(spans) < len(turns):
+        done = len(spans)
+        end = min(len(turns), max(window, 2 * done))
+        block = _window_spans(template, turns[:end], done, window) if done else None
+        whole = template(turns[:end]) if block is not None else ""
+        if block is None or whole != rendered + "".join(block):
+            block, whole = [], rendered
+            for i in range(done, end):
+                longer = template(turns[: i + 1])
+                block.append(_added(whole, longer))
+                whole = longer
+        if not done:
+            block[0] = rendered + block[0]
+        spans += block
+        rendered = whole
+    return spans
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
@@ -134,29 +121,35 @@ def render_turns(turns: DataFrame, template: Template = chat_template) -> DataFr
     place of its span in the formatted conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, renderer, at = object(), None, 0
+        current, held = None, []
         for batch in batches:
-            numbers, begins, spans = [], [], []
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if conv != current or renderer is None:
-                    if renderer is not None:
-                        renderer.finish()
-                    current, renderer, at = conv, Renderer(template), 0
-                span = renderer.add((role, text))
-                numbers.append(renderer.count - 1)
-                begins.append(at)
-                spans.append(span)
-                at += len(span)
-            arrays = [batch.column("conv_id"), batch.column("turn"), batch.column("role")]
-            arrays += [pa.array(numbers, pa.int64()), pa.array(begins, pa.int64()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "role", "number", "begin", "span"])
-        if renderer is not None:
-            renderer.finish()
-
-    kinds = dict(turns.dtypes)
-    return _ordered(turns).mapInArrow(
-        run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, number long, begin long, span string"
-    )
+            for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
+                if held and row[0] != current:
+                    yield from rendered(held)
+                    held = []
+                current = row[0]
+                held.append(row)
+        if held:
+            yield from rendered(held)
+
+    def rendered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        spans = spans_of(template, [(role, text) for _, _, role, text in rows])
+        at = 0
+        for first in range(0, len(rows), 1000):
+            part = spans[first : first + 1000]
+            begins = [at]
+            for span in part:
+                begins.append(begins[-1] + len(span))
+            at = begins.pop()
+            conv, turn, role, _ = zip(*rows[first : first + 1000], strict=True)
+            numbers = range(first, first + len(part))
+            columns = [conv, turn, role, numbers, begins, part]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    zero = F.lit(0).cast("long")
+    shape = turns.select("conv_id", "turn", F.lit("").alias("role"), zero.alias("number"), zero.alias("begin"), F.lit("").alias("span"))
+    schema = arrow_schema(shape)
+    return _ordered(turns).mapInArrow(run, shape.schema)
 
 
 class Digests:

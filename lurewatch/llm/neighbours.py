@@ -9,9 +9,12 @@ Vectors whose length differs are put into bands of similar length; within a band
 coordinate more, which makes the order by angle that of the inner product.  Every band is a small
 index of its own and asked by every query.
 
-The number of hashes per table follows from the number of vectors, the number of probes from a
-simulation: as many as find a neighbour at the distance that the last wanted neighbour would have
-among random vectors, with probability ``TARGET``.  Clustered data is easier than that.
+The numbers of hashes and probes are chosen on the data: at most ``SAMPLE`` queries, drawn by hash,
+are answered exactly in one pass over the index, and of all numbers of hashes the one is taken that
+finds a share of ``TARGET`` of these answers with the least work.  A band of
+at most ``BLOCK`` vectors, which is one block of work in any case, is a single bucket.  A query
+whose buckets hold fewer than ``k`` vectors, since it points away from all of them for instance,
+looks into all buckets instead.
 
 Of identical vectors only the smallest ``k + 1`` ids can be in any result (ties go to smaller
 ids); the others are left out of the index, and queries with identical vectors are searched once.
@@ -21,13 +24,13 @@ nor a popular query fills a task.
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 without an id.  Repeated rows count once; an id with several vectors is a candidate with its best
 one.  Vectors of another dimension than the query's never meet it.  With fewer candidates than
-``k`` all that were found are returned.  Other columns are not looked at.
+``k`` all are returned.  Lengths are kept as logarithms, so that none over- or underflows; scores
+are plain double precision and may.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,11 @@ from lurewatch.session import stage
 TABLES = 4
 TARGET = 0.97
 BLOCK = 1024
+# Queries that are answered exactly to choose the number of probes; no result depends on it alone.
+SAMPLE = 96
+# Buckets are not made smaller than this; what a probe costs, counted in inner products.
+SMALL_BUCKET, PROBE_WORK = 16, 20
+RANKED_BUCKETS = 1 << 14
 SEED = 7
 # Scores this close (in relation to the lengths) are kept together until the exact ranking.
 SLACK = 1e-9
@@ -79,7 +87,7 @@ def buckets(unit: np.ndarray, table: int, hashes: int) -> np.ndarray:
 
 def probes(unit: np.ndarray, table: int, hashes: int, count: int) -> np.ndarray:
     """The ``count`` most promising buckets of each row: least squared distance to their axes."""
-    codes, cost = None, None
+    codes, cost = (None, None) if hashes else (np.zeros((len(unit), 1), np.int64), None)
     for number in range(hashes):
         near = _signed(rotated(unit, table, number))
         gap = (near.max(1, keepdims=True) - near) ** 2
@@ -97,33 +105,54 @@ def probes(unit: np.ndarray, table: int, hashes: int, count: int) -> np.ndarray:
     return codes
 
 
-def plan(n: int, dimension: int, k: int, tables: int = TABLES, target: float = TARGET) -> tuple[int, int]:
-    """Hashes per table and probes per table for ``n`` vectors."""
-    width = 1 << max(1, (dimension - 1).bit_length())
-    axes = 2 * width
-    hashes = 1 if n <= axes * BLOCK else 2
-    tail = min(0.5, (k + 1) / max(n, 1))
-    similarity = min(0.99, max(0.0, 0.95 * NormalDist().inv_cdf(1 - tail) / np.sqrt(dimension)))
-    rng = np.random.default_rng(SEED)
-    ranks = []
-    for _ in range(600):
-        cost = np.zeros(1)
-        chosen = 0.0
-        for _ in range(hashes):
-            x = rng.standard_normal(width)
-            q = similarity * x + np.sqrt(1 - similarity**2) * rng.standard_normal(width)
-            near = np.concatenate([q, -q])
-            gap = (near.max() - near) ** 2
-            chosen += gap[np.concatenate([x, -x]).argmax()]
-            cost = np.add.outer(cost, gap).ravel()
-        ranks.append(int((cost < chosen).sum()) + 1)
-    needed = 1 - (1 - target) ** (1 / tables)
-    return hashes, min(axes**hashes, int(np.quantile(ranks, needed, method="higher")))
+def plan(
+    n: int, queries: np.ndarray, near: np.ndarray, owner: np.ndarray, tables: int = TABLES, target: float = TARGET
+) -> tuple[int, int]:
+    """Hashes per table and probes per table for a band of ``n`` vectors; no hash is one bucket.
+
+    ``queries`` and ``near`` are unit vectors, ``owner`` the query that each of ``near`` belongs to.
+    Of all numbers of hashes the one with the least work is taken; the number of probes is the
+    smallest with which a share of ``target`` of ``near`` is found in any table.
+    """
+    if n <= BLOCK:
+        return 0, 1
+    axes = 2 << max(1, (queries.shape[1] - 1).bit_length())
+    best, hashes = (np.inf, 1, 1), 0
+    while not hashes or n / axes**hashes > SMALL_BUCKET:
+        hashes += 1
+        needed = 1
+        if len(near):
+            ranks = [_ranks(queries, near, owner, table, hashes) for table in range(tables)]
+            needed = int(np.quantile(np.min(ranks, 0), target, method="higher")) + 1
+        work = needed * (n / axes**hashes + PROBE_WORK)
+        best = min(best, (work, hashes, min(needed, axes**hashes)))
+    return best[1:]
+
+
+def _ranks(queries: np.ndarray, near: np.ndarray, owner: np.ndarray, table: int, hashes: int) -> np.ndarray:
+    """How many buckets a query looks into before that of the vector near to it."""
+    gaps, chosen = [], np.zeros(len(near))
+    for number in range(hashes):
+        signed = _signed(rotated(queries, table, number))
+        gaps.append((signed.max(1, keepdims=True) - signed) ** 2)
+        chosen += gaps[-1][owner, _signed(rotated(near, table, number)).argmax(1)]
+    axes = gaps[0].shape[1]
+    total = axes**hashes
+    if total <= RANKED_BUCKETS:
+        costs = gaps[0]
+        for gap in gaps[1:]:
+            costs = (costs[:, :, None] + gap[:, None, :]).reshape(len(queries), -1)
+    else:  # a sample of the buckets tells the rank well enough
+        draws = np.random.default_rng(SEED).integers(0, axes, (hashes, RANKED_BUCKETS))
+        costs = sum(gap[:, draw] for gap, draw in zip(gaps, draws, strict=True))
+    costs = np.sort(costs, 1)
+    below = np.array([np.searchsorted(costs[q], c) for q, c in zip(owner, chosen, strict=True)])
+    return np.ceil(below * (total / costs.shape[1])).astype(np.int64)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, vector, norm, dimension, same`` of the rows that take part; identical vectors
-    have equal ``same``."""
+    """``vec_id, vector, length, dimension, same`` of the rows that take part; ``length`` is the
+    binary logarithm of the length, identical vectors have equal ``same``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -134,28 +163,39 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 if not values or None in values:
                     continue
                 vector = np.array(values, np.float64) + 0.0  # no negative zeros
-                norm = float(np.sqrt(vector @ vector))
-                if np.isfinite(vector).all() and 0 < norm < np.inf:
+                if np.isfinite(vector).all() and vector.any():
                     rows.append(row)
-                    norms.append(norm)
+                    norms.append(float(log_lengths(vector[None])[0]))
                     same.append(xxhash.xxh3_128_hexdigest(vector.tobytes()))
                     kept.append(vector)
             arrays = [
                 batch.column("vec_id").take(pa.array(rows, pa.int64())), pa.array(kept, pa.list_(pa.float64())),
                 pa.array(norms, pa.float64()), pa.array([len(v) for v in kept], pa.int32()), pa.array(same, pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "vector", "norm", "dimension", "same"])
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "vector", "length", "dimension", "same"])
 
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).filter(
         "vec_id is not null and vector is not null"
     )
     kind = dict(vectors.dtypes)[id_col]
-    return rows.mapInArrow(run, f"vec_id {kind}, vector array<double>, norm double, dimension int, same string")
+    return rows.mapInArrow(run, f"vec_id {kind}, vector array<double>, length double, dimension int, same string")
 
 
 def _band():
     """Half powers of two of the length, with lengths near 1 in the middle of theirs."""
-    return F.floor(2 * F.log2("norm") + 0.5).cast("int")
+    return F.floor(2 * F.col("length") + 0.5).cast("int")
+
+
+def log_lengths(values: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the lengths of rows that are not all zero."""
+    largest = np.abs(values).max(1, keepdims=True)
+    return np.log2(largest[:, 0]) + 0.5 * np.log2(((values / largest) ** 2).sum(1))
+
+
+def scaled(values: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+    """Rows divided by two to the power of ``length``, in two steps that stay in range."""
+    largest = np.abs(values).max(1, keepdims=True)
+    return values / largest * np.exp2(np.log2(largest) - np.reshape(length, (-1, 1)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -163,6 +203,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
+def _lifted(values: np.ndarray, longest: float | None, lifted: bool) -> np.ndarray:
+    """Unit vectors: queries (without ``longest``) by their own length, others by the longest one
+    of their band, with a coordinate more that makes up for what is missing."""
+    if not len(values):
+        return np.zeros((0, values.shape[1] + lifted))
+    unit = scaled(values, log_lengths(values) if longest is None else longest)
+    if not lifted:
+        return unit
+    more = np.zeros((len(unit), 1)) if longest is None else np.sqrt(np.maximum(0, 1 - (unit**2).sum(1, keepdims=True)))
+    return np.concatenate([unit, more], 1)
+
+
 def _keyed(rows: DataFrame, bands: dict, tables: int, side: str, id_col: str, id_type: str) -> DataFrame:
     """A row for every table and bucket: that of an index vector, or those a query looks into."""
 
@@ -170,7 +222,7 @@ def _keyed(rows: DataFrame, bands: dict, tables: int, side: str, id_col: str, id
         for batch in batches:
             dimensions = batch.column("dimension").to_numpy()
             own = batch.column("band").to_numpy() if side == "index" else None
-            for (dimension, band), (longest, lifted, hashes, count) in bands.items():
+            for (dimension, band), (longest, lifted, hashes, count, _) in bands.items():
                 mask = dimensions == dimension
                 if own is not None:
                     mask &= own == band
@@ -178,16 +230,8 @@ def _keyed(rows: DataFrame, bands: dict, tables: int, side: str, id_col: str, id
                     continue
                 part = batch.filter(pa.array(mask))
                 values = _matrix(part.column("vector"))
-                lengths = np.linalg.norm(values, axis=1, keepdims=True)
-                if side == "index":
-                    unit = values / longest
-                    if lifted:
-                        unit = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - (lengths / longest) ** 2))], 1)
-                else:
-                    unit = values / lengths
-                    if lifted:
-                        unit = np.concatenate([unit, np.zeros((len(unit), 1))], 1)
-                for table in range(tables):
+                unit = _lifted(values, longest if side == "index" else None, lifted)
+                for table in range(tables if hashes else 1):
                     if side == "index":
                         found = buckets(unit, table, hashes)[:, None]
                     else:
@@ -206,29 +250,12 @@ def _keyed(rows: DataFrame, bands: dict, tables: int, side: str, id_col: str, id
     return rows.mapInArrow(run, schema)
 
 
-def search(
-    vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    tables: int = TABLES,
-) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which the
-    condition ``queries`` (on the column ``vec_id``) holds, among all other rows."""
-    rows = stage(usable(vectors, id_col, vector_col), "vectors")
-    copies = Window.partitionBy("same").orderBy("vec_id")
-    index = (
-        rows.withColumn("copy", F.dense_rank().over(copies)).filter(F.col("copy") <= k + 1)
-        .dropDuplicates(["same", "vec_id"]).drop("copy").withColumn("band", _band())
-    )
-    index = stage(index, "index-vectors")
-    asked = rows.filter(queries)
-    asking = asked.withColumn("copy", F.row_number().over(copies)).filter("copy = 1").drop("copy", "vec_id")
+def _nearest_first() -> list:
+    return [F.desc("score"), F.asc("vec_id")]
 
-    bands = {}
-    # One row for each dimension and half power of two of the length: some thousands at most.
-    for r in index.groupBy("dimension", "band").agg(
-        F.count("*").alias("n"), F.max("norm").alias("longest"), F.min("norm").alias("shortest")
-    ).collect():
-        lifted = r.shortest < 0.999 * r.longest
-        bands[r.dimension, r.band] = (r.longest, lifted, *plan(r.n, r.dimension + lifted, k, tables))
+
+def _scan(index: DataFrame, asking: DataFrame, bands: dict, tables: int, k: int) -> DataFrame:
+    """``same, vec_id, score`` of what every query finds in its buckets, the best of each block."""
     id_type = dict(index.dtypes)["vec_id"]
     stored = stage(_keyed(index, bands, tables, "index", "vec_id", id_type), "buckets")
     looks = _keyed(asking, bands, tables, "query", "same", "string")
@@ -256,25 +283,125 @@ def search(
         if not len(asking_rows) or not len(held):
             return pa.table({"same": pa.array([], pa.string()), "vec_id": held.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64())})
         q, v = _matrix(asking_rows.column("vector")), _matrix(held.column("vector"))
-        scores = q @ v.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = q @ v.T
         if scores.shape[1] > k + 1:
             last = np.partition(scores, -(k + 1), 1)[:, -(k + 1)]
-            slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
-            row, column = np.nonzero(scores >= (last - slack)[:, None])
+            with np.errstate(over="ignore", invalid="ignore"):
+                slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+                # Where lengths overflow nothing is left out before the exact ranking.
+                row, column = np.nonzero(~(scores < (last - slack)[:, None]))
         else:
             row, column = np.indices(scores.shape).reshape(2, -1)
         # The same sum in the same order wherever a pair meets.
-        exact = (q[row] * v[column]).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (q[row] * v[column]).sum(1)
         return pa.table({
             "same": asking_rows.column("same").take(pa.array(row)), "vec_id": held.column("vec_id").take(pa.array(column)),
             "score": pa.array(exact),
         })
 
-    found = blocks.applyInArrow(nearest, f"same string, vec_id {id_type}, score double")
+    return blocks.applyInArrow(nearest, f"same string, vec_id {id_type}, score double")
+
+
+def _best(found: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best of each query; what several tables have found counts once."""
     best = found.groupBy("same", "vec_id").agg(F.max("score").alias("score"))
-    order = [F.desc("score"), F.asc("vec_id")]
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("same").orderBy(*order))).filter(F.col("rank") <= k + 1)
-    pairs = asked.select("same", F.col("vec_id").alias("query_id")).distinct().join(best.drop("rank"), "same")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("same").orderBy(*_nearest_first())))
+    return ranked.filter(F.col("rank") <= n).drop("rank")
+
+
+def _exactly(index: DataFrame, sample: list, k: int) -> list:
+    """The ``k`` nearest vectors of each sampled query, by one pass over the index."""
+    asked: dict[int, list] = {}
+    for row in sample:
+        asked.setdefault(row.dimension, []).append(row)
+    groups = {d: ([r.same for r in rows], np.array([r.vector for r in rows])) for d, rows in asked.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, pa.RecordBatch] = {}
+        for batch in batches:
+            dimensions = batch.column("dimension").to_numpy()
+            for dimension, (names, queries) in groups.items():
+                part = batch.filter(pa.array(dimensions == dimension))
+                if not part.num_rows:
+                    continue
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.nan_to_num(queries @ _matrix(part.column("vector")).T)
+                for name, row in zip(names, scores, strict=True):
+                    best = np.argsort(-row, kind="stable")[: k + 1]
+                    taken = part.take(pa.array(best)).append_column("query", pa.array([name] * len(best)))
+                    taken = taken.append_column("score", pa.array(row[best]))
+                    if name in kept:
+                        both = pa.Table.from_batches([kept[name], taken]).combine_chunks().to_batches()[0]
+                        taken = both.take(pa.array(np.argsort(-both.column("score").to_numpy(), kind="stable")[: k + 1]))
+                    kept[name] = taken
+        for found in kept.values():
+            yield found.select(["query", "score", "same", "dimension", "band", "vector"])
+
+    rows = index.select("same", "dimension", "band", "vector")
+    found = rows.mapInArrow(run, "query string, score double, same string, dimension int, band int, vector array<double>")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "same")
+    ranked = found.filter("query <> same").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).collect()  # SAMPLE * k rows
+
+
+def _planned(index: DataFrame, asking: DataFrame, k: int, tables: int) -> dict:
+    """For each dimension and band: longest, whether it is lifted, hashes, probes, vectors."""
+    # One row for each dimension and half power of two of the length: some thousands at most.
+    sizes = index.groupBy("dimension", "band").agg(
+        F.count("*").alias("n"), F.max("length").alias("longest"), F.min("length").alias("shortest")
+    ).collect()
+    sample, near = [], []
+    if any(r.n > BLOCK for r in sizes):
+        sample = asking.orderBy(F.xxhash64("same"), "same").limit(SAMPLE).select("same", "dimension", "vector").collect()
+        near = _exactly(index, sample, k)
+    bands = {}
+    for r in sizes:
+        lifted = r.longest - r.shortest > 0.0015
+        queries = [s for s in sample if s.dimension == r.dimension]
+        place = {s.same: i for i, s in enumerate(queries)}
+        own = [v for v in near if (v.dimension, v.band) == (r.dimension, r.band)]
+        asked = _lifted(np.array([s.vector for s in queries]).reshape(len(queries), r.dimension), None, lifted)
+        found = _lifted(np.array([v.vector for v in own]).reshape(len(own), r.dimension), r.longest, lifted)
+        chosen = plan(r.n, asked, found, np.array([place[v.query] for v in own], int), tables)
+        bands[r.dimension, r.band] = (r.longest, lifted, *chosen, r.n)
+    return bands
+
+
+def search(
+    vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+    tables: int = TABLES,
+) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which the
+    condition ``queries`` (on the column ``vec_id``) holds, among all other rows."""
+    rows = stage(usable(vectors, id_col, vector_col), "vectors")
+    copies = Window.partitionBy("same").orderBy("vec_id")
+    index = (
+        rows.withColumn("copy", F.dense_rank().over(copies)).filter(F.col("copy") <= k + 1)
+        .dropDuplicates(["same", "vec_id"]).drop("copy").withColumn("band", _band())
+    )
+    index = stage(index, "index-vectors")
+    asked = rows.filter(queries)
+    asking = asked.withColumn("copy", F.row_number().over(copies)).filter("copy = 1").drop("copy", "vec_id")
+
+    bands = _planned(index, asking, k, tables)
+    held: dict[int, int] = {}
+    for (dimension, _), band in bands.items():
+        held[dimension] = held.get(dimension, 0) + band[-1]
+    best = stage(_best(_scan(index, asking, bands, tables, k), k + 1), "nearest")
+
+    # Who has found too few looks everywhere: every band is one bucket then.
+    enough = best.groupBy("same").agg(F.count("*").alias("n"))
+    everyone = F.create_map(*[F.lit(x) for pair in held.items() for x in pair])[F.col("dimension")] if held else F.lit(0)
+    wanted = F.least(F.lit(k + 1), everyone)
+    few = asking.join(enough, "same", "left").filter(F.coalesce("n", F.lit(0)) < wanted).drop("n")
+    few = stage(few, "short-queries")
+    if not few.isEmpty():
+        everywhere = {key: (longest, lifted, 0, 1, n) for key, (longest, lifted, _, _, n) in bands.items()}
+        rest = _best(_scan(index, few, everywhere, 1, k), k + 1)
+        best = best.join(few.select("same"), "same", "left_anti").unionByName(rest)
+    pairs = asked.select("same", F.col("vec_id").alias("query_id")).distinct().join(best, "same")
     pairs = pairs.filter("vec_id <> query_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_nearest_first())))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,7 +28,8 @@ EXAMPLES = 1500
 EXAMPLE_BYTES = 4096
 BLOCK_BYTES = 4096
 LEVEL = 3
-RANKED_PARTS = 64
+# Classes are cut by so many leading bits of the hash before they are ranked.
+BUCKET_BITS = 14
 
 
 @dataclass
@@ -85,25 +86,40 @@ def sample_labelled(
     docs: DataFrame, labels: DataFrame, held_out, label_col: str = "quality",
     examples: int = EXAMPLES,
 ) -> list[tuple[str, int]]:
-    """At most ``2 * examples`` texts of each class, drawn by the hash of the id."""
+    """At most ``2 * examples`` texts of each class, drawn by the hash of the id.
+
+    An id counts once for a label however often it is labelled, and gives one text, that of the
+    smallest hash, however many rows it has.
+    """
     chosen = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
-        .select("doc_id", F.col(label_col).cast("int").alias("label"))
+        .select("doc_id", F.col(label_col).cast("int").alias("label")).distinct()
         .withColumn("draw", F.xxhash64(F.col("doc_id").cast("string")))
+        .withColumn("bucket", F.shiftrightunsigned("draw", 64 - BUCKET_BITS))
     )
-    # Ranked in parts first, so that what meets in one task does not grow with the table.
-    for keys in (["label", F.pmod("draw", F.lit(RANKED_PARTS))], ["label"]):
-        order = Window.partitionBy(*keys).orderBy("draw", "doc_id")
-        chosen = chosen.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= 2 * examples)
+    # How many ids each class has below a hash: at most 2 ** BUCKET_BITS counts of either class.
+    cuts = {0: 0, 1: 0}
+    found = {0: 0, 1: 0}
+    for label, bucket, n in sorted(chosen.groupBy("label", "bucket").count().collect()):
+        if found[label] < 2 * examples:
+            found[label] += n
+            cuts[label] = bucket
+    # Only what lies up to the cut is ranked: the sample and the rest of its last bucket.
+    below = F.col("bucket") <= F.when(F.col("label") == 1, cuts[1]).otherwise(cuts[0])
+    order = Window.partitionBy("label").orderBy("draw", "doc_id")
+    ids = chosen.filter(below).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * examples)
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     # At most 2 * examples ids of either class: small enough to send to the texts at any size.
-    ids = chosen.select("doc_id", "label", "draw").distinct()
-    found = texts.join(F.broadcast(ids), "doc_id")
+    rows = texts.join(F.broadcast(ids.select("doc_id", "label", "draw")), "doc_id")
     # A long text gives the part at a place that its hash picks.
     places = F.greatest(F.lit(1), F.ceil(F.length("text") / EXAMPLE_BYTES))
-    part = F.pmod(F.col("draw"), places) * EXAMPLE_BYTES + 1
-    rows = found.select("label", "draw", F.substr("text", part.cast("int"), F.lit(EXAMPLE_BYTES)).alias("text"))
-    return [(r.text, r.label) for r in sorted(rows.distinct().collect(), key=lambda r: (r.draw, r.label, r.text))]
+    part = F.substr("text", (F.pmod(F.col("draw"), places) * EXAMPLE_BYTES + 1).cast("int"), F.lit(EXAMPLE_BYTES))
+    rows = rows.select("doc_id", "label", "draw", F.struct(F.xxhash64("text").alias("h"), part.alias("text")).alias("t"))
+    # One text of each id and label: a minimum is taken in every task before rows move.
+    picked = rows.groupBy("label", "doc_id", "draw").agg(F.min("t").alias("t")).collect()
+    if len(picked) > 4 * examples:
+        raise AssertionError("the sample is larger than its bound")
+    return [(r.t.text, r.label) for r in sorted(picked, key=lambda r: (r.draw, r.label, r.t.text))]
 
 
 def train(examples: list[tuple[str, int]], dictionary_bytes: int = 112_640) -> QualityModel:
