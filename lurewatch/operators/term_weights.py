@@ -16,7 +16,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
@@ -39,33 +39,40 @@ def terms_of(words: Column) -> Column:
     return F.concat(words, F.when(F.size(words) >= 2, pairs).otherwise(F.slice(words, 1, 0)))
 
 
+def _listed(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """``terms`` of each text.  An explode of one value is a boundary that expressions do not
+    cross, so a text is cut into tokens once however often its terms are used."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = df.select(*keep, F.explode(F.array(tokens(text))).alias("words"))
+    return words.select(*keep, F.explode(F.array(terms_of(F.col("words")))).alias("terms"))
+
+
 def term_stats(df: DataFrame, text_col: str = "text_combined", min_df: int = 3) -> DataFrame:
     """term, tf (occurrences), df (texts that hold it) for terms in at least ``min_df`` texts.
 
-    The sorted terms of a text are cut into runs of equal ones, and a text adds each of its
-    distinct terms once, with the length of its run; the exchange sees a row per task and term.
+    A text gives its terms once in full and once without repeats; both are counted in the same
+    aggregation, whose exchange sees a row per task and term.
     """
-    listed = df.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).select(
-        F.sort_array(terms_of(F.col("words"))).alias("terms")
-    )
-    # A run starts where a term differs from its predecessor, and ends where the next one starts.
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("terms") - 1),
-        lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)),
-    )
-    runs = listed.filter(F.size("terms") > 0).withColumn("starts", starts)
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("terms")))
-    counted = F.zip_with(
-        "starts", ends, lambda start, end: F.struct(F.get("terms", start).alias("term"), (end - start).alias("n"))
-    )
+    whole, once = F.struct("terms", F.lit(0).alias("text")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(1).alias("text"))
+    both = _listed(df, text_col).select(F.explode(F.array(whole, once)).alias("t"))
     return (
-        runs.select(F.explode(counted).alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.n").alias("tf"), F.count("*").alias("df"))
+        both.select(F.explode("t.terms").alias("term"), F.col("t.text").alias("text"))
+        .groupBy("term")
+        .agg(F.sum(1 - F.col("text")).alias("tf"), F.sum("text").alias("df"))
         .filter(F.col("df") >= min_df)
     )
 
 
+def tfidf_rows(df: DataFrame, weights: DataFrame, id_col: str, text_col: str = "text_combined") -> DataFrame:
+    """``id, term, weight`` of every text and term of ``weights (term, idf)``; the weights of a
+    text make up a vector of unit length.  Texts without such a term have no rows; rows with equal
+    ids are one text."""
+    counts = _listed(df, text_col, id_col).select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    weighted = counts.join(weights.select("term", "idf"), "term").withColumn("weight", F.col("n") * F.col("idf"))
+    norms = Window.partitionBy(id_col)
+    return weighted.select(id_col, "term", (F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(norms))).alias("weight"))
+
+
 def vocabulary(stats: DataFrame, max_features: int = 20_000) -> DataFrame:
     """The most frequent terms of the corpus; ties go to the smaller term."""
     return stats.orderBy(F.desc("tf"), "term").limit(max_features)

@@ -543,6 +543,21 @@ ORACLE["parse_messages"] = f"""{_PARSED} SELECT file, CASE WHEN from_address = '
  coalesce(attachment_ext, '') AS extensions, filenames, dkim_pass, dkim_domain, md5(body) AS body_md5,
  CAST(length(body) AS INTEGER) AS body_chars, '' AS error FROM p"""
 
+ORACLE["eml_source"] = ORACLE["parse_messages"]
+ORACLE["eml_source_limit"] = """SELECT file, true AS whole FROM (
+  SELECT doc_id || '.eml' AS file, row_number() OVER (ORDER BY 'box' || doc_id % 7, doc_id || '.eml') AS place, count(*) OVER () AS n FROM documents
+) WHERE place <= n // 2"""
+
+# The bytes of a text, as two hexadecimal digits each.
+_BYTES = "list_transform(range(1, CAST(strlen(body) AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode(body)), 2 * i - 1, 2) AS INTEGER))"
+_AS_LATIN = f"array_to_string(list_transform({_BYTES}, lambda b: chr(b)), '')"
+_AS_ASCII = f"array_to_string(list_transform({_BYTES}, lambda b: chr(CASE WHEN b > 127 THEN 65533 ELSE b END)), '')"
+ORACLE["charset_bodies"] = over_emails(
+    f""", k AS (SELECT email_id, body, CASE WHEN regexp_matches(body, '[^\\x00-\\x{{FF}}]') THEN 0 ELSE email_id % 5 END AS kind FROM m),
+c AS (SELECT email_id, CASE kind WHEN 3 THEN {_AS_LATIN} WHEN 4 THEN {_AS_ASCII} ELSE body END AS body FROM k)
+SELECT email_id, md5({normalise_lines('body')}) AS body_md5, CAST(length({normalise_lines('body')}) AS INTEGER) AS body_chars FROM c"""
+)
+
 _SENDER = "CASE WHEN from_address = '' THEN 'Sender <>' ELSE from_address END"
 ORACLE["corpus_results"] = (
     f"""{_PARSED},
@@ -562,6 +577,11 @@ stats AS (SELECT term, count(*) AS tf, count(DISTINCT email_id) AS df FROM terms
 SELECT term, tf, df, round(ln((1.0 + (SELECT count(*) FROM m)) / (1.0 + df)) + 1.0, 6) AS idf
 FROM stats WHERE df >= 3 ORDER BY tf DESC, term LIMIT 20000"""
 )
+ORACLE["tfidf_vectors"] = (
+    ORACLE["tfidf_terms"].replace("SELECT term, tf, df, round(ln(", ", top AS (SELECT term, ln(").replace("+ 1.0, 6) AS idf", "+ 1.0 AS idf")
+    + """), weighted AS (SELECT email_id, term, count(*) * any_value(idf) AS w FROM terms JOIN top USING (term) GROUP BY email_id, term)
+SELECT email_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY email_id)), 6) AS weight FROM weighted"""
+)
 ORACLE["bad_targets"] = over_emails(
     f"SELECT count(*) FILTER (try_cast({_spelled('email_id')} AS DOUBLE) IS NULL) AS bad FROM m"
 )
@@ -625,6 +645,7 @@ def _results(errors: bool, file: str, isolation: str = "0.0000") -> str:
 
 _FILE_RESULTS = f"{VERDICTS}, res AS ({_results(True, "email_id || '.eml'")})"
 ORACLE["corpus_results"] += f" {_results(False, 'file')}"
+ORACLE["stream_messages"] = ORACLE["corpus_results"]
 ORACLE["results_report"] = f"{_FILE_RESULTS} SELECT * FROM res"
 ORACLE["review_report"] = f"""{VERDICTS} SELECT email_id || '.eml' AS file, from_address, subject,
  CASE WHEN length({strip('body')}) > 500 THEN substring({strip('body')}, 1, 500) || '…' ELSE {strip('body')} END AS body_preview,

@@ -32,8 +32,8 @@ from lurewatch.plans.prepare import build_benign, preprocess_and_split
 from lurewatch.plans.scoring import Scorers, evaluate_corpus, score_emails, write_evaluation
 from lurewatch.plans.training import run_training
 from lurewatch.session import run_dir, stage
-from lurewatch.sources import labelled_csv, markup, messages
-from lurewatch.streaming.verdicts import start_scoring
+from lurewatch.sources import labelled_csv, markup, message_files, messages
+from lurewatch.streaming.verdicts import message_file_stream, read_scored, start_message_scoring, start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,7 +501,26 @@ def _raw_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parse_messages(spark, sf):
+    return _message_fields(messages.parse_messages(_raw_messages(spark, sf)))
+
+
+@query
+def corpus_results(spark, sf):
+    """Raw messages to the results report, rules only."""
     parsed = messages.parse_messages(_raw_messages(spark, sf))
+    named = parsed.withColumn("file", reports.file_name(F.col("path")))
+    return reports.results_report(score_emails(named))
+
+
+def _message_folder(spark: SparkSession, sf: str) -> str:
+    """A folder of message files, in sub-folders, made from the email table."""
+    folder = run_dir(spark, "messages")
+    name = F.concat(F.lit("box"), F.col("email_id") % 7, F.lit("/"), F.col("email_id"), F.lit(".eml"))
+    message_files.write_messages(_raw_messages(spark, sf).select(name.alias("name"), "content"), folder)
+    return folder
+
+
+def _message_fields(parsed: DataFrame) -> DataFrame:
     return parsed.select(
         reports.file_name(F.col("path")).alias("file"), "from_address", "subject", "urls_found",
         "attachment_count", F.array_join("attachment_extensions", "|").alias("extensions"),
@@ -512,16 +531,64 @@ def parse_messages(spark, sf):
 
 
 @query
-def corpus_results(spark, sf):
-    """Raw messages to the results report, rules only."""
-    parsed = messages.parse_messages(_raw_messages(spark, sf))
-    named = parsed.withColumn("file", reports.file_name(F.col("path")))
-    return reports.results_report(score_emails(named))
+def eml_source(spark, sf):
+    """Message files read through the data source and parsed."""
+    return _message_fields(messages.parse_messages(message_files.read_messages(spark, _message_folder(spark, sf))))
+
+
+@query
+def eml_source_limit(spark, sf):
+    """The first half of the message files by path."""
+    folder = _message_folder(spark, sf)
+    half = len(message_files.message_files(folder)) // 2
+    found = message_files.read_messages(spark, folder, limit=half) if half else message_files.read_messages(spark, folder).limit(0)
+    return found.select(reports.file_name(F.col("path")).alias("file"), (F.length("content") == F.col("length")).alias("whole"))
+
+
+@query
+def stream_messages(spark, sf):
+    """Message files as a stream in several batches, to verdicts and errors."""
+    files = message_file_stream(spark, _message_folder(spark, sf), files_per_trigger=4000)
+    output = run_dir(spark, "stream-messages")
+    start_message_scoring(files, f"{output}/data", f"{output}/checkpoint").awaitTermination()
+    return reports.results_report(read_scored(spark, f"{output}/data"))
+
+
+@query
+def charset_bodies(spark, sf):
+    """Bodies in declared, missing, unknown and wrong character sets."""
+    text = F.col("body")
+    kind = F.when(text.rlike("[^\\x00-\\xFF]"), 0).otherwise(F.col("email_id") % 5)
+    declared = (
+        F.when(kind == 0, '; charset="utf-8"').when(kind == 1, "; charset=iso-8859-1").when(kind == 2, "")
+        .when(kind == 3, "; charset=x-no-such-set").otherwise("; charset=us-ascii")
+    )
+    head = F.concat(
+        F.lit("From: a@example.com\nMIME-Version: 1.0\nContent-Type: text/plain"), declared,
+        F.lit("\nContent-Transfer-Encoding: 8bit\n\n"),
+    )
+    content = F.concat(
+        F.encode(head, "utf-8"), F.when(kind == 1, F.encode(F.when(kind == 1, text), "iso-8859-1")).otherwise(F.encode(text, "utf-8"))
+    )
+    rows = emails(spark, sf, labelled=False).select(F.col("email_id").cast("string").alias("path"), content.alias("content"))
+    parsed = messages.parse_messages(rows)
+    return parsed.select(
+        F.col("path").cast("long").alias("email_id"), F.md5("body").alias("body_md5"), F.length("body").alias("body_chars")
+    )
 
 
 # --- models ---------------------------------------------------------------------------------
 
 
+@query
+def tfidf_vectors(spark, sf):
+    """Sparse unit-length TF-IDF vectors, one row per email and term."""
+    rows = stage(_flagged_emails(spark, sf).select("email_id", "text_combined"), "texts")
+    top = term_weights.vocabulary(term_weights.term_stats(rows))
+    weights = stage(term_weights.idf_weights(top, rows.count()).select("term", "idf"), "vocabulary")
+    return _rounded(term_weights.tfidf_rows(rows, weights, "email_id"))
+
+
 @query
 def tfidf_terms(spark, sf):
     rows = _flagged_emails(spark, sf)

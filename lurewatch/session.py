@@ -52,8 +52,10 @@ def _stand_in() -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one, which ``drop_staged`` removes as well."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -64,7 +66,6 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     was staged once the results are no longer needed.
     """
     path = run_dir(df.sparkSession, name)
-    _STAGED.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -73,7 +74,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Removes the folders that this process has staged, and says how many there were."""
+    """Removes the folders that this process has made, and says how many there were."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     dropped = 0
     while _STAGED:
