@@ -38,7 +38,13 @@ MAX_TRAINING_CHARS = 160_000
 DENSE_SYMBOLS = 120
 STRETCH = 2048
 RANKED_PARTS = 64
-LEAST_PHRASE = 1.5
+# Rejection is calibrated on labelled parts that the automata have not seen, cut to these numbers of
+# symbols: the phrases of a text must be at least MARGIN times as long as those of all but a share
+# of RARE of them.
+WINDOWS = (8, 16, 32, 64, 128, 256, 400)
+RARE, MARGIN = 0.002, 0.8
+# Text with phrases of so many symbols is never rejected, however uniform the labelled text is.
+ALWAYS_KNOWN = 2.5
 # Bytes of text that are normalised together.
 PARSED_BYTES = 2 << 20
 # Symbols of all stretches that are parsed side by side.
@@ -295,19 +301,50 @@ def model_of(by_language: dict[str, list[str]]) -> LanguageModel:
     return LanguageModel(languages, alphabet, [symbols[c] for c in coded])
 
 
-def in_known_language(docs: DataFrame, least_phrase: float = LEAST_PHRASE) -> DataFrame:
+def shortest_phrases(model: LanguageModel, unseen: dict[str, list[str]]) -> list[tuple[int, float]]:
+    """For each number of symbols in ``WINDOWS``: the mean phrase that a text needs at least.
+
+    Short texts scatter more, so they need less.  The language that needs most phrases counts.
+    Without unseen text nothing is asked.
+    """
+    parser, floors, least = CrossParser(model), [], 0.0
+    for window in WINDOWS:
+        lows = []
+        for texts in unseen.values():
+            codes, sizes = normalise(texts, parser.letters)
+            ends = np.cumsum(sizes)
+            # Whole windows of each text, side by side.
+            starts = [np.arange(end - size, end - window + 1, window) for end, size in zip(ends, sizes, strict=True)]
+            begins = np.concatenate(starts) if starts else np.zeros(0, int)
+            if len(begins):
+                cut = codes[(begins[:, None] + np.arange(window)).ravel()]
+                phrases = parser.phrases(cut, np.full(len(begins), window)).min(0)
+                lows.append(np.quantile(window / phrases, RARE, method="lower"))
+        if lows:
+            least = max(least, min(ALWAYS_KNOWN, MARGIN * float(min(lows))))
+        floors.append((window, least))
+    return floors
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
     """The rows whose text is in one of the languages of the table itself; all columns.
 
-    Rejected are texts without a letter and texts of which even the best language only explains
-    phrases of fewer than ``least_phrase`` symbols on average, as in a script that none has.  A
-    missing ``lang`` is filled in.
+    Rejected are texts without a letter, texts whose letters no language has, and texts that need
+    more phrases than labelled text of their length does (see :func:`shortest_phrases`), such as
+    those in a language that the table does not label.  Of the labelled sample one half makes the
+    automata, the other half these bounds.  A missing ``lang`` is filled in.
     """
-    model = train(docs, F.lit(True))
+    sample = labelled_snippets(docs, F.lit(True), 2 * SNIPPETS)
+    model = model_of({language: texts[::2] for language, texts in sample.items()})
+    floors = shortest_phrases(model, {language: texts[1::2] for language, texts in sample.items()})
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = model.predict(rows, id_col="row", text_col=None).withColumnRenamed("doc_id", "row")
-    kept = found.filter(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("n_symbols") >= least_phrase * F.col("n_phrases"))
-    )
+    size, floor = F.col("n_symbols"), F.lit(0.0)
+    for window, least in floors:
+        floor = F.when(size >= window, least).otherwise(floor)
+    # A phrase of one symbol each is what text in an unknown script has.
+    known = (size > F.col("n_phrases")) & (size >= floor * F.col("n_phrases"))
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & known)
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns["lang"] = F.coalesce(columns["lang"], "lang_pred")
     # The names of the input come last, so that none of them is taken for a helper's.

@@ -9,7 +9,9 @@ and a line with one word edited still loses its other sentences.
 
 Digests meet their earliest occurrence in a grouping that keeps one row per digest and task, so a
 line that a third of the documents have is no hot spot there.  Only digests that occur more than
-once are joined back; a hot one among them is left to Spark's splitting of skewed joins.
+once are joined back.  They are written out first: both sides of that join then have an exchange
+right below their sort, which Spark's splitting of skewed joins asks for, so the units of a hot
+digest are dealt to several tasks.
 
 Units with fewer than ``least_words`` words are never removed; with 1 only blank units are exempt,
 as in the registered query.  Sentences need ``SENTENCE_WORDS`` words in any case, since a short one
@@ -90,7 +92,7 @@ def repeated_units(
     table = stage(unit_table(docs, rank_col, text_col, unit, least_words), "units")
     place = F.struct("rank", "start")
     firsts = table.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.filter("first <> last").select("d1", "d2", "first")
+    firsts = stage(firsts.filter("first <> last").select("d1", "d2", "first"), "repeated-units")
     later = table.join(firsts, ["d1", "d2"]).filter(place > F.col("first"))
     return later.select(
         F.col("rank").alias(rank_col), "start", "end",

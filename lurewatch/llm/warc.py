@@ -7,7 +7,9 @@ its place within the frame, so one record is read with one seek.
 
 Equal payloads are stored once: the record with the smallest id is the response, the others are
 revisits that name it and keep its digest and length in their headers.  Payloads are equal if
-their SHA-256 is; ids of equal payloads meet in a grouping that keeps one row per digest and task.
+their SHA-256 is; ids of equal payloads meet in a grouping that keeps one row per digest and task.  Only
+ids and digests move by digest, and a payload that many rows have is dealt to several tasks there;
+payloads themselves move by (id, digest), if at all.
 
 Tasks write archives under names of their own and hand back index rows; only the index of tasks
 that succeeded is kept, so a lost executor leaves at most files that nothing refers to.  Archives
@@ -37,6 +39,8 @@ from lurewatch.session import run_dir, stage
 
 FRAME_BYTES = 1 << 20
 ARCHIVE_BYTES = 256 << 20
+# Bytes of records that a task reads back, about.
+READ_BYTES = 32 << 20
 LEVEL = 3
 # --- fixed values of the WARC and the seekable Zstandard format ------------------------------
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -165,13 +169,15 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def with_originals(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Adds ``refers_to``: the smallest id among records of equal payload, if it is another's."""
-    digest = F.when(F.octet_length("payload") >= revisit_from, F.sha2("payload", 256))
-    keyed = pages.withColumn("digest", digest)
-    known = keyed.filter("digest is not null and id is not null")
+    digest = F.when(F.octet_length("payload") >= revisit_from, F.unhex(F.sha2("payload", 256)))
+    known = stage(pages.select("id", digest.alias("digest")).filter("digest is not null and id is not null"), "payload-digests")
     firsts = known.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    firsts = firsts.filter("first <> last").select("digest", "first")
-    joined = keyed.join(firsts, "digest", "left")
-    return joined.select(*pages.columns, F.when(F.col("id") > F.col("first"), F.col("first")).alias("refers_to"))
+    # Staged, so that Spark may split the rows of a hot digest in the join that follows.
+    firsts = stage(firsts.filter("first <> last").select("digest", "first"), "repeated-payloads")
+    later = known.join(firsts, "digest").filter("id > first").dropDuplicates(["id", "digest"])
+    later = later.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
+    joined = pages.withColumn("_own", digest).join(later, (F.col("id") == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
+    return joined.select(*pages.columns, "refers_to")
 
 
 def write_archives(
@@ -233,8 +239,11 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     names = ["record", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-    # Some frames of an archive together, in order, so each is read once.
-    parted = index.withColumn("part", F.floor(F.col("frame") / 16)).repartition("archive", "part")
+    # Some frames of an archive together, in order, so each is read once.  The number of tasks goes
+    # by the bytes to be read; index rows are small, and by their size Spark would take too few.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // READ_BYTES))
+    parted = index.withColumn("part", F.floor(F.col("frame") / 16)).repartition(tasks, "archive", "part")
     ordered = parted.sortWithinPartitions("archive", "frame", "offset").drop("part")
     return ordered.mapInArrow(
         run, "record string, record_type string, payload_bytes long, payload_digest string, refers_to string"
