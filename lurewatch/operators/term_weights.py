@@ -6,6 +6,8 @@ its weights are the only things that reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -39,7 +41,7 @@ def terms_of(words: Column) -> Column:
     return F.concat(words, F.when(F.size(words) >= 2, pairs).otherwise(F.slice(words, 1, 0)))
 
 
-def _listed(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+def listed_terms(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """``terms`` of each text.  An explode of one value is a boundary that expressions do not
     cross, so a text is cut into tokens once however often its terms are used."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -47,16 +49,21 @@ def _listed(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     return words.select(*keep, F.explode(F.array(terms_of(F.col("words")))).alias("terms"))
 
 
-def term_stats(df: DataFrame, text_col: str = "text_combined", min_df: int = 3) -> DataFrame:
+def term_stats(
+    df: DataFrame, text_col: str = "text_combined", min_df: int = 3,
+    restrict: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """term, tf (occurrences), df (texts that hold it) for terms in at least ``min_df`` texts.
 
     A text gives its terms once in full and once without repeats; both are counted in the same
-    aggregation, whose exchange sees a row per task and term.
+    aggregation, whose exchange sees a row per task and term.  ``restrict`` may drop rows of terms
+    that are not wanted before they are counted.
     """
     whole, once = F.struct("terms", F.lit(0).alias("text")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(1).alias("text"))
-    both = _listed(df, text_col).select(F.explode(F.array(whole, once)).alias("t"))
+    both = listed_terms(df, text_col).select(F.explode(F.array(whole, once)).alias("t"))
+    rows = both.select(F.explode("t.terms").alias("term"), F.col("t.text").alias("text"))
     return (
-        both.select(F.explode("t.terms").alias("term"), F.col("t.text").alias("text"))
+        (restrict(rows) if restrict else rows)
         .groupBy("term")
         .agg(F.sum(1 - F.col("text")).alias("tf"), F.sum("text").alias("df"))
         .filter(F.col("df") >= min_df)
@@ -67,7 +74,7 @@ def tfidf_rows(df: DataFrame, weights: DataFrame, id_col: str, text_col: str = "
     """``id, term, weight`` of every text and term of ``weights (term, idf)``; the weights of a
     text make up a vector of unit length.  Texts without such a term have no rows; rows with equal
     ids are one text."""
-    counts = _listed(df, text_col, id_col).select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    counts = listed_terms(df, text_col, id_col).select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
     weighted = counts.join(weights.select("term", "idf"), "term").withColumn("weight", F.col("n") * F.col("idf"))
     norms = Window.partitionBy(id_col)
     return weighted.select(id_col, "term", (F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(norms))).alias("weight"))

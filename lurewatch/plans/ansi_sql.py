@@ -577,6 +577,7 @@ stats AS (SELECT term, count(*) AS tf, count(DISTINCT email_id) AS df FROM terms
 SELECT term, tf, df, round(ln((1.0 + (SELECT count(*) FROM m)) / (1.0 + df)) + 1.0, 6) AS idf
 FROM stats WHERE df >= 3 ORDER BY tf DESC, term LIMIT 20000"""
 )
+ORACLE["tfidf_terms_pruned"] = ORACLE["tfidf_terms"]
 ORACLE["tfidf_vectors"] = (
     ORACLE["tfidf_terms"].replace("SELECT term, tf, df, round(ln(", ", top AS (SELECT term, ln(").replace("+ 1.0, 6) AS idf", "+ 1.0 AS idf")
     + """), weighted AS (SELECT email_id, term, count(*) * any_value(idf) AS w FROM terms JOIN top USING (term) GROUP BY email_id, term)

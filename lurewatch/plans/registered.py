@@ -22,6 +22,7 @@ from lurewatch.operators import (
     rules,
     sequence_scorer,
     splitting,
+    term_sketch,
     term_weights,
     text_classifier,
     verdict,
@@ -589,6 +590,14 @@ def tfidf_vectors(spark, sf):
     return _rounded(term_weights.tfidf_rows(rows, weights, "email_id"))
 
 
+@query
+def tfidf_terms_pruned(spark, sf):
+    """The vocabulary with a sketch that keeps rare terms out of the exchange."""
+    rows = stage(_flagged_emails(spark, sf).select("text_combined"), "texts")
+    top = term_sketch.frequent_terms(rows)
+    return _rounded(term_weights.idf_weights(top, rows.count()).select("term", "tf", "df", "idf"))
+
+
 @query
 def tfidf_terms(spark, sf):
     rows = _flagged_emails(spark, sf)
