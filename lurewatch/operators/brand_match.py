@@ -45,14 +45,15 @@ def _label(domain: str) -> str:
     return labels[-2] if len(labels) >= 2 else domain.split(".")[0]
 
 
-def _ratio(a: str, b: str) -> float:
+def similarity_ratio(a: str, b: str) -> float:
+    """Twice the characters in matching blocks over those of both strings; 0 for an empty one."""
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
 def best_similarity(domain: str, brands: Sequence[str]) -> list[float]:
     """Per brand: the better of the whole-domain and the label ratio."""
     label = _label(domain)
-    return [max(_ratio(domain, b), _ratio(label, _label(b))) for b in brands]
+    return [max(similarity_ratio(domain, b), similarity_ratio(label, _label(b))) for b in brands]
 
 
 def _brand_similarities(brands: tuple[str, ...]):

@@ -415,11 +415,15 @@ _BLOCK = """list_filter(flatten(list_transform(range(length(a), 0, -1), lambda k
     {'k': k, 'i': i, 'j': instr(b, substring(a, i, k))}))), lambda x: x.j > 0)[1]"""
 
 
-def brand_ctes(domains: str) -> str:
+_LISTED_BRANDS = "VALUES " + ", ".join(
+    f"('{b}', '{b.split('.')[0]}', {i})" for i, b in enumerate(K.KNOWN_BRAND_DOMAINS)
+)
+
+
+def brand_ctes(domains: str, brands: str = _LISTED_BRANDS) -> str:
     """From ``domains`` (one column, distinct) to ``best``: the brand metrics of each."""
-    brands = ", ".join(f"('{b}', '{b.split('.')[0]}', {i})" for i, b in enumerate(K.KNOWN_BRAND_DOMAINS))
     return f""",
-bl(brand, blabel, ord) AS (VALUES {brands}),
+bl(brand, blabel, ord) AS ({brands}),
 dn AS (SELECT domain, split_part(split_part(regexp_replace(lower(domain),
   '^(?:https?://)?(?:www\\.)?', ''), '/', 1), ':', 1) AS norm FROM {domains}),
 dl AS (SELECT *, CASE WHEN contains(norm, '.') THEN
@@ -439,7 +443,7 @@ sims AS (SELECT c.*, CAST(greatest(f.r, g.r) AS DOUBLE) AS sim FROM cand c
 top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY domain ORDER BY sim DESC, dist, ord) = 1),
 best AS (SELECT dn.domain, coalesce(brand, '') AS best_brand, coalesce(sim, 0.0) AS similarity,
   CAST(coalesce(dist, 999) AS INTEGER) AS edit_distance,
-  {flag(f'dn.norm IN {in_list(K.KNOWN_BRAND_DOMAINS)}')} AS exact_match,
+  {flag('dn.norm IN (SELECT brand FROM bl)')} AS exact_match,
   {flag("contains(dn.norm, 'xn--')")} AS punycode,
   {flag("regexp_matches(dn.norm, '[^\\x00-\\x7f]')")} AS non_ascii
   FROM dn LEFT JOIN top ON top.domain = dn.domain),
@@ -450,6 +454,22 @@ ORACLE["brand_match_domains"] = (
     f"{_DOMAINS}{brand_ctes('n')} SELECT n.domain, emails, best_brand, round(similarity, 6) AS similarity, "
     "edit_distance, exact_match, punycode, non_ascii, typosquat FROM n JOIN bm2 ON n.domain = bm2.domain"
 )
+# Names below the threshold are not given.
+_PAGE_WORD = f"regexp_extract({netloc('url')}, '([^.]+)[.][^.]+[.]([^.]+)$', 1)"
+_PAGE_ENDING = f"regexp_extract({netloc('url')}, '([^.]+)[.][^.]+[.]([^.]+)$', 2)"
+_PAGE_BRANDS = f"""SELECT brand, split_part(brand, '.', 1), row_number() OVER (ORDER BY brand) FROM
+ (SELECT DISTINCT {_PAGE_WORD} || '.' || {_PAGE_ENDING} AS brand FROM pages WHERE {_PAGE_WORD} <> '')"""
+ORACLE["brand_table_match"] = f"""WITH RECURSIVE w AS (SELECT page_id, {_PAGE_WORD} AS word, {_PAGE_ENDING} AS ending
+  FROM pages WHERE {_PAGE_WORD} <> ''),
+d AS (SELECT CASE page_id % 5 WHEN 0 THEN word WHEN 1 THEN replace(word, 'th', 't')
+  WHEN 2 THEN substring(word, 1, 2) || '-' || substring(word, 3) WHEN 3 THEN replace(word, 'i', '1')
+  ELSE 'my' || word || 'login' END || '.' || ending AS domain FROM w),
+n AS (SELECT domain, count(*) AS emails FROM d GROUP BY domain){brand_ctes('n', _PAGE_BRANDS)},
+named AS (SELECT *, similarity >= 0.8 AS near FROM bm2)
+SELECT n.domain, emails, CASE WHEN near THEN best_brand ELSE '' END AS best_brand,
+ CASE WHEN near THEN round(similarity, 6) ELSE 0.0::DOUBLE END AS similarity,
+ CAST(CASE WHEN near THEN edit_distance ELSE 999 END AS INTEGER) AS edit_distance,
+ exact_match, punycode, non_ascii, typosquat FROM n JOIN named ON n.domain = named.domain"""
 _HAS_URL_VALUE = _FEATURE_SQL["has_url"]
 _LOOKALIKE = {
     "sender_brand_similarity": "round(sm.similarity, 6)",

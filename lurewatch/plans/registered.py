@@ -13,6 +13,7 @@ from lurewatch import constants as K
 from lurewatch.functions import labels, mail, scores, text, urls
 from lurewatch.operators import (
     brand_match,
+    brand_table,
     cleaning,
     features,
     isolation,
@@ -343,6 +344,23 @@ def brand_match_domains(spark, sf):
     return _rounded(brand_match.domain_metrics(domains))
 
 
+@query
+def brand_table_match(spark, sf):
+    """Altered names of pages against the table of all names of pages."""
+    named = read_table(spark, sf, "pages").withColumn("host", urls.netloc(F.col("url"))).withColumns(
+        {"word": F.regexp_extract("host", r"([^.]+)[.][^.]+[.]([^.]+)$", 1),
+         "ending": F.regexp_extract("host", r"([^.]+)[.][^.]+[.]([^.]+)$", 2)}
+    ).filter("word <> ''")
+    altered = F.expr(
+        """CASE page_id % 5 WHEN 0 THEN word WHEN 1 THEN replace(word, 'th', 't')
+        WHEN 2 THEN concat(substring(word, 1, 2), '-', substring(word, 3)) WHEN 3 THEN replace(word, 'i', '1')
+        ELSE concat('my', word, 'login') END"""
+    )
+    domains = named.select(F.concat_ws(".", altered, "ending").alias("domain"))
+    brands = named.select(F.concat_ws(".", "word", "ending").alias("brand"))
+    return _rounded(brand_table.match_brand_table(domains, brands))
+
+
 @query
 def lookalike_features(spark, sf):
     built = features.build_features(_flagged_emails(spark, sf))
