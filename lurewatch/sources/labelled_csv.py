@@ -26,9 +26,12 @@ from lurewatch.operators.cleaning import (
     keep_first,
     to_canonical,
 )
+from lurewatch.sources.message_files import file_at
 
 
 LOCAL_SCHEME = "^file:/+"
+# Bytes that are read at a time until a header line has ended.
+HEADER_BYTES = 64 << 10
 
 
 @dataclass(frozen=True)
@@ -155,8 +158,60 @@ def _file_path() -> Column:
     return F.regexp_replace(path, LOCAL_SCHEME, "/")
 
 
+def first_line(file, step: int = HEADER_BYTES) -> bytes | None:
+    """The first line of an open file without its end, read in ranges; None for an empty file."""
+    held = b""
+    while True:
+        block = file.read(step)
+        held += block
+        end = re.search(rb"[\r\n]", held)
+        if end:
+            return held[: end.start()]
+        if not block:
+            return held or None
+
+
 def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    """The column names of every file that has a header line, by path, in one job."""
+    """The column names of every file that has a header line, by path.
+
+    Tasks open the files through Arrow's file systems and read no further than the line, so the
+    size of a file plays no part.  Files on systems that Arrow does not reach are scanned by Spark.
+    """
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or ""
+    default = "" if default.startswith("file:") else default.rstrip("/")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, reached = [], []
+            for path in batch.column("path").to_pylist():
+                at = path if ":/" in path else f"{default}{path}"
+                try:
+                    system, inner = file_at(at)
+                except (ImportError, NotImplementedError, OSError, ValueError):
+                    lines.append(None)
+                    reached.append(False)
+                    continue
+                with system.open_input_file(inner) as file:
+                    lines.append(first_line(file))
+                reached.append(True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array(lines, pa.binary()), pa.array(reached, pa.bool_())],
+                ["path", "line", "reached"],
+            )
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    # One line per file.
+    found = listed.mapInArrow(read, "path string, line binary, reached boolean").collect()
+    headers = {
+        re.sub(LOCAL_SCHEME, "/", r["path"]): _names(bytes(r["line"]).decode("utf-8", "replace"))
+        for r in found if r["line"] is not None
+    }
+    rest = [r["path"] for r in found if not r["reached"]]
+    return headers | scan_headers(spark, rest) if rest else headers
+
+
+def scan_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The same by a scan of the first block of every file."""
 
     def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -170,7 +225,6 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[s
 
     lines = spark.read.text(list(paths)).filter("_metadata.file_block_start = 0")
     lines = lines.select(_file_path().alias("path"), "value").mapInArrow(first_lines, "path string, value string")
-    # One line per file.
     return {r["path"]: _names(r["value"]) for r in lines.collect()}
 
 

@@ -1,3 +1,4 @@
+import io
 import os
 
 import pytest
@@ -6,6 +7,7 @@ from lurewatch.operators.cleaning import ORDER_COLUMNS
 from lurewatch.plans.prepare import build_splits
 from lurewatch.sources import labelled_csv as csv
 from lurewatch.sources import markup
+from lurewatch.sources.message_files import file_at
 from lurewatch.sources.messages import link_table, list_messages, parse_messages
 
 
@@ -46,6 +48,51 @@ def test_discovery(spark, corpora):
     assert [c.source for c in found] == ["a", "b_deep dir_typed", "b_seven", "b_spaced", "c_plain"]
 
 
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        block = super().read(n)
+        self.taken += len(block)
+        return block
+
+
+@pytest.mark.parametrize(
+    "content,line",
+    [(b"a,b\n1,2", b"a,b"), (b"a,b\r\n1", b"a,b"), (b"a\r1", b"a"), (b"a,b", b"a,b"), (b"", None), (b"\na", b""),
+     (b"x" * 10_000 + b"\n" + b"y" * 50_000, b"x" * 10_000)],
+)
+def test_first_line_is_read_in_ranges(content, line):
+    file = Counted(content)
+    assert csv.first_line(file, 1024) == line
+    assert file.taken <= len(line or b"") + 1024
+
+
+def test_headers_do_not_depend_on_the_size_of_files(spark, tmp_path):
+    """The first file would take minutes to read: two terabytes, of which the line alone is on disk."""
+    write(tmp_path, "big.csv", "text_combined,label\n")
+    with open(tmp_path / "big.csv", "r+b") as file:
+        file.truncate(2 << 40)
+    write(tmp_path, "a b+%41.csv", "\ufeffSubject,,Label,label\nx,y,1,0\n")
+    write(tmp_path, "empty.csv", "")
+    paths = [str(tmp_path / "big.csv"), f"file://{tmp_path}/a b+%41.csv", f"file:{tmp_path}/empty.csv"]
+    assert csv.read_headers(spark, paths) == {
+        f"{tmp_path}/big.csv": ("text_combined", "label"), f"{tmp_path}/a b+%41.csv": ("Subject", "_c1", "Label2", "label3"),
+    }
+
+
+def test_ranged_and_scanned_headers_agree(spark, corpora):
+    paths = [c.path for c in csv.discover_csv(spark, str(corpora))]
+    assert csv.read_headers(spark, paths) == csv.scan_headers(spark, paths) and len(paths) == 5
+
+
+def test_file_systems_by_scheme():
+    for path in ("/x/a b.csv", "file:/x/a b.csv", "file:///x/a b.csv"):
+        assert file_at(path)[1] == "/x/a b.csv"
+    with pytest.raises(ValueError):
+        file_at("nosuchscheme://host/x.csv")
+
+
 def test_load_all_layouts(spark, corpora):
     configs = csv.discover_csv(spark, str(corpora))
     rows = csv.load_csv(spark, configs).orderBy(*ORDER_COLUMNS).collect()
