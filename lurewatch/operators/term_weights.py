@@ -134,5 +134,12 @@ def fit_tfidf(
     return Pipeline(stages=stages).fit(df.limit(0))
 
 
+def fitted_weights(vectors: PipelineModel) -> tuple[list[str], list[float]]:
+    """Terms and their inverse document frequencies, in the order of the vectors' components."""
+    counts = next(s for s in vectors.stages if isinstance(s, CountVectorizerModel))
+    product = next(s for s in vectors.stages if isinstance(s, ElementwiseProduct))
+    return counts.vocabulary, [float(x) for x in product.getScalingVec()]
+
+
 def _without(*columns: str) -> str:
     return f"SELECT * EXCEPT ({', '.join(columns)}) FROM __THIS__"

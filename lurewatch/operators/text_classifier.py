@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    LinearSVC,
     LinearSVCModel,
     LogisticRegression,
     LogisticRegressionModel,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.functions.labels import number_of
 from lurewatch.functions.scores import sigmoid
 from lurewatch.operators.profiling import class_weights
+from lurewatch.operators.squared_hinge import fit_squared_hinge
 from lurewatch.operators.term_weights import fit_tfidf
+from lurewatch.session import stage
 
 MODELS = ("logreg", "linear_svm")
 
@@ -120,8 +124,9 @@ def train_classifier(
 ) -> TextClassifier:
     """Fit the vectoriser and a linear model on validated rows.
 
-    The penalty is scaled by the number of rows, so ``inverse_regularisation`` means the same as
-    the usual ``C``: one unit of squared norm against the summed loss.
+    ``inverse_regularisation`` is the usual ``C``: the summed loss against half the squared norm.
+    Spark's logistic regression takes the mean loss, so its penalty is scaled by the number of rows.
+    The support vector machine minimises the squared hinge.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
@@ -135,14 +140,27 @@ def train_classifier(
     )
     vectors = fit_tfidf(prepared, "_score_text", "_tfidf", max_features, min_df)
     data = vectors.transform(prepared).select("_tfidf", "label", "weight")
-    n = prepared.count()
-    common = {
-        "featuresCol": "_tfidf", "labelCol": "label", "weightCol": "weight",
-        "rawPredictionCol": "_raw", "predictionCol": "prediction", "maxIter": max_iter,
-        "regParam": 1.0 / (inverse_regularisation * max(n, 1)), "standardization": False,
-    }
+    columns = {"featuresCol": "_tfidf", "rawPredictionCol": "_raw", "predictionCol": "prediction"}
     if model == "logreg":
-        estimator = LogisticRegression(probabilityCol="_probability", **common)
-    else:
-        estimator = LinearSVC(**common)
-    return TextClassifier(vectors, estimator.fit(data), model, text_col)
+        n = prepared.count()
+        estimator = LogisticRegression(
+            labelCol="label", weightCol="weight", probabilityCol="_probability", maxIter=max_iter,
+            regParam=1.0 / (inverse_regularisation * max(n, 1)), standardization=False, **columns,
+        )
+        return TextClassifier(vectors, estimator.fit(data), model, text_col)
+    # The vectors are made once, for all passes.
+    size = vectors.transform(prepared.limit(0)).schema["_tfidf"].metadata["ml_attr"]["num_attrs"]
+    coefficients, intercept = fit_squared_hinge(
+        stage(data, "vectors"), size, "_tfidf", inverse_regularisation, max_iter
+    )
+    return TextClassifier(vectors, _svm_model(train.sparkSession, coefficients, intercept, columns), model, text_col)
+
+
+def _svm_model(spark: SparkSession, coefficients, intercept: float, columns: dict[str, str]) -> LinearSVCModel:
+    """Spark's own model for given coefficients, for scoring and storing."""
+    fitted = LinearSVCModel(
+        spark._jvm.org.apache.spark.ml.classification.LinearSVCModel(
+            f"squared_hinge_{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(coefficients)), intercept
+        )
+    )
+    return fitted._set(**columns)

@@ -705,6 +705,7 @@ ORACLE["classifier_quality"] = over_emails(
     """SELECT model, count(*) AS emails, true AS from_0, true AS to_1, true AS fits
  FROM m, (SELECT unnest(['logreg', 'linear_svm']) AS model) WHERE label IS NOT NULL GROUP BY model"""
 )
+ORACLE["svm_optimality"] = over_emails("SELECT count(*) AS emails, true AS optimal FROM m WHERE label IS NOT NULL")
 # Mean path of two trees over the expected path among 256 rows.
 ORACLE["fixed_forest_scores"] = """WITH p AS (SELECT vec_id,
  (CASE WHEN embedding[1] <= 0 THEN 2.5 WHEN embedding[2] <= 0.05 THEN 3.0 ELSE 1.5 END

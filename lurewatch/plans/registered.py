@@ -783,6 +783,39 @@ def classifier_quality(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def svm_optimality(spark, sf):
+    """The support vector machine is at its minimum: the gradient there, summed anew from the rows
+    of (email, term, weight), against the gradient at zero."""
+    rows = _labelled(spark, sf)
+    fitted = text_classifier.train_classifier(rows, "linear_svm")
+    terms, idf = term_weights.fitted_weights(fitted.vectors)
+    weights = spark.createDataFrame(
+        pd.DataFrame({"term": terms, "idf": idf, "coefficient": fitted.model.coefficients.toArray()})
+    )
+    intercept = F.lit(float(fitted.model.intercept))
+    y = F.col("label") * 2.0 - 1.0
+    emails_ = rows.select("email_id", y.alias("y"), text_classifier.balanced_weight(rows, "label").alias("c"))
+    parts = stage(term_weights.tfidf_rows(rows, weights, "email_id"), "parts")
+    margins = parts.join(weights, "term").groupBy("email_id").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("m"))
+    short = F.greatest(F.lit(0.0), 1 - F.col("y") * (F.coalesce("m", F.lit(0.0)) + intercept))
+    pulls = emails_.join(margins, "email_id", "left").select(
+        "email_id", (-2 * F.col("c") * F.col("y") * short).alias("pull"), (-2 * F.col("c") * F.col("y")).alias("pull_0")
+    )
+    # The intercept is the coefficient of a term that every email has once.
+    held = parts.unionByName(emails_.select("email_id", F.lit("").alias("term"), F.lit(1.0).alias("weight")))
+    own = weights.select("term", "coefficient").union(spark.range(1).select(F.lit(""), intercept))
+    summed = held.join(pulls, "email_id").groupBy("term").agg(
+        F.sum(F.col("weight") * F.col("pull")).alias("g"), F.sum(F.col("weight") * F.col("pull_0")).alias("g_0"),
+        F.count("*").alias("emails"),
+    ).join(own, "term", "right")
+    left = F.coalesce("g", F.lit(0.0)) + F.col("coefficient")
+    return summed.agg(
+        F.max(F.when(F.col("term") == "", F.col("emails"))).alias("emails"),
+        (F.sqrt(F.sum(left * left)) <= 2e-4 * F.sqrt(F.sum(F.col("g_0") * F.col("g_0")))).alias("optimal"),
+    )
+
+
 def _vectors(spark: SparkSession, sf: str, width: int = 2) -> DataFrame:
     parts = [F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)]
     return read_table(spark, sf, "embeddings").select("vec_id", *parts)
