@@ -228,9 +228,9 @@ def benign_only_all_rows(spark, sf):
 def _write_corpora(spark: SparkSession, sf: str) -> str:
     """The email table written out as CSV corpora in four layouts, in nested folders."""
     root = run_dir(spark, "corpora")
-    table = emails(spark, sf).withColumn(
-        "label_text", F.when(F.col("label") == 1, "Phishing Email").when(F.col("label") == 0, "ham")
-    )
+    label_text = F.when(F.col("label") == 1, "Phishing Email").when(F.col("label") == 0, "ham")
+    # The labels are joined once for all layouts.
+    table = stage(emails(spark, sf).withColumn("label_text", label_text), "labelled")
     pick = F.col("email_id") % 4
     layouts = {
         "mail/seven": table.filter(pick == 0).select(
