@@ -6,7 +6,9 @@ encodings that no base span covers, '=' only as padding at their end.  The encod
 (hex, base32, alphanumeric, base64, or the kinds of characters it has) gives its alphabet; every
 token has one, so the tests decide on each.  Three tests ask whether its symbols look drawn at random: chi-squared
 uniformity over the alphabet, the number of runs above and below the middle, and the correlation
-of neighbours.  Fisher's rule makes one p-value of the three.
+of neighbours.  The last two measure related things, so their normal scores are joined by the
+covariance that uniform symbols give them; Fisher's rule joins the result with the first test,
+which is independent of any order.
 
 Ordinary tokens fail the tests.  A token is cleared if the step-up rule of Benjamini and Hochberg
 rejects randomness at ``RATE``: of the cleared tokens at most that share is expected to be random
@@ -138,20 +140,19 @@ def randomness(symbols: Column, alphabet_size: Column) -> Column:
         return F.struct(symbol.alias("last"), run.alias("run"), (state["squares"] + 2 * run - 1).alias("squares"))
 
     squares = F.aggregate(F.array_sort(symbols), start, count, lambda s: s["squares"])
-    freedom = k - 1
-    spread = F.lit(2.0) / (9 * freedom)
-    z_chi = (F.cbrt(F.greatest(squares * k / n - n, F.lit(0.0)) / freedom) - (1 - spread)) / F.sqrt(spread)
 
     # Runs and neighbours in one pass over the symbols.
     middle = (k - 1) / 2
     walk = F.struct(
-        F.lit(None).cast("double").alias("last"), *[F.lit(0.0).alias(c) for c in ("high", "runs", "s", "ss", "sp")]
+        *[F.lit(None).cast("double").alias(c) for c in ("first", "last")],
+        *[F.lit(0.0).alias(c) for c in ("high", "runs", "s", "ss", "sp")],
     )
 
     def step(state, symbol):
         x = symbol.cast("double") - middle
         turn = state["last"].isNull() | ((x > 0) != (state["last"] > 0))
         return F.struct(
+            F.coalesce(state["first"], x).alias("first"),
             x.alias("last"), (state["high"] + (x > 0).cast("double")).alias("high"),
             (state["runs"] + turn.cast("double")).alias("runs"), (state["s"] + x).alias("s"),
             (state["ss"] + x * x).alias("ss"), (state["sp"] + x * F.coalesce(state["last"], F.lit(0.0))).alias("sp"),
@@ -165,15 +166,35 @@ def randomness(symbols: Column, alphabet_size: Column) -> Column:
         z_runs = F.when(variance > 0, (w["runs"] - expected) / F.sqrt(F.abs(variance))).otherwise(F.sqrt(n))
         mean = w["s"] / n
         power = w["ss"] - n * mean * mean
-        z_serial = F.when(power > 0, (w["sp"] - n * mean * mean) / F.abs(power) * F.sqrt(n) + 1 / F.sqrt(n)).otherwise(F.sqrt(n))
-        tails = [_upper_tail(z_chi), 2 * _upper_tail(F.abs(z_runs)), 2 * _upper_tail(F.abs(z_serial))]
-        logs = [F.log(F.least(F.lit(1.0), F.greatest(p, F.lit(1e-30)))) for p in tails]
-        half = -(logs[0] + logs[1] + logs[2])
-        return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        neighbours = w["sp"] - mean * (2 * w["s"] - w["first"] - w["last"]) + (n - 1) * mean * mean
+        spread = F.greatest(n - 2, F.lit(1.0)) / (n * F.sqrt(n - 1))
+        z_serial = F.when(power > 0, (neighbours / F.abs(power) + 1 / n) / spread).otherwise(F.sqrt(n))
+        # Fewer runs go with a higher correlation: for uniform symbols by (mean |x|)^2 / mean x^2.
+        shared = F.least(0.75 * k * k / (k * k - 1), F.lit(0.99))
+        order = (z_runs * z_runs + 2 * shared * z_runs * z_serial + z_serial * z_serial) / (1 - shared * shared) / 2
+        uniform = -F.log(F.least(F.lit(1.0), F.greatest(_uniformity(squares, n, k), F.lit(1e-30))))
+        return _let(uniform + F.least(order, F.lit(70.0)), lambda h: F.exp(-h) * (1 + h))
 
     return _let(F.aggregate(symbols, walk, step), combine)
 
 
+def _uniformity(squares: Column, n: Column, k: Column) -> Column:
+    """Upper tail of the chi-squared statistic, given the sum of the squared symbol counts.
+
+    The statistic is linear in the number of pairs of equal symbols.  Mean, variance and third
+    moment of that number are known exactly for uniform symbols, so a shifted gamma distribution
+    with these moments (the chi-squared one, for long tokens) holds for tokens shorter than
+    their alphabet as well; the number is whole, hence the half.
+    """
+    p = 1 / k
+    pairs = n * (n - 1) / 2
+    variance = pairs * p * (1 - p)
+    third = variance * (1 - 2 * p) + n * (n - 1) * (n - 2) * p * p * (1 - p)
+    root = 2 * variance * F.sqrt(variance) / F.greatest(third, F.lit(1e-9))
+    z = ((squares - n) / 2 - 0.5 - pairs * p) / F.sqrt(variance)
+    return _upper_tail(3 * root * (F.cbrt(F.greatest(1 + z / root, F.lit(0.0))) - 1 + 1 / (9 * root * root)))
+
+
 def _tokens(text: Column, base: Column) -> Column:
     """Candidate tokens outside the base spans: start, end, class and bin of the p-value."""
     spans = F.filter(

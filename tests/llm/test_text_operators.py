@@ -1,12 +1,14 @@
 """Decontamination, near duplicates, line hashing and secrets: brute force and edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lurewatch.llm import decontamination, line_dedup, near_duplicates, secrets
 from lurewatch.llm.queries import QUERIES
@@ -274,25 +276,45 @@ def p_value(symbols, k):
     """The battery in plain Python."""
     n = len(symbols)
     tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
-    chi = sum(symbols.count(c) ** 2 for c in set(symbols)) * k / n - n
-    spread = 2 / (9 * (k - 1))
-    z = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
+    # Equal pairs: their mean, variance and third moment under uniform symbols.
+    equal = sum(a == b for a, b in itertools.combinations(symbols, 2))
+    pairs, triples = math.comb(n, 2), math.comb(n, 3)
+    deviation = math.sqrt(pairs * (k - 1)) / k
+    third = pairs * (k - 1) * (k - 2) / k**3 + 6 * triples * (k - 1) / k**3
+    shape = (2 * deviation**3 / third) ** 2
+    gamma = max(0.0, 1 + (equal - 0.5 - pairs / k) / deviation / math.sqrt(shape))
+    uniform = tail((gamma ** (1 / 3) - (1 - 1 / (9 * shape))) * 3 * math.sqrt(shape))
     x = [s - (k - 1) / 2 for s in symbols]
     high = sum(v > 0 for v in x)
     runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(x, x[1:], strict=False))
     expected = 2 * high * (n - high) / n + 1
     variance = (expected - 1) * (expected - 2) / (n - 1)
     z_runs = (runs - expected) / math.sqrt(variance) if variance > 0 else math.sqrt(n)
-    mean = sum(x) / n
-    power = sum(v * v for v in x) - n * mean**2
-    z_serial = (sum(a * b for a, b in zip(x, x[1:], strict=False)) - n * mean**2) / power * math.sqrt(n) + 1 / math.sqrt(n) if power > 0 else math.sqrt(n)
-    h = -sum(math.log(min(1, max(1e-30, p))) for p in (tail(z), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial))))
-    return math.exp(-h) * (1 + h + h * h / 2)
+    centred = [v - sum(x) / n for v in x]
+    power = sum(v * v for v in centred)
+    lag = sum(a * b for a, b in zip(centred, centred[1:], strict=False))
+    z_serial = (lag / power + 1 / n) * n * math.sqrt(n - 1) / (n - 2) if power > 1e-9 else math.sqrt(n)
+    # The covariance, from the uniform symbols themselves.
+    middle = [abs(s - (k - 1) / 2) for s in range(k)]
+    shared = (sum(middle) / k) ** 2 / (sum(m * m for m in middle) / k)
+    scores = np.array([z_runs, z_serial])
+    order = min(scores @ np.linalg.inv([[1, -shared], [-shared, 1]]) @ scores / 2, 70)
+    h = order - math.log(min(1, max(1e-30, uniform)))
+    return math.exp(-h) * (1 + h)
+
+
+@pytest.mark.parametrize("k", [10, 16, 36, 62, 64])
+def test_random_tokens_have_the_p_values_they_should(spark, k):
+    rng = np.random.default_rng(k)
+    rows = [(rng.integers(0, k, n).tolist(), k) for n in (20, 24, 40, 96) for _ in range(4000)]
+    p = secrets.randomness(F.col("s"), F.col("k"))
+    frame = spark.createDataFrame(rows, "s array<int>, k int").select(p.alias("p"))
+    limits = {0.05: 0.05, 0.01: 0.0105, 0.001: 0.0015}
+    found = frame.agg(*[F.avg((F.col("p") <= level).cast("int")) for level in limits]).first()
+    assert all(share <= limit for share, limit in zip(found, limits.values(), strict=True)), found
 
 
 def test_battery_equals_plain_python(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(6)
     rows = [([rng.randrange(k) for _ in range(rng.randint(20, 90))], k) for k in (16, 32, 62, 64) for _ in range(10)]
     rows += [([3] * 30, 16), (list(range(16)) * 4, 16), ([0, 15] * 20, 16)]
