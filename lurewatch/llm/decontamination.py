@@ -7,8 +7,9 @@ zero, the block's bucket names the patterns that end so, and these are compared
 Many stretches of a batch of documents are searched side by side.
 
 Windows are cut and made distinct in Spark.  They go to the tasks in shards of at most about
-``SHARD_WINDOWS`` (window, item) pairs; a benchmark of any size is searched shard after shard, and
-the marked words and items of a document are carried along.
+``SHARD_WINDOWS`` (window, item) pairs; a benchmark of any size is searched shard after shard.  The
+documents are written once if there are several, and each shard after the first writes only the
+marked words and items of the documents it hits.
 
 Words are maximal runs of digits, letters a-z and characters beyond ASCII after lower-casing A-Z.
 Null and empty texts have no words and no hits; items without words match nothing.  Repeated rows
@@ -19,11 +20,13 @@ ids match but name no item.  With an empty benchmark nothing is hit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lurewatch.llm.common import text_slices
 from lurewatch.session import stage
@@ -36,6 +39,7 @@ SEARCHED_BYTES = 2 << 20
 LANE = 512
 # (position, pattern) pairs that are compared at once.
 COMPARED_TOGETHER = 1 << 16
+HITS = T.StructType().add("hit_words", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType()))
 
 # A-Z become a-z; what is no word character becomes a space.
 _BYTES = bytes(
@@ -179,41 +183,67 @@ def find_passages(
     pairs = stage(windows(items, size=size), "benchmark-windows")
     shards = max(1, -(-pairs.count() // SHARD_WINDOWS))
     sharded = pairs.withColumn("shard", F.pmod(F.xxhash64("window", "item"), F.lit(shards)))
-    kinds = dict(docs.dtypes)
-    state = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)],
-        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit_words"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    schema = state.schema
-    for number in range(shards):
+
+    def sent(number: int):
         # Bounded by SHARD_WINDOWS pairs; a window's items may be spread over shards.
         rows = sharded.filter(F.col("shard") == number).groupBy("window").agg(F.collect_list("item").alias("items"))
-        shard = [(r.window, list(r["items"])) for r in rows.collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
-        if number:
-            state = stage(state, "benchmark-shard")
-        state = state.mapInArrow(_search_step(sent), schema)
+        return docs.sparkSession.sparkContext.broadcast([(r.window, list(r["items"])) for r in rows.collect()])
+
+    rows = docs.select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    )
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), *HITS.fields])
+    found = rows.mapInArrow(_search_step(sent(0)), schema)
+    if shards > 1:
+        found = _with_further_shards(found, sent, shards)
     names = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
-    return state.select(F.col("_id").cast(kinds[id_col]).alias(id_col), "n_words", "hit_words", "items", *names)
+    return found.select(F.col("_id").alias(id_col), "n_words", "hit_words", "items", *names)
+
+
+def _with_further_shards(found: DataFrame, sent, shards: int) -> DataFrame:
+    """What the first shard found, merged with the hits of the others.
+
+    The table is written once, with a number per row.  Every further shard reads numbers and
+    texts back and writes the rows it hits, without their texts; a row has at most one such
+    entry a shard.
+    """
+    held = stage(found.withColumn("_row", F.monotonically_increasing_id()), "benchmark-first-shard")
+    parts = [held.filter(F.size("hit_words") > 0).select("_row", *HITS.names)]
+    schema = T.StructType([held.schema["_row"], *HITS.fields])
+    for number in range(1, shards):
+        shard = sent(number)
+        hits = held.select("_row", "text").mapInArrow(_search_step(shard, hits_only=True), schema)
+        parts.append(stage(hits, "benchmark-hits"))
+        shard.unpersist()
+    merged = reduce(DataFrame.unionAll, parts).groupBy("_row").agg(
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in HITS.names]
+    )
+    columns = [c for c in held.columns if c not in ("text", *HITS.names)]
+    empty = {f.name: F.array().cast(f.dataType) for f in HITS.fields}
+    return (
+        held.select(*columns).join(merged, "_row", "left")
+        .select(*columns, *[F.coalesce(c, empty[c]).alias(c) for c in HITS.names])
+    )
+
 
+def _search_step(sent, hits_only: bool = False):
+    """Adds what the windows of a shard hit; with ``hits_only`` to the rows that are hit, in place
+    of their text and number of words."""
 
-def _search_step(sent):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = None
         for batch in text_slices(batches, "text", SEARCHED_BYTES):
             searcher = searcher or Searcher(sent.value)
             sizes, hits, items = searcher.hits(batch.column("text").to_pylist())
-            before = zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            merged = [
-                (np.union1d(hit, old) if old else hit, sorted({*names, *was}) if names or was else [])
-                for hit, names, (old, was) in zip(hits, items, before, strict=True)
-            ]
-            arrays = {name: batch.column(name) for name in batch.schema.names}
-            arrays["n_words"] = pa.array(sizes)
-            arrays["hit_words"] = pa.array([m[0] for m in merged], pa.list_(pa.int64()))
-            arrays["items"] = pa.array([m[1] for m in merged], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            if hits_only:
+                del columns["text"]
+            else:
+                columns["n_words"] = pa.array(sizes)
+            columns["hit_words"] = pa.array(hits, pa.list_(pa.int64()))
+            columns["items"] = pa.array([sorted(names) for names in items], pa.list_(pa.string()))
+            out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_())) if hits_only else out
 
     return step
 
