@@ -716,6 +716,27 @@ ORACLE["outlier_share"] = """SELECT count(*) AS vectors,
  CAST(count(*) - 1 - floor(0.9 * (count(*) - 1)) AS BIGINT) AS outliers FROM embeddings"""
 ORACLE["forest_roundtrip"] = "SELECT count(*) AS vectors, CAST(0 AS BIGINT) AS mismatches FROM embeddings"
 ORACLE["benign_job"] = over_emails(f"{_LAYOUT_ROWS} SELECT label, md5(t) AS text_md5 FROM texts WHERE label = 0")
+ORACLE["splits_job"] = over_emails(
+    f"{_LAYOUT_ROWS} SELECT DISTINCT md5({collapsed('t')}) AS text_md5, true AS placed FROM texts"
+)
+_TRAINING_TERMS = ORACLE["tfidf_terms"].partition(", tok AS ")[2].partition("SELECT term, tf, df")[0]
+ORACLE["training_files"] = f"""{_SPLIT}, tok AS {_TRAINING_TERMS.replace("FROM m)", "FROM sp WHERE split = 'train')")},
+size AS (SELECT least(count(*), 20000) AS n FROM stats WHERE df >= 3)
+SELECT split, count(*) AS rows, (SELECT n FROM size) AS num_features, (SELECT n FROM size) AS saved_features
+FROM sp GROUP BY split"""
+_RECORD_COLUMNS = """md5(body) AS body_md5, md5(CASE WHEN given <> '' THEN given
+ ELSE concat('FROM: ', from_address, ' SUBJECT: ', subject, ' BODY: ', body) END) AS text_md5"""
+ORACLE["record_defaults"] = f"""WITH sparse AS (SELECT doc_id,
+ CASE WHEN doc_id % 3 <> 0 THEN coalesce(source || '@example.com', '') ELSE '' END AS from_address,
+ CASE WHEN doc_id % 4 <> 0 THEN coalesce('About ' || lang, '') ELSE '' END AS subject,
+ CASE WHEN doc_id % 5 <> 0 THEN coalesce(text, '') ELSE '' END AS body,
+ CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 0 THEN coalesce(lower(text), '') ELSE '' END AS given,
+ CAST(CASE WHEN doc_id % 6 <> 0 THEN 2 ELSE 0 END AS INTEGER) AS extensions,
+ doc_id % 8 <> 0 AND doc_id % 2 = 0 AS dkim_pass,
+ CASE WHEN doc_id % 2 = 0 THEN source END AS dkim_domain FROM documents),
+plain AS (SELECT doc_id, '' AS from_address, '' AS subject, coalesce(text, '') AS body, '' AS given FROM documents)
+SELECT doc_id, 'sparse' AS record, from_address, subject, {_RECORD_COLUMNS}, extensions, dkim_pass, dkim_domain FROM sparse
+UNION ALL SELECT doc_id, 'plain', from_address, subject, {_RECORD_COLUMNS}, CAST(0 AS INTEGER), false, CAST(NULL AS VARCHAR) FROM plain"""
 ORACLE["report_files"] = f"""WITH res AS ({ORACLE["corpus_results"]})
 SELECT 'results' AS report, count(*) AS written FROM res UNION ALL
 SELECT 'review', count(*) FILTER (verdict = 'phish') FROM res UNION ALL

@@ -30,7 +30,7 @@ from lurewatch.operators import (
 )
 from lurewatch.plans.fixture import emails, emails_from, read_table, table_stream
 from lurewatch.plans.prepare import benign_only as keep_benign
-from lurewatch.plans.prepare import build_benign, preprocess_and_split
+from lurewatch.plans.prepare import build_benign, build_splits, preprocess_and_split
 from lurewatch.plans.scoring import Scorers, evaluate_corpus, score_emails, write_evaluation
 from lurewatch.plans.training import run_training
 from lurewatch.session import run_dir, stage
@@ -86,6 +86,30 @@ def rule_profile(spark, sf):
     return rules.rule_profile(rules.score_rules(emails(spark, sf), keep_flags=True))
 
 
+@query
+def record_defaults(spark, sf):
+    """Scoring records with nulls in optional columns, and records that have a body alone."""
+    docs = read_table(spark, sf, "documents")
+    every = lambda n: F.col("doc_id") % n == 0
+    sparse = docs.select(
+        "doc_id", F.lit("sparse").alias("record"),
+        F.when(~every(3), F.concat("source", F.lit("@example.com"))).alias("from_address"),
+        F.when(~every(4), F.concat(F.lit("About "), "lang")).alias("subject"),
+        F.when(~every(5), F.col("text")).alias("body"),
+        F.when(every(7), F.lit("")).when(every(2), F.lower("text")).alias("text_combined"),
+        F.when(~every(6), F.array(F.lit(".zip"), F.lit(".exe"))).alias("attachment_extensions"),
+        F.when(~every(8), every(2)).alias("dkim_pass"), F.when(every(2), F.col("source")).alias("dkim_domain"),
+    )
+    plain = docs.select("doc_id", F.lit("plain").alias("record"), F.col("text").alias("body"))
+    columns = [
+        "doc_id", "record", "from_address", "subject", F.md5("body").alias("body_md5"),
+        F.md5("text_combined").alias("text_md5"), F.size("attachment_extensions").alias("extensions"),
+        "dkim_pass", "dkim_domain",
+    ]
+    filled = [rules.with_defaults(records).select(*columns) for records in (sparse, plain)]
+    return filled[0].unionByName(filled[1])
+
+
 @query
 def verdicts(spark, sf):
     return _rounded(
@@ -645,16 +669,27 @@ def svm_scores(spark, sf):
     return _classifier_scores(spark, sf, "linear_svm")
 
 
+def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    split = splitting.stratified_split(_labelled(spark, sf), key_col="email_id")
+    return stage(split.select("text_combined", "label", "split"), "training")
+
+
 @query
 def training_metrics(spark, sf):
     """A whole training run: metrics of every split."""
-    data = stage(
-        splitting.stratified_split(_labelled(spark, sf), key_col="email_id").select(
-            "text_combined", "label", "split"
-        ),
-        "training",
+    return _rounded(run_training(_training_rows(spark, sf), "logreg")[1])
+
+
+@query
+def training_files(spark, sf):
+    """What a training run has written: rows of each split in the metrics file, and the number of
+    features there and in the saved model."""
+    path = run_dir(spark, "training-run")
+    run_training(_training_rows(spark, sf), "linear_svm", path)
+    saved = text_classifier.load_classifier(spark, f"{path}/linear_svm")
+    return spark.read.json(f"{path}/linear_svm_metrics").select(
+        "split", "rows", "num_features", F.lit(int(saved.model.numFeatures)).cast("long").alias("saved_features")
     )
-    return _rounded(run_training(data, "logreg")[1])
 
 
 @query
@@ -817,10 +852,17 @@ def svm_optimality(spark, sf):
 
 
 def _vectors(spark: SparkSession, sf: str, width: int = 2) -> DataFrame:
+    """The first components of the vectors as columns."""
     parts = [F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)]
     return read_table(spark, sf, "embeddings").select("vec_id", *parts)
 
 
+def _whole_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """All components, and their names."""
+    width = read_table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 1
+    return _vectors(spark, sf, width), [f"x{i}" for i in range(width)]
+
+
 @query
 def fixed_forest_scores(spark, sf):
     """A forest given as rows, walked by every vector."""
@@ -841,8 +883,8 @@ def fixed_forest_scores(spark, sf):
 @query
 def outlier_share(spark, sf):
     """How many vectors a forest with a contamination of 10 % calls outliers."""
-    table = _vectors(spark, sf, 8)
-    forest = isolation.train_isolation_forest(table, [f"x{i}" for i in range(8)], "vec_id", contamination=0.1)
+    table, parts = _whole_vectors(spark, sf)
+    forest = isolation.train_isolation_forest(table, parts, "vec_id", contamination=0.1)
     flag = isolation.outlier_flag(F.col("isolation_raw"), forest.threshold)
     return forest.raw_score(table).agg(F.count("*").alias("vectors"), F.sum(flag).alias("outliers"))
 
@@ -850,8 +892,8 @@ def outlier_share(spark, sf):
 @query
 def forest_roundtrip(spark, sf):
     """A forest saved and loaded scores as before."""
-    table = _vectors(spark, sf, 8)
-    forest = isolation.train_isolation_forest(table, [f"x{i}" for i in range(8)], "vec_id")
+    table, parts = _whole_vectors(spark, sf)
+    forest = isolation.train_isolation_forest(table, parts, "vec_id")
     path = run_dir(spark, "forest")
     forest.save(path)
     both = isolation.load_forest(spark, path).raw_score(forest.raw_score(table, "before"), "after")
@@ -866,6 +908,15 @@ def benign_job(spark, sf):
     return benign.select("label", F.md5("text_combined").alias("text_md5"))
 
 
+@query
+def splits_job(spark, sf):
+    """CSV corpora to written splits: every text, in one split."""
+    job = build_splits(spark, _write_corpora(spark, sf), run_dir(spark, "job-splits"))
+    return job.data.select(
+        F.md5("text_combined").alias("text_md5"), F.col("split").isin(["train", "val", "test"]).alias("placed")
+    )
+
+
 @query
 def report_files(spark, sf):
     """The evaluation reports written as files and read back: rows of each."""
