@@ -6,11 +6,17 @@ a limited-memory quasi-Newton method on whole-table gradients converges to its o
 
 A pass is one job: every task reduces its rows to at most one number a feature, those are added up
 by feature, and the driver gets a row a feature.  What it keeps are a few vectors of that length.
+
+The number of passes would grow with the table, as the loss is a sum and the regularisation is not.
+So a bounded sample of rows, kept on the driver, tells the curvature.  Only the direction of a step
+depends on it; loss, gradient and the end of the search are those of all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +28,21 @@ LOSS = -1  # stands for the loss among the positions of a pass
 REMEMBERED_STEPS = 10
 SPARSE = 0  # the mark of a sparse vector in Spark's form of vectors
 
+# The sample for the curvature: rows, and entries of their vectors, at most; and how far its
+# equations are solved.
+SAMPLE_ROWS, SAMPLE_ENTRIES = 4096, 1 << 20
+SOLVED, MOST_TURNS = 1e-2, 100
+
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, feature and value of every entry; class -1 or 1 and weight of every row."""
+    kind, _, indices, values = batch.column(0).flatten()
+    if not pc.all(pc.equal(kind, SPARSE), min_count=0).as_py():
+        raise ValueError("vectors must be sparse")
+    rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(indices).to_numpy(zero_copy_only=False))
+    at, x = indices.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+    return rows, at, x, 2.0 * batch.column(1).to_numpy(zero_copy_only=False) - 1.0, batch.column(2).to_numpy(zero_copy_only=False)
+
 
 def _pass(data: DataFrame, features_col: str, solution: np.ndarray, c: float) -> tuple[float, np.ndarray]:
     """Summed loss of all rows and its gradient; the intercept is the last component."""
@@ -30,13 +51,8 @@ def _pass(data: DataFrame, features_col: str, solution: np.ndarray, c: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, gradient = 0.0, np.zeros(size + 1)
         for batch in batches:
-            kind, _, indices, values = batch.column(0).flatten()
-            if not pc.all(pc.equal(kind, SPARSE), min_count=0).as_py():
-                raise ValueError("vectors must be sparse")
-            rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(indices).to_numpy(zero_copy_only=False))
-            at, x = indices.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
-            y = 2.0 * batch.column(1).to_numpy(zero_copy_only=False) - 1.0
-            weight = c * batch.column(2).to_numpy(zero_copy_only=False)
+            rows, at, x, y, weight = _rows(batch)
+            weight = c * weight
             margin = np.bincount(rows, weights=x * solution[at], minlength=batch.num_rows) + solution[size]
             short = np.maximum(0.0, 1.0 - y * margin)
             loss += float(weight @ short**2)
@@ -70,14 +86,92 @@ def fit_squared_hinge(
         loss, gradient = _pass(data, features_col, solution, c)
         return loss + float(solution @ solution) / 2, gradient + solution
 
-    solution = minimise(objective, np.zeros(size + 1), max_iter, tolerance)
+    sample = _sample(data, size, features_col, c)
+    solution = minimise(objective, np.zeros(size + 1), max_iter, tolerance, sample and sample.solve)
     return solution[:-1], float(solution[-1])
 
 
+def _sample(data: DataFrame, size: int, features_col: str, c: float) -> Sample | None:
+    """A bounded sample of the rows with the share of the table it stands for; none of no rows."""
+    columns = data.select(features_col, "label", "weight")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [pa.array([n], pa.int64()) for n in (batch.num_rows, len(_rows(batch)[1]))]
+            yield pa.RecordBatch.from_arrays(counts, ["n", "entries"])
+
+    total = columns.mapInArrow(measure, "n long, entries long").agg(F.sum("n").alias("n"), F.sum("entries").alias("entries")).first()
+    if not total["n"]:
+        return None
+    wanted = max(1, min(SAMPLE_ROWS, SAMPLE_ENTRIES * total["n"] // max(total["entries"], 1)))
+    if wanted < total["n"]:
+        columns = columns.sample(wanted / total["n"], seed=1)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, at, x, y, weight = _rows(batch)
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column(0).flatten()[2]).to_numpy(zero_copy_only=False)))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (at, x)]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array(y), pa.array(weight)], ["at", "x", "y", "weight"])
+
+    got = columns.mapInArrow(flat, "at array<int>, x array<double>, y double, weight double").toArrow().combine_chunks()
+    if not got.num_rows:
+        return None
+    at, x = got["at"].combine_chunks(), got["x"].combine_chunks()
+    return Sample(
+        np.repeat(np.arange(got.num_rows), pc.list_value_length(at).to_numpy(zero_copy_only=False)),
+        at.flatten().to_numpy(), x.flatten().to_numpy(), got["y"].to_numpy(),
+        2.0 * c * got["weight"].to_numpy() * (total["n"] / got.num_rows), size,
+    )
+
+
+@dataclass
+class Sample:
+    """Rows that stand for all of them: row, feature and value of every entry, class and twice the
+    weight in the objective of every row."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+    size: int
+
+    def solve(self, solution: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        """``vector`` times the inverse of the sample's curvature at ``solution``, by conjugate
+        gradients."""
+        size, n = self.size, len(self.y)
+        margin = np.bincount(self.rows, weights=self.x * solution[self.at], minlength=n) + solution[size]
+        weight = np.where(1.0 - self.y * margin > 0, self.weight, 0.0)
+        used = weight[self.rows] > 0
+        rows, at, x = self.rows[used], self.at[used], self.x[used]
+
+        def curved(v: np.ndarray) -> np.ndarray:
+            pull = weight * (np.bincount(rows, weights=x * v[at], minlength=n) + v[size])
+            return v + np.append(np.bincount(at, weights=x * pull[rows], minlength=size), pull.sum())
+
+        scale = 1.0 + np.append(np.bincount(at, weights=x * x * weight[rows], minlength=size), weight.sum())
+        result, rest = np.zeros(size + 1), vector.copy()
+        ahead = toward = rest / scale
+        goal, product = SOLVED * np.linalg.norm(vector), float(rest @ ahead)
+        for _ in range(MOST_TURNS):
+            if np.linalg.norm(rest) <= goal:
+                break
+            change = curved(toward)
+            length = product / float(toward @ change)
+            result, rest = result + length * toward, rest - length * change
+            ahead = rest / scale
+            product, before = float(rest @ ahead), product
+            toward = ahead + product / before * toward
+        return result
+
+
 def minimise(
-    objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, max_iter: int, tolerance: float
+    objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, max_iter: int, tolerance: float,
+    solve: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> np.ndarray:
-    """Minimum of a smooth, strongly convex function, given with its gradient."""
+    """Minimum of a smooth, strongly convex function, given with its gradient.  ``solve`` may give
+    an estimate of the inverse curvature at a point, times a vector."""
     at = start
     value, gradient = objective(at)
     goal = tolerance * np.linalg.norm(gradient)
@@ -85,9 +179,13 @@ def minimise(
     for _ in range(max_iter):
         if np.linalg.norm(gradient) <= goal:
             break
-        direction = -_curved(gradient, steps)
+        estimate = solve and partial(solve, at)
+        direction = -_curved(gradient, steps, estimate)
         slope = float(gradient @ direction)
-        length = 1.0 if steps else 1.0 / np.linalg.norm(gradient)
+        if slope >= 0:  # the estimate changes from point to point
+            estimate, steps = None, []
+            direction, slope = -gradient, -float(gradient @ gradient)
+        length = 1.0 if steps or estimate else 1.0 / np.linalg.norm(gradient)
         while True:
             ahead = at + length * direction
             new_value, new_gradient = objective(ahead)
@@ -101,14 +199,19 @@ def minimise(
     return at
 
 
-def _curved(gradient: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The gradient times the inverse curvature that the last steps have shown."""
+def _curved(
+    gradient: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], estimate: Callable[[np.ndarray], np.ndarray] | None = None
+) -> np.ndarray:
+    """The gradient times the inverse curvature that the last steps have shown, or an estimate where
+    they have not."""
     result, shares = gradient.copy(), []
     for moved, change in reversed(steps):
         share = float(moved @ result) / float(moved @ change)
         result -= share * change
         shares.append(share)
-    if steps:
+    if estimate:
+        result = estimate(result)
+    elif steps:
         moved, change = steps[-1]
         result *= float(moved @ change) / float(change @ change)
     for (moved, change), share in zip(steps, reversed(shares), strict=True):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lurewatch.operators import squared_hinge
 from lurewatch.operators.squared_hinge import fit_squared_hinge, minimise
 
 SCHEMA = StructType([StructField("v", VectorUDT()), StructField("label", DoubleType()), StructField("weight", DoubleType())])
@@ -54,3 +55,19 @@ def test_steps_stop():
         return float(w @ w), 2 * w
     assert minimise(bowl, np.full(4, 3.0), 50, 1e-8) == pytest.approx(np.zeros(4), abs=1e-7)
     assert minimise(bowl, np.full(4, 3.0), 0, 1e-8) == pytest.approx(np.full(4, 3.0))
+
+
+def test_passes_do_not_grow_with_the_table(spark, monkeypatch):
+    """Many rows for a few numbers of curvature: without the sample it takes 175 passes here."""
+    rng = np.random.default_rng(7)
+    scales = 1 / (1 + np.arange(60.0))
+    x = rng.normal(size=(3000, 60)) * scales * (rng.random((3000, 60)) < 0.5)
+    label = (x @ rng.normal(size=60) + 0.3 * rng.normal(size=3000) > 0).astype(float)
+    passes = []
+    one = squared_hinge._pass
+    monkeypatch.setattr(squared_hinge, "_pass", lambda *a: passes.append(1) or one(*a))
+    monkeypatch.setattr(squared_hinge, "SAMPLE_ROWS", 600)
+    data = table(spark, x, label, np.ones(3000)).cache()
+    got, intercept = fit_squared_hinge(data, 60, "v", tolerance=1e-6)
+    assert np.append(got, intercept) == pytest.approx(newton(x, 2 * label - 1, np.ones(3000), 1.0), abs=1e-4)
+    assert len(passes) <= 20
