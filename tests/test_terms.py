@@ -60,3 +60,32 @@ def test_the_bound_and_the_sketch_keep_rare_terms_out(spark):
 def test_sketch_of_no_texts(spark):
     empty = spark.createDataFrame([], "text_combined string")
     assert term_sketch.frequent_terms(empty).collect() == []
+
+
+def test_rows_with_equal_ids_are_one_text(spark, monkeypatch):
+    """Also over the borders of batches, and with ids that are null."""
+    monkeypatch.setattr(term_weights, "ENTRIES_AT_ONCE", 3)
+    texts = [(1, "aa bb"), (None, "aa"), (2, "cc"), (1, "aa cc"), (None, "bb bb"), (3, "zz"), (4, None), (2, "cc dd")]
+    frame = spark.createDataFrame(texts, "k long, t string").repartition(3)
+    weights = spark.createDataFrame([("aa", 1.0), ("bb", 2.0), ("cc", 1.0), ("aa bb", 3.0), ("bb bb", 1.0)], "term string, idf double")
+    got = {}
+    for r in term_weights.tfidf_rows(frame, weights, "k", "t").collect():
+        assert (r.k, r.term) not in got
+        got[r.k, r.term] = r.weight
+    plain = {1: {"aa": 2, "bb": 2, "aa bb": 3, "cc": 1}, None: {"aa": 1, "bb": 4, "bb bb": 1}, 2: {"cc": 2}}
+    want = {}
+    for k, vector in plain.items():
+        length = sum(v * v for v in vector.values()) ** 0.5
+        want |= {(k, t): pytest.approx(v / length) for t, v in vector.items()}
+    assert got == want
+
+
+def test_terms_do_not_move_row_by_row(spark):
+    """Vectors move once, with a row a text; counts leave a task with a row a term of a run."""
+    frame = spark.createDataFrame([(i, "aa bb " * 50) for i in range(40)], "k long, t string").repartition(2)
+    weights = spark.createDataFrame([("aa", 1.0)], "term string, idf double")
+    plan = term_weights.tfidf_rows(frame, weights, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Join" not in plan
+    rows = term_weights.counted_terms(frame, "t").collect()
+    assert len(rows) <= 2 * 4
+    assert sum(r.tf for r in rows) == 40 * 199 and sum(r.df for r in rows) == 40 * 4
