@@ -152,6 +152,13 @@ def test_no_exchange_and_one_regex_per_shared_value(spark):
     assert plan.count("regexp_extract_all(text_combined") <= 5
 
 
+def test_characters_are_counted_once_and_not_in_interpreted_steps(spark):
+    built = features.build_features(base(spark)).select(*features.FEATURE_COLUMNS)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "lambdafunction" not in plan
+    assert plan.count("char_profile(") == 1
+
+
 def test_feature_matrix_fills_nulls(spark):
     df = spark.createDataFrame([(None, "x")], "text_len int, body_len string")
     matrix = features.feature_matrix(df)

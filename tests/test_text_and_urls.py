@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,41 @@ def test_entropy(spark, samples):
     check(samples, lambda t: F.round(text.char_entropy(t), 6), expected)
 
 
+def test_char_profile(spark, samples):
+    profile = samples.select("n", text.char_profile(F.col("t")).alias("p")).select("n", "p.*")
+    for r in profile.collect():
+        s = SAMPLES[r.n]
+        assert (r.words, r.currency) == (len(s.split()), sum(s.count(c) for c in K.CURRENCY_SYMBOLS)), s
+    spaces = spark.createDataFrame([(f"a{c}b",) for c in K.SPACE_CHARS] + [("a\u200bb",), (None,)], "t string")
+    counted = spaces.select("t", text.count_words(F.col("t")).alias("built_in"), text.char_profile(F.col("t")).alias("p"))
+    for r in counted.collect():
+        assert (r.p.words == r.built_in) if r.t is not None else (r.p is None), r
+
+
+def test_char_profile_of_slices():
+    whole = pa.array(["päß", None, "a b", "", "€ $5"])
+    for kind in (pa.string(), pa.large_string()):
+        for start in range(len(whole) + 1):
+            for length in range(len(whole) + 1 - start):
+                got = text.char_profile.func(whole.cast(kind).slice(start, length)).to_pylist()
+                words = [r and (r["words"], r["currency"]) for r in got]
+                assert words == [(1, 0), None, (2, 0), (0, 0), (2, 2)][start : start + length]
+
+
+def test_shortener_hint_is_exact(samples):
+    dotted = samples.withColumn("t", F.concat("t", F.lit(" FROM: a@mail.paypal.com xt.co/a")))
+    hinted = dotted.select("t", F.col("t").rlike(K.SHORTENER_HINT).alias("h")).collect()
+    assert all(r.h == bool(SHORT.search(r.t)) for r in hinted)
+    assert {r.h for r in hinted} == {True, False}
+
+
+def test_label_starts(spark):
+    pieces = ["a.b", "-", "@", "é", "_", " ", ".", "x-y.z", "İ", "9"]
+    texts = ["".join(RANDOM.choice(pieces) for _ in range(RANDOM.randint(1, 9))) for _ in range(500)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urls.count_bare_domains(F.col("t")))
+    assert all(n == len(BARE.findall(t)) for t, n in got.collect())
+
+
 def test_links_in_text(samples):
     check(samples, urls.extract_urls, URL.findall)
     check(samples, urls.count_bare_domains, lambda s: len(BARE.findall(URL.sub(" ", s))))
