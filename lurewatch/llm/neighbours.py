@@ -18,8 +18,10 @@ looks into all buckets instead.
 
 Of identical vectors only the smallest ``k + 1`` ids can be in any result (ties go to smaller
 ids); the others are left out of the index, and queries with identical vectors are searched once.
-Buckets larger than ``BLOCK`` are searched in blocks, on either side, so neither a popular bucket
-nor a popular query fills a task.
+The buckets of a table are dealt to cells, and a cell is searched by a task bucket by bucket: a query
+goes there once, with the buckets it looks into, and brings back its best of the whole cell.  Cells that
+hold more vectors or queries than others are searched in blocks, on either side, so neither a popular
+bucket nor a popular query fills a task; what a task has in hand at once is bounded as well.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 without an id.  Repeated rows count once; an id with several vectors is a candidate with its best
@@ -47,6 +49,12 @@ SAMPLE = 96
 # Buckets are not made smaller than this; what a probe costs, counted in inner products.
 SMALL_BUCKET, PROBE_WORK = 16, 20
 RANKED_BUCKETS = 1 << 14
+# Cells of buckets that a table of a band is dealt to, more when a cell would hold over the largest number
+# of vectors; and scores, costs or buckets that a task has in hand at once.
+CELLS, LARGEST_CELL = 12, 1 << 15
+AT_ONCE = 1 << 19
+# A cell with a little more than its share is no reason for a second block.
+FULL = 0.8
 SEED = 7
 # Scores this close (in relation to the lengths) are kept together until the exact ranking.
 SLACK = 1e-9
@@ -216,38 +224,60 @@ def _lifted(values: np.ndarray, longest: float | None, lifted: bool) -> np.ndarr
 
 
 def _keyed(rows: DataFrame, bands: dict, tables: int, side: str, id_col: str, id_type: str) -> DataFrame:
-    """A row for every table and bucket: that of an index vector, or those a query looks into."""
+    """A row for every band of an index vector, or a query, with its buckets listed by table and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dimensions = batch.column("dimension").to_numpy()
             own = batch.column("band").to_numpy() if side == "index" else None
-            for (dimension, band), (longest, lifted, hashes, count, _) in bands.items():
+            for (dimension, band), (longest, lifted, hashes, count, n) in bands.items():
                 mask = dimensions == dimension
                 if own is not None:
                     mask &= own == band
                 if not mask.any():
                     continue
                 part = batch.filter(pa.array(mask))
-                values = _matrix(part.column("vector"))
-                unit = _lifted(values, longest if side == "index" else None, lifted)
-                for table in range(tables if hashes else 1):
+                axes = 2 << max(1, (dimension + lifted - 1).bit_length())
+                # What a row takes: its buckets, and all that are weighed to choose them.
+                least = 1 if side == "index" or not hashes else min(count, axes ** (hashes - 1)) * axes
+                step = max(1, AT_ONCE // (least + tables * count + axes))
+                for start in range(0, part.num_rows, step):
+                    some = part.slice(start, step)
+                    unit = _lifted(_matrix(some.column("vector")), longest if side == "index" else None, lifted)
                     if side == "index":
-                        found = buckets(unit, table, hashes)[:, None]
+                        found = [buckets(unit, table, hashes)[:, None] for table in range(tables if hashes else 1)]
                     else:
-                        found = probes(unit, table, hashes, count)
-                    where = np.repeat(np.arange(len(unit)), found.shape[1])
-                    taken = part.take(pa.array(where))
-                    n = len(where)
+                        found = [probes(unit, table, hashes, count) for table in range(tables if hashes else 1)]
                     arrays = [
-                        pa.array(np.full(n, dimension), pa.int32()), pa.array(np.full(n, band), pa.int32()),
-                        pa.array(np.full(n, table), pa.int32()), pa.array(found.ravel(), pa.int64()),
-                        taken.column(id_col), taken.column("vector"),
+                        pa.array(np.full(len(unit), dimension), pa.int32()), pa.array(np.full(len(unit), band), pa.int32()),
+                        pa.array(np.full(len(unit), _room(n)), pa.int32()), some.column(id_col), some.column("vector"),
+                        _by_cell(np.stack(found, 1), -(-n // _room(n))),
                     ]
-                    yield pa.RecordBatch.from_arrays(arrays, ["dimension", "band", "tbl", "bucket", id_col, "vector"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["dimension", "band", "room", id_col, "vector", "looks"])
 
-    schema = f"dimension int, band int, tbl int, bucket long, {id_col} {id_type}, vector array<double>"
-    return rows.mapInArrow(run, schema)
+    looks = "array<struct<tbl int, cell int, codes array<long>>>"
+    return rows.mapInArrow(run, f"dimension int, band int, room int, {id_col} {id_type}, vector array<double>, looks {looks}")
+
+
+def _room(n: int) -> int:
+    """Vectors, and queries, that a task compares in a band of ``n`` vectors."""
+    return min(max(BLOCK, -(-n // CELLS)), LARGEST_CELL)
+
+
+def _by_cell(codes: np.ndarray, cells: int) -> pa.ListArray:
+    """Buckets by row, table and place as a list a row, of tables and cells with their buckets."""
+    rows, tables, count = codes.shape
+    cell = codes % cells
+    key = ((np.arange(rows)[:, None, None] * tables + np.arange(tables)[:, None]) * cells + cell).ravel()
+    order = np.argsort(key, kind="stable")
+    key, flat = key[order], codes.ravel()[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    row, rest = np.divmod(key[starts], tables * cells)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(flat, pa.int64()))
+    looks = pa.StructArray.from_arrays(
+        [pa.array(rest // cells, pa.int32()), pa.array(rest % cells, pa.int32()), lists], ["tbl", "cell", "codes"]
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), looks)
 
 
 def _nearest_first() -> list:
@@ -258,50 +288,130 @@ def _scan(index: DataFrame, asking: DataFrame, bands: dict, tables: int, k: int)
     """``same, vec_id, score`` of what every query finds in its buckets, the best of each block."""
     id_type = dict(index.dtypes)["vec_id"]
     stored = stage(_keyed(index, bands, tables, "index", "vec_id", id_type), "buckets")
-    looks = _keyed(asking, bands, tables, "query", "same", "string")
-    looks = stage(looks, "probes")
+    looks = stage(_keyed(asking, bands, tables, "query", "same", "string"), "probes")
 
-    key = ["dimension", "band", "tbl", "bucket"]
-    sizes = stored.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("v_blocks")).join(
-        looks.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks")), key
+    key = ["dimension", "band", "tbl", "cell"]
+    in_cells = lambda df, *c: df.select("dimension", "band", *c, F.explode("looks").alias("at")).select(
+        "dimension", "band", "at.tbl", "at.cell", *c, "at.codes"
+    )
+    sizes = in_cells(stored, "room").groupBy(key).agg(F.ceil(FULL * F.count("*") / F.first("room")).alias("v_blocks")).join(
+        in_cells(looks, "room").groupBy(key).agg(
+            F.ceil(F.greatest(FULL * F.count("*") / F.first("room"), F.sum(F.size("codes")) / AT_ONCE)).alias("q_blocks")
+        ), key
     )
     parts = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
     own_part = lambda c, n: F.array(F.pmod(F.xxhash64(c), F.col(n)).cast("int"))
-    left = stored.join(sizes, key).select(
-        *key, F.explode(own_part("vec_id", "v_blocks")).alias("v"), "q_blocks", "vec_id", "vector"
-    ).select(*key, "v", F.explode(parts("q_blocks")).alias("q"), "vec_id", F.lit(None).cast("string").alias("same"), "vector")
-    right = looks.join(sizes, key).select(
-        *key, F.explode(own_part("same", "q_blocks")).alias("q"), "v_blocks", "same", "vector"
-    ).select(*key, F.explode(parts("v_blocks")).alias("v"), "q", F.lit(None).cast(id_type).alias("vec_id"), "same", "vector")
+    left = in_cells(stored, "vec_id", "vector").join(sizes, key).select(
+        *key, F.explode(own_part("vec_id", "v_blocks")).alias("v"), "q_blocks", "vec_id", "vector", "codes"
+    ).select(
+        *key, "v", F.explode(parts("q_blocks")).alias("q"), "vec_id", F.lit(None).cast("string").alias("same"), "vector", "codes"
+    )
+    right = in_cells(looks, "same", "vector").join(sizes, key).select(
+        *key, F.explode(own_part("same", "q_blocks")).alias("q"), "v_blocks", "same", "vector", "codes"
+    ).select(
+        *key, F.explode(parts("v_blocks")).alias("v"), "q", F.lit(None).cast(id_type).alias("vec_id"), "same", "vector", "codes"
+    )
     blocks = left.unionByName(right).groupBy(*key, "v", "q")
 
     def nearest(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
         is_query = table.column("same").is_valid()
-        asking_rows, held = table.filter(is_query), table.filter(pc.invert(is_query))
-        if not len(asking_rows) or not len(held):
-            return pa.table({"same": pa.array([], pa.string()), "vec_id": held.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64())})
-        q, v = _matrix(asking_rows.column("vector")), _matrix(held.column("vector"))
-        with np.errstate(over="ignore", invalid="ignore"):
-            scores = q @ v.T
-        if scores.shape[1] > k + 1:
-            last = np.partition(scores, -(k + 1), 1)[:, -(k + 1)]
+        return _nearest(table.filter(is_query), table.filter(pc.invert(is_query)), k + 1)
+
+    lists = blocks.applyInArrow(nearest, f"same string, vec_ids array<{id_type}>, scores array<double>")
+    # The lists of a query come together before they become rows.
+    found = lists.repartition(F.col("same")).select("same", F.explode(F.arrays_zip("vec_ids", "scores")).alias("one"))
+    return found.select("same", F.col("one.vec_ids").alias("vec_id"), F.col("one.scores").alias("score"))
+
+
+def _nearest(asking: pa.Table, held: pa.Table, n: int) -> pa.Table:
+    """The ``n`` best ids of every query among the vectors in its buckets, each with its best vector.
+
+    Bucket by bucket; scores that cannot be among the best so far are dropped at once, and the others
+    are ranked whenever there are ``AT_ONCE``.
+    """
+    import pyarrow.compute as pc
+
+    coded = held.column("vec_id").combine_chunks().dictionary_encode()
+    by_rank = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(by_rank), np.int32)
+    rank[by_rank.to_numpy()] = np.arange(len(by_rank))
+    ids = rank[coded.indices.to_numpy()]  # as numbers in the order of the ids
+    names = asking.column("same").combine_chunks()
+    if not len(names) or not len(ids):
+        none = pa.array([0], pa.int32())
+        lists = [pa.ListArray.from_arrays(none, x) for x in (coded.dictionary.slice(0, 0), pa.array([], pa.float64()))]
+        return pa.table({"same": names.slice(0, 0), "vec_ids": lists[0], "scores": lists[1]})
+    q, v = _matrix(asking.column("vector")), _matrix(held.column("vector"))
+    starts, held_rows = _bucketed(np.arange(len(v), dtype=np.int32), held.column("codes").combine_chunks().flatten().to_numpy())
+    lists = asking.column("codes").combine_chunks()
+    query_starts, query_rows = _bucketed(
+        np.repeat(np.arange(len(q), dtype=np.int32), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    )
+    with np.errstate(over="ignore", invalid="ignore"):
+        slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+    least = np.full(len(q), -np.inf)
+    best = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+    waiting, size = [], 0
+    for code, (first, end) in starts.items():
+        low, high = query_starts.get(code, (0, 0))
+        inside = held_rows[first:end]
+        vectors, step = v[inside].T, max(1, AT_ONCE // (end - first))
+        for at in range(low, high, step):
+            asked = query_rows[at : min(at + step, high)]
             with np.errstate(over="ignore", invalid="ignore"):
-                slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
                 # Where lengths overflow nothing is left out before the exact ranking.
-                row, column = np.nonzero(~(scores < (last - slack)[:, None]))
-        else:
-            row, column = np.indices(scores.shape).reshape(2, -1)
-        # The same sum in the same order wherever a pair meets.
+                row, column = np.nonzero(~(q[asked] @ vectors < (least - slack)[asked, None]))
+            waiting.append((asked[row], inside[column]))
+            size += len(row)
+            if size >= AT_ONCE:
+                best, least = _ranked(best, waiting, q, v, ids, n)
+                waiting, size = [], 0
+    (query, found, score), _ = _ranked(best, waiting, q, v, ids, n)
+    rows, firsts = np.unique(query, return_index=True)
+    ends = pa.array(np.append(firsts, len(query)), pa.int32())
+    return pa.table({
+        "same": names.take(pa.array(rows)),
+        "vec_ids": pa.ListArray.from_arrays(ends, coded.dictionary.take(by_rank.take(pa.array(found)))),
+        "scores": pa.ListArray.from_arrays(ends, pa.array(score)),
+    })
+
+
+def _bucketed(rows: np.ndarray, codes: np.ndarray) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
+    """Rows in the order of their buckets, and where each bucket begins and ends."""
+    order = np.argsort(codes, kind="stable")
+    found, firsts = np.unique(codes[order], return_index=True)
+    ends = np.append(firsts[1:], len(codes))
+    return dict(zip(found.tolist(), zip(firsts.tolist(), ends.tolist(), strict=True), strict=True)), rows[order]
+
+
+def _ranked(best: tuple, waiting: list, q: np.ndarray, v: np.ndarray, ids: np.ndarray, n: int) -> tuple[tuple, np.ndarray]:
+    """Query, id and exact score of the ``n`` best after those that wait, by query and rank, and the
+    score that others of a query must reach."""
+    query, found, score = best
+    if waiting:
+        new, rows = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        exact, step = np.empty(len(new)), max(1, AT_ONCE // q.shape[1])
         with np.errstate(over="ignore", invalid="ignore"):
-            exact = (q[row] * v[column]).sum(1)
-        return pa.table({
-            "same": asking_rows.column("same").take(pa.array(row)), "vec_id": held.column("vec_id").take(pa.array(column)),
-            "score": pa.array(exact),
-        })
-
-    return blocks.applyInArrow(nearest, f"same string, vec_id {id_type}, score double")
+            # The same sum in the same order wherever a pair meets.
+            for at in range(0, len(new), step):
+                exact[at : at + step] = (q[new[at : at + step]] * v[rows[at : at + step]]).sum(1)
+        query, found, score = np.append(query, new), np.append(found, ids[rows]), np.append(score, exact)
+    # Not a number comes first, as in Spark's order.
+    falling = np.where(np.isnan(score), -np.inf, -score)
+    order = np.lexsort((found, falling, ~np.isnan(score), query))
+    query, found, score = query[order], found[order], score[order]
+    if len(np.unique(ids)) < len(ids):  # an id with several vectors counts with its best one
+        pair = query.astype(np.int64) * (int(ids.max()) + 1) + found
+        first = np.zeros(len(pair), bool)
+        first[np.unique(pair, return_index=True)[1]] = True
+        query, found, score = query[first], found[first], score[first]
+    starts = np.searchsorted(query, np.arange(len(q) + 1))
+    kept = np.arange(len(query)) - starts[query] < n
+    least, full = np.full(len(q), -np.inf), np.flatnonzero(np.diff(starts) >= n)
+    least[full] = score[starts[full] + n - 1]
+    return (query[kept], found[kept], score[kept]), least
 
 
 def _best(found: DataFrame, n: int) -> DataFrame:

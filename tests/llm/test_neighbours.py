@@ -82,3 +82,36 @@ def test_plan_grows_with_the_table():
     hashes = [neighbours.plan(n, queries, near, owner)[0] for n in (1000, 100_000, 10**8, 10**11)]
     assert hashes[0] == 0 and hashes == sorted(hashes) and hashes[-1] >= 3
     assert neighbours.plan(10**6, queries, near[:0], owner[:0])[1] == 1
+
+
+def test_a_query_goes_to_a_cell_once(spark):
+    """However many buckets it looks into; a row a bucket, with the vector in each, filled executors."""
+    rng = np.random.default_rng(5)
+    rows = neighbours.usable(table(spark, list(enumerate(rng.standard_normal((40, 32))))), "vec_id", "embedding")
+    bands = {(32, 5): (0.0, False, 2, 300, 100_000)}
+    looks = neighbours._keyed(rows, bands, 4, "query", "same", "string").collect()
+    assert len(looks) == 40
+    for row in looks:
+        found = [(at.tbl, at.cell, code) for at in row.looks for code in at.codes]
+        assert len({(tbl, code) for tbl, _, code in found}) == len(found) == 4 * 300
+        assert len({(tbl, cell) for tbl, cell, _ in found}) == len(row.looks) <= 4 * neighbours.CELLS
+
+
+@pytest.mark.parametrize("at_once", [8, 64, 1 << 19])
+def test_the_best_of_a_cell(monkeypatch, at_once):
+    """Ranked in one go or in many; an id with several vectors counts with its best one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbours, "AT_ONCE", at_once)
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(-2, 3, (9, 4)).astype(float), rng.integers(-2, 3, (60, 4)).astype(float)
+    ids, codes = rng.integers(0, 40, 60), rng.integers(0, 5, 60)
+    asked = [sorted(rng.choice(6, rng.integers(1, 6), replace=False).tolist()) for _ in q]
+    asking = pa.table({"same": [f"q{i}" for i in range(9)], "vector": list(q), "codes": asked})
+    held = pa.table({"vec_id": ids, "vector": list(v), "codes": [[int(c)] for c in codes]})
+    got = {r["same"]: list(zip(r["vec_ids"], r["scores"], strict=True)) for r in neighbours._nearest(asking, held, 6).to_pylist()}
+    for i, buckets in enumerate(asked):
+        best = {}
+        for j in np.flatnonzero(np.isin(codes, buckets)):
+            best[int(ids[j])] = max(best.get(int(ids[j]), -np.inf), float(q[i] @ v[j]))
+        assert got.get(f"q{i}", []) == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:6]
