@@ -133,10 +133,14 @@ def train_classifier(
     rows = validate_training(train, target_col, text_col)
     balanced = class_weight is not None and class_weight.lower() != "none"
     weight = balanced_weight(rows, target_col) if balanced else F.lit(1.0)
-    prepared = rows.select(
-        F.col(text_col).alias("_score_text"),
-        F.col(target_col).cast("double").alias("label"),
-        weight.alias("weight"),
+    # The rows are put together once, for terms and vectors.
+    prepared = stage(
+        rows.select(
+            F.col(text_col).alias("_score_text"),
+            F.col(target_col).cast("double").alias("label"),
+            weight.alias("weight"),
+        ),
+        "training-texts",
     )
     vectors = fit_tfidf(prepared, "_score_text", "_tfidf", max_features, min_df)
     data = vectors.transform(prepared).select("_tfidf", "label", "weight")
@@ -148,11 +152,8 @@ def train_classifier(
             regParam=1.0 / (inverse_regularisation * max(n, 1)), standardization=False, **columns,
         )
         return TextClassifier(vectors, estimator.fit(data), model, text_col)
-    # The vectors are made once, for all passes.
     size = vectors.transform(prepared.limit(0)).schema["_tfidf"].metadata["ml_attr"]["num_attrs"]
-    coefficients, intercept = fit_squared_hinge(
-        stage(data, "vectors"), size, "_tfidf", inverse_regularisation, max_iter
-    )
+    coefficients, intercept = fit_squared_hinge(data, size, "_tfidf", inverse_regularisation, max_iter)
     return TextClassifier(vectors, _svm_model(train.sparkSession, coefficients, intercept, columns), model, text_col)
 
 

@@ -71,3 +71,35 @@ def test_passes_do_not_grow_with_the_table(spark, monkeypatch):
     got, intercept = fit_squared_hinge(data, 60, "v", tolerance=1e-6)
     assert np.append(got, intercept) == pytest.approx(newton(x, 2 * label - 1, np.ones(3000), 1.0), abs=1e-4)
     assert len(passes) <= 20
+
+
+def test_more_features_than_sampled_rows(spark, monkeypatch):
+    """The curvature of all rows: by that of a sample of fewer rows than features, steps were cut again
+    and again."""
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 120)) * (rng.random((600, 120)) < 0.2)
+    label = (rng.random(600) < 0.3).astype(float)
+    passes = []
+    one = squared_hinge._summed
+    monkeypatch.setattr(squared_hinge, "_summed", lambda *a: passes.append(1) or one(*a))
+    monkeypatch.setattr(squared_hinge, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(squared_hinge, "PACK_ENTRIES", 500)
+    got, intercept = fit_squared_hinge(table(spark, x, label, np.ones(600)), 120, "v", 5.0)
+    assert np.append(got, intercept) == pytest.approx(newton(x, 2 * label - 1, np.ones(600), 5.0), abs=0.02)
+    assert len(passes) <= 120
+
+
+def test_rows_are_read_once(spark):
+    """However many passes there are; a vector without entries stands between others."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    x = np.eye(6)[:, :4]
+    data = table(spark, x, np.array([1.0, 0, 1, 0, 1, 0]), np.ones(6))
+    counted = data.mapInArrow(count, SCHEMA)
+    got, _ = fit_squared_hinge(counted, 4, "v", tolerance=1e-8)
+    assert read.value == 6 and got == pytest.approx([x for x in newton(x, np.array([1.0, -1] * 3), np.ones(6), 1.0)[:4]], abs=1e-6)
